@@ -1,0 +1,222 @@
+"""The most frequent values of a column in bounded memory, by a heavy-light split.
+
+Each task keeps buckets of exact counters for hot values. A value that finds its bucket full votes against the bucket's
+weakest value and, once it has enough votes, evicts it; counts that are evicted or find no place fall into a compact
+count-min array. Partitions merge bucket by bucket; what loses its place there falls into the array too. Memory depends on
+the number of buckets only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import materialize
+from .balanced import codes_of, first_deliveries, statement_keys
+from .blocks import block_count, block_of, map_blocks
+
+BUCKETS, PLACES, VOTES = 4096, 4, 8
+#: Rows and width of the count-min array.
+ROWS, WIDTH = 3, 1 << 16
+_GROUP = 256  # buckets merged together
+_SEEDS = tuple(range(101, 101 + ROWS))
+
+
+class Sketch:
+    """Heavy buckets and light array of one column."""
+
+    def __init__(self) -> None:
+        self.heavy: dict[int, dict[str, int]] = {}  # bucket -> value -> count since it came in
+        self.against: dict[int, int] = {}
+        self.light = np.zeros((ROWS, WIDTH), np.int64)
+
+    def _fall(self, value: str, count: int) -> None:
+        data = value.encode("utf-8", "surrogatepass")
+        for r, seed in enumerate(_SEEDS):
+            self.light[r, xxhash.xxh64_intdigest(data, seed) % WIDTH] += count
+
+    def add(self, value: str, count: int) -> None:
+        b = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) % BUCKETS
+        bucket = self.heavy.setdefault(b, {})
+        if value in bucket:
+            bucket[value] += count
+        elif len(bucket) < PLACES:
+            bucket[value] = count
+        else:
+            weakest = min(bucket, key=lambda v: (bucket[v], v))
+            votes = self.against.get(b, 0) + count
+            if votes >= VOTES * bucket[weakest]:
+                self._fall(weakest, bucket.pop(weakest))
+                bucket[value] = count
+                self.against[b] = 0
+            else:
+                self._fall(value, count)
+                self.against[b] = votes
+
+    def recombine(self, b: int, entries: list[tuple[str, int]]) -> None:
+        """Put together what all partitions hold in one bucket; what has no place falls into the light array."""
+        sums: dict[str, int] = {}
+        for value, count in entries:
+            sums[value] = sums.get(value, 0) + count
+        ranked = sorted(sums, key=lambda v: (-sums[v], v))
+        for value in ranked[PLACES:]:
+            self._fall(value, sums[value])
+        self.heavy[b] = {v: sums[v] for v in ranked[:PLACES]}
+
+
+def _light_rows(field: str, light: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = WIDTH // 16
+    for at in range(0, WIDTH, step):
+        piece = light[:, at : at + step]
+        if piece.any():
+            yield _row(field, "light", at, pa.array([""]), [0], piece.tobytes())
+
+
+def _row(field: str, kind: str, at, values: pa.Array, counts, data: bytes | None) -> pa.RecordBatch:
+    n = len(values)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([field] * n), pa.array([kind] * n), pa.array(np.broadcast_to(np.asarray(at, np.int32), n)), values, pa.array(np.asarray(counts, np.int64)), pa.array([data] * n, pa.binary())],
+        names=["field", "kind", "at", "value", "n", "data"],
+    )
+
+
+_SCHEMA = "field string, kind string, at int, value string, n bigint, data binary"
+
+
+def _emit(field: str, sketch: Sketch) -> Iterator[pa.RecordBatch]:
+    flat = [(b, v, c) for b, bucket in sketch.heavy.items() for v, c in bucket.items()]
+    if flat:
+        at, values, counts = zip(*flat)
+        yield _row(field, "heavy", at, pa.array(values, pa.string()), counts, None)
+    yield from _light_rows(field, sketch.light)
+
+
+def _split(fields: list[str]):
+    def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        sketches = {f: Sketch() for f in fields}
+        for table in tables:
+            table = table.take(pa.array(first_deliveries(table)))
+            for field in fields:
+                codes, words = codes_of(table.column(field))
+                counts = np.bincount(codes[codes >= 0], minlength=len(words))
+                order = np.argsort(-counts, kind="stable")
+                for value, count in zip(words.take(pa.array(order)).to_pylist(), counts[order].tolist()):
+                    sketches[field].add(value, count)
+        for field in fields:
+            yield from _emit(field, sketches[field])
+
+    return run
+
+
+def _merge(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """One group of buckets, or one stretch of a light array, of one column."""
+    for table in tables:
+        by: dict[tuple[str, str], list] = {}
+        for row in table.select(["field", "kind", "at", "value", "n", "data"]).to_batches():
+            for field, kind, at, value, n, data in zip(*(c.to_pylist() for c in row.columns)):
+                by.setdefault((field, kind), []).append((at, value, n, data))
+        for (field, kind), rows in by.items():
+            if kind == "light":
+                pieces: dict[int, np.ndarray] = {}
+                for at, _, _, data in rows:
+                    piece = np.frombuffer(data, np.int64)
+                    pieces[at] = pieces[at] + piece if at in pieces else piece
+                for at, piece in pieces.items():
+                    yield _row(field, "light", at, pa.array([""]), [0], piece.tobytes())
+            else:
+                sketch, buckets = Sketch(), {}
+                for at, value, n, _ in rows:
+                    buckets.setdefault(at, []).append((value, n))
+                for b, entries in buckets.items():
+                    sketch.recombine(b, entries)
+                yield from _emit(field, sketch)
+
+
+def sketch_rows(statements: DataFrame, namespaces: dict[str, str], fields: tuple[str, ...]) -> DataFrame:
+    """The merged sketch of each field as rows: heavy (bucket, value, count) and light (stretch, counts)."""
+    rows = statement_keys(statements, namespaces)
+    rows = rows.withColumnRenamed("member", "subject") if "subject" in fields else rows
+    rows = rows.select("id", "seen", *fields)
+    spread = F.when(F.col("id").isNull(), F.xxhash64(*(F.col(c) for c in rows.columns))).otherwise(F.col("id"))
+    split = rows.withColumn("block", block_of(block_count(statements.count()), spread))
+    each = map_blocks(split, "block", _split(list(fields)), _SCHEMA)
+    group = F.when(F.col("kind") == "heavy", F.floor(F.col("at") / _GROUP)).otherwise(F.lit(-1) - F.floor(F.col("at") / (WIDTH // 16)))
+    tagged = each.withColumn("block", block_of(1 << 30, F.col("field"), group))
+    merged = map_blocks(tagged, "block", _merge, _SCHEMA)
+    # what fell out of the heavy buckets of the merge joins the light array
+    return materialize(merged, "sketch")
+
+
+def frequent_values(
+    statements: DataFrame, namespaces: dict[str, str], share: float, fields: tuple[str, ...] = ("object", "subject"), slack: float = 0.05
+) -> DataFrame:
+    """(item_field, item, estimate, n): values that at least ``share`` of the statements have, with approximate and exact counts.
+
+    Candidates are the values whose estimate reaches ``share`` less ``slack`` of it; there are at most a few times 1 / share,
+    and only they are counted exactly. A value that is in no bucket has at most the count of its light cells: where some
+    cell reaches the threshold, all values that fall into such cells are candidates as well, so none is missed. Each
+    statement_id counts once (a row without an id by itself), nulls are no values. Empty input gives no rows.
+    """
+    from .balanced import statement_total
+
+    spark = statements.sparkSession
+    total = statement_total(statements)
+    least = share * total
+    empty = "item_field string, item string, estimate bigint, n bigint"
+    if not total:
+        return spark.createDataFrame([], empty)
+    rows = sketch_rows(statements, namespaces, fields)
+    lights = {f: np.zeros((ROWS, WIDTH), np.int64) for f in fields}
+    for r in rows.where("kind = 'light'").select("field", "at", "data").toLocalIterator():  # of fixed size per group
+        lights[r[0]][:, r[1] : r[1] + WIDTH // 16] += np.frombuffer(r[2], np.int64).reshape(ROWS, -1)
+
+    def light_of(field: str, value: str) -> int:
+        data = value.encode("utf-8", "surrogatepass")
+        return int(min(lights[field][i, xxhash.xxh64_intdigest(data, s) % WIDTH] for i, s in enumerate(_SEEDS)))
+
+    near = least * (1 - slack)
+    most = max(int(a.max()) for a in lights.values())
+    listed = []
+    for field, value, n in rows.where("kind = 'heavy'").where(F.col("n") >= F.lit(near - most)).select("field", "value", "n").toLocalIterator():
+        estimate = n + light_of(field, value)  # never less than the true count
+        if estimate >= near:
+            listed.append((field, value, estimate))
+    keyed = statement_keys(statements, namespaces)
+    keyed = keyed.withColumnRenamed("member", "subject") if "subject" in fields else keyed
+    long = keyed.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in fields))).alias("x")).select(
+        "id", F.col("x.f").alias("item_field"), F.col("x.v").alias("item")
+    ).where("item is not null")
+    marks = F.broadcast(spark.createDataFrame(listed, "item_field string, item string, estimate bigint"))
+    hits = long.join(marks, ["item_field", "item"])
+    if any(all((lights[f][i] >= least).any() for i in range(ROWS)) for f in fields):
+        hits = hits.unionByName(_from_light(long, lights, least, {(f, v) for f, v, _ in listed}))
+    by_id = hits.where("id is not null").groupBy("item_field", "item", "id").agg(F.max("estimate").alias("estimate"))
+    bare = hits.where("id is null").select(*by_id.columns)
+    counted = by_id.unionByName(bare).groupBy("item_field", "item").agg(F.max("estimate").alias("estimate"), F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= F.lit(least))
+
+
+def _from_light(long: DataFrame, lights: dict[str, np.ndarray], least: float, listed: set[tuple[str, str]]) -> DataFrame:
+    """Rows of values that no bucket lists although all their light cells reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = batch.column("item_field").to_pylist()
+            codes, words = codes_of(batch.column("item"))
+            cells = [[xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), s) % WIDTH for s in _SEEDS] for w in words.to_pylist()]
+            texts = words.to_pylist()
+            keep, estimates = [], []
+            for row, code in enumerate(codes.tolist()):
+                estimate = min(int(lights[fields[row]][i, c]) for i, c in enumerate(cells[code]))
+                if estimate >= least and (fields[row], texts[code]) not in listed:
+                    keep.append(row)
+                    estimates.append(estimate)
+            out = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(estimates, pa.int64())], names=[*out.schema.names, "estimate"])
+
+    return long.mapInArrow(run, "id bigint, item_field string, item string, estimate bigint")
