@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Already in normal form: lower-case scheme and host, nothing escaped, no blanks or brackets.
-_NORMAL = r"^[a-z][a-z0-9+.-]*://[^A-Z%\s<>/?#]*(?:[/?#][^%\s<>]*)?\z"
-_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)((?://(?:[^/?#@]*@)?)?)([^/?#]*)(.*)\z"
+_HEAD = r"^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#@]*@|//)?([^/?#]*)"
 _UNRESERVED = r"^[A-Za-z0-9._~-]\z"
+#: White space of Unicode (fixed values); with the brackets, what may enclose a URI.
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def namespace_map(prefixes: DataFrame, limit: int = 20_000) -> dict[str, str]:
@@ -46,30 +53,46 @@ def _decode_unreserved(text: Column) -> Column:
 
 
 def strip_white(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(_WHITE))
+
+
+def _expanded(bare: Column, namespaces: dict[str, str]) -> Column:
+    if not namespaces:
+        return bare
+    known = F.create_map(*[F.lit(x) for pair in sorted(namespaces.items()) for x in pair])
+    at = F.locate(":", bare)
+    return _let(
+        F.when((at > 0) & (bare.substr(at + 1, F.lit(2)) != "//"), F.try_element_at(known, F.substring_index(bare, ":", 1))),
+        lambda space: F.when(space.isNotNull(), F.concat(space, bare.substr(at + 1, F.length(bare)))).otherwise(bare),
+    )
+
+
+def _lower_head(text: Column) -> Column:
+    parts = [F.regexp_extract(text, _HEAD, i) for i in range(4)]
+    host = F.when(parts[2] != "", F.lower(parts[3])).otherwise(parts[3])
+    return F.when(parts[0] != "", F.concat(F.lower(parts[1]), parts[2], host, text.substr(F.length(parts[0]) + 1, F.length(text)))).otherwise(text)
 
 
 def normalize_uri(raw: Column, namespaces: dict[str, str]) -> Column:
     """The full URI in normal form; null stays null, blank text becomes null.
 
     Enclosing white space and angle brackets go, a known ``prefix:`` is expanded, escapes of unreserved characters are
-    decoded, and scheme and host turn lower case. Anything else, blank-node labels too, keeps its spelling.
+    decoded, and scheme and host turn lower case. Anything else, blank-node labels too, keeps its spelling. Most URIs are
+    in normal form already, which a few cheap tests tell.
     """
-    bare = strip_white(raw)
-    bare = F.when(bare.startswith("<") & bare.endswith(">"), strip_white(bare.substr(F.lit(2), F.length(bare) - 2))).otherwise(bare)
-    if namespaces:
-        pairs = [F.lit(x) for k, v in sorted(namespaces.items()) for x in (k, v)]
-        prefix = F.regexp_extract(bare, r"(?s)^([^:/?#\s]*):(?!//)", 1)
-        known = F.try_element_at(F.create_map(*pairs), prefix)
-        bare = F.when(
-            bare.rlike(r"(?s)^[^:/?#\s]*:(?!//)") & known.isNotNull(), F.concat(known, bare.substr(F.length(prefix) + 2, F.length(bare)))
-        ).otherwise(bare)
-    bare = _decode_unreserved(bare)
-    hosted = F.concat(
-        F.lower(F.regexp_extract(bare, _PARTS, 1)),
-        F.regexp_extract(bare, _PARTS, 2),
-        F.when(F.regexp_extract(bare, _PARTS, 2) != "", F.lower(F.regexp_extract(bare, _PARTS, 3))).otherwise(F.regexp_extract(bare, _PARTS, 3)),
-        F.regexp_extract(bare, _PARTS, 4),
+    head = F.substring_index(raw, "/", 3)
+    end = F.substring(raw, -1, 1)
+    normal = (
+        (F.locate("://", raw) == F.locate(":", raw))
+        & raw.contains("://")
+        & ~raw.contains("%")
+        & (F.lower(head) == head)
+        & F.substring(raw, 1, 1).between("a", "z")
+        & end.between("!", "~")
+        & (end != ">")
+    )
+    slow = _let(
+        F.btrim(raw, F.lit(_WHITE + "<>")),
+        lambda bare: _let(_expanded(bare, namespaces), lambda full: _let(_decode_unreserved(full), _lower_head)),
     )
-    slow = F.when(bare.rlike(_PARTS), hosted).otherwise(bare)
-    return F.when(raw.rlike(_NORMAL), raw).when(raw.isNotNull(), F.when(slow != "", slow))
+    return F.when(normal, raw).when(raw.isNotNull(), F.nullif(slow, F.lit("")))

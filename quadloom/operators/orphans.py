@@ -27,25 +27,23 @@ def references(statements: DataFrame, namespaces: dict[str, str]) -> DataFrame:
     Rows without a statement_id can't be reported and are left out. ``period`` is the year and month as a number, 0 where
     ``asserted_at`` is null.
     """
-    at = F.col("asserted_at").cast("timestamp_ntz")
-    ref = F.explode(
+    ref = F.explode(  # keys are made inside: a filter on them is then not run as a second normalisation
         F.array(
-            F.struct(F.lit("subject").alias("f"), F.col("subject").alias("raw")),
-            F.struct(F.lit("object").alias("f"), F.when(F.col("object_kind") == "uri", F.col("object")).alias("raw")),
+            F.struct(F.lit("subject").alias("f"), normalize_uri(F.col("subject"), namespaces).alias("k")),
+            F.struct(F.lit("object").alias("f"), F.when(F.col("object_kind") == "uri", normalize_uri(F.col("object"), namespaces)).alias("k")),
         )
     )
     return (
         statements.where(F.col("statement_id").isNotNull())
-        .select("statement_id", at.alias("at"), ref.alias("r"))
-        .where(F.col("r.raw").isNotNull())
+        .select("statement_id", F.col("asserted_at").cast("timestamp_ntz").alias("at"), ref.alias("r"))
+        .where(F.col("r.k").isNotNull())
         .select(
             "statement_id",
             F.col("r.f").alias("ref_field"),
-            normalize_uri(F.col("r.raw"), namespaces).alias("key"),
+            F.col("r.k").alias("key"),
             "at",
             F.coalesce(F.year("at") * 100 + F.month("at"), F.lit(0)).alias("period"),
         )
-        .where(F.col("key").isNotNull())
     )
 
 
@@ -53,10 +51,10 @@ def registry_terms(registry: DataFrame, shared: DataFrame, namespaces: dict[str,
     """Distinct (key, since, until, rec_type): when each key is in force. Rows without a key or a start are left out."""
     ntz = lambda c: F.col(c).cast("timestamp_ntz")
     own = registry.select(
-        normalize_uri(F.col("identifier"), namespaces).alias("key"), ntz("registered_at").alias("since"), ntz("deleted_at").alias("until"), "rec_type"
-    )
+        F.explode(F.array(normalize_uri(F.col("identifier"), namespaces))).alias("key"), ntz("registered_at").alias("since"), ntz("deleted_at").alias("until"), "rec_type"
+    )
     always = shared.select(
-        normalize_uri(F.col("identifier"), namespaces).alias("key"),
+        F.explode(F.array(normalize_uri(F.col("identifier"), namespaces))).alias("key"),
         F.lit(_ALWAYS).cast("timestamp_ntz").alias("since"),
         F.lit(None).cast("timestamp_ntz").alias("until"),
         F.lit(None).cast("string").alias("rec_type"),

@@ -62,7 +62,7 @@ def cells(rows: DataFrame, attributes: list[Attribute], namespaces: dict[str, st
         readable = F.when(F.col("kind_") == kind, read_as(F.col("text"), kind).isNotNull()).otherwise(readable)
     return (
         rows.select(
-            normalize_uri(F.col("record_id"), namespaces).alias("record_id"),
+            F.explode(F.array(normalize_uri(F.col("record_id"), namespaces))).alias("record_id"),
             normalize_uri(F.col("propertyuri"), namespaces).alias("uri_"),
             text.alias("text"),
             F.col("recorded_at").alias("at"),
