@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,6 +56,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: computed once, safe to read many times."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_dir(spark)}/quadloom-{label}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
@@ -78,12 +80,27 @@ def drop_scratch() -> None:
 def _at_exit() -> None:
     drop_scratch()
     if _own_dir is not None:
-        import shutil
-
         shutil.rmtree(_own_dir, ignore_errors=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quadloom-code-")
+    packed = shutil.make_archive(os.path.join(folder, "quadloom"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(packed)
+    _shipped.add(app)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
