@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .words import words_of
+from .words import Numbered, words_of
 
 #: Words of a shingle; words of the shortest run that counts; share of an item's words that must be there.
 SHINGLE, RUN, SHARE = 5, 8, 0.5
@@ -68,10 +68,6 @@ class Index:
         keys, starts = np.unique(flat[order], return_index=True)
         return cls([i for i, _ in rows], numbers, items, keys, np.append(starts, len(flat)), owner[order], place[order])
 
-    def word_numbers(self, text: str | None) -> np.ndarray:
-        get = self.numbers.get
-        return np.array([get(w, -1) for w in words_of(text)], np.int64)
-
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``hashes`` that are shingles of some item, and which shingle each is."""
         if not len(self.keys) or not len(hashes):
@@ -110,7 +106,8 @@ def held(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> int:
 def least_shared(words: int) -> int:
     """Shingles at least that a document shares with an item of so many words when it holds enough of it.
 
-    A run of at most one change in ten has an unbroken stretch of a shingle's length for every 2 x CHANGED words.
+    A run of L words with c <= L / CHANGED changes has at least L - c - (c + 1) (SHINGLE - 1) whole shingles, which is never
+    below L / CHANGED for L >= RUN; runs may overlap by half, which leaves one for every 2 x CHANGED words.
     """
     return max(1, int(np.ceil(words * SHARE)) // (2 * CHANGED))
 
@@ -142,7 +139,10 @@ def pairs_of(index: Index, prefix: np.ndarray, ids: np.ndarray, hits: np.ndarray
         if len(ids) < need:  # too short to hold enough
             continue
         mine = owners == item
-        offset = where[mine] - index.positions[entry[mine]]
+        places = index.positions[entry[mine]]
+        if len(np.unique(places)) < least_shared(len(words)):  # too few shared shingles to hold enough
+            continue
+        offset = where[mine] - places
         reach = np.minimum(len(words), len(ids) - offset) - np.maximum(0, -offset)
         if int(reach.sum()) < need:  # windows too far at the edge to hold enough
             continue
@@ -188,10 +188,11 @@ def _leaked(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
+        number = Numbered(index.numbers)
         for batch in batches:
             docs, words, hits, shingles = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = index.word_numbers(text)
+                ids = np.array(number(text), np.int64)
                 hit, shingle = index.find(shingle_hashes(ids))
                 if len(hit):
                     docs.append(doc)

@@ -25,11 +25,11 @@ def fold(text: str) -> str:
 
 
 def visible(text: str) -> str:
-    """The text without markup and invisible characters, words that a line break splits put together."""
+    """The text in compatibility forms, without markup and invisible characters, words split by a line break joined."""
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = _INVISIBLE.sub("", text)
+        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", _NOTE.sub(" ", text)))
     if "\n" in text:
@@ -37,5 +37,27 @@ def visible(text: str) -> str:
     return text
 
 
+class Numbered:
+    """Words of texts as numbers (-1 for words without one); each spelling is folded once."""
+
+    def __init__(self, numbers: dict[str, int], keep: int = 500_000) -> None:
+        self.numbers, self.known, self.keep = numbers, {}, keep
+
+    def __call__(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        out, known = [], self.known
+        for w in _WORD.findall(visible(text)):
+            n = known.get(w)
+            if n is None:
+                n = self.numbers.get(fold(w), -1)
+                if len(known) < self.keep:
+                    known[w] = n
+            out.append(n)
+        return out
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(fold(visible(text))) if text else []
+    if not text:
+        return []
+    return [fold(w) for w in _WORD.findall(visible(text))]
