@@ -9,6 +9,7 @@ and the corpus from the terms.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,7 @@ def term_table(documents: DataFrame) -> tuple[DataFrame, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[tuple[str, str], list[int]] = {}
+        known: dict[str, str] = {}
 
         def flush() -> pa.RecordBatch:
             cols = [[k[0] for k in table], [k[1] for k in table], *([v[i] for v in table.values()] for i in range(3))]
@@ -68,15 +70,17 @@ def term_table(documents: DataFrame) -> tuple[DataFrame, int]:
 
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                own: dict[str, list[int]] = {}
-                for words in sentences(text):
-                    for w in words:
-                        n = own.setdefault(w, [0])
-                        n[0] += 1
+                own = Counter(_WORD.findall(visible(text))) if text else {}
                 seen = set()
-                for w, (n,) in own.items():
-                    t = fold(w)
-                    row = table.setdefault((t, label), [0, 0, 0])
+                for w, n in own.items():
+                    t = known.get(w)
+                    if t is None:
+                        t = fold(w)
+                        if len(known) < 500_000:
+                            known[w] = t
+                    row = table.get((t, label))
+                    if row is None:
+                        row = table[(t, label)] = [0, 0, 0]
                     row[0] += t not in seen
                     row[1] += n
                     row[2] += n * w.islower()
@@ -223,13 +227,16 @@ def cognates(counts: np.ndarray, posterior: np.ndarray, terms: list[str], l: int
 def mixtures(h: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Multiplicative updates of the documents' mixtures, and the last split of the counts over the components."""
     k = len(h)
-    mix = np.full((size, k), 1.0 / k)
-    part = np.zeros((len(row), k))
-    like = h[:, term].T
+    mix = np.full((size, k), 1.0 / k, np.float32)
+    like = np.ascontiguousarray(h.T.astype(np.float32))[term]
+    counts = n.astype(np.float32)
+    first = np.searchsorted(row, np.arange(size))  # rows come document by document, none is empty
+    part = like
     for _ in range(INNER):
-        part = mix[row] * like
-        part *= (n / (part.sum(1) + 1e-30))[:, None]
-        mix = np.stack([np.bincount(row, part[:, c], size) for c in range(k)], 1) + 0.01
+        part = mix[row]
+        part *= like
+        part *= (counts / (part.sum(1) + 1e-30))[:, None]
+        mix = np.add.reduceat(part, first, axis=0) + np.float32(0.01)
         mix /= mix.sum(1, keepdims=True)
     return mix, part
 
