@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.uris import namespace_map
-from .operators.balanced import heavy_keys, key_results
+from .operators.balanced import key_results
 from .operators.frequent import frequent_values
 from .operators.orphans import orphan_counts, orphans
 from .operators.shred import adjacency, nested_records, property_table, record_table
@@ -56,7 +56,7 @@ def p3_properties(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return heavy_keys(table(spark, d, "statements"), _names(spark, d), 0.02)
+    return key_results(table(spark, d, "statements"), _names(spark, d), share=0.02).select("key_field", "key_value")
 
 
 def p4_results(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.uris import normalize_uri
-from .blocks import block_count, block_of, map_blocks
+from .blocks import BLOCK_ROWS, block_count, block_of, map_blocks
 
 _NONE_LOW, _NONE_HIGH = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 _PARTIAL = "field string, key string, member string, n bigint, low bigint, high bigint, block int"
@@ -35,6 +35,28 @@ def statement_keys(statements: DataFrame, namespaces: dict[str, str]) -> DataFra
     )
 
 
+def even_rows(statements: DataFrame, namespaces: dict[str, str]) -> tuple[DataFrame, int]:
+    """The rows of ``statement_keys`` with a ``block`` of even size, and the number of statements (counted once by id).
+
+    Blocks are a hash of the id, so that repeated deliveries meet in one. An id delivered more often than a block holds rows
+    is reduced to its first delivery beforehand, by an aggregation that combines before the shuffle; there are fewer such
+    ids than blocks. Rows without an id are spread by their position.
+    """
+    rows = statement_keys(statements, namespaces)
+    counts = statements.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n"))
+    null = F.col("statement_id").isNull()
+    n, ids, bare, most = counts.agg(
+        F.sum("n"), F.count("statement_id"), F.sum(F.when(null, F.col("n"))), F.max(F.when(~null, F.col("n")))
+    ).first()
+    if (most or 0) > BLOCK_ROWS:
+        hot = [r[0] for r in counts.where(~null & (F.col("n") > BLOCK_ROWS)).select("statement_id").collect()]
+        names = [c for c in rows.columns if c != "id"]
+        first = rows.where(F.col("id").isin(hot)).groupBy("id").agg(F.min(F.struct(*names)).alias("r"))
+        rows = rows.where(F.col("id").isNull() | ~F.col("id").isin(hot)).unionByName(first.select("id", *[F.col(f"r.{c}").alias(c) for c in names]))
+    block = block_of(block_count(n or 0), F.coalesce(F.col("id"), F.monotonically_increasing_id()))
+    return rows.withColumn("block", block), ids + (bare or 0)
+
+
 def first_deliveries(table: pa.Table) -> np.ndarray:
     """Row numbers of the first delivery of each id of a block, by time of loading; rows without an id all stay."""
     ids = table.column("id").combine_chunks()
@@ -138,21 +160,23 @@ def _per_key(last: bool, blocks: int):
     return run
 
 
-def key_results(statements: DataFrame, namespaces: dict[str, str], fields: tuple[str, ...] = ("predicate", "object")) -> DataFrame:
-    """(key_field, key_value, n, subjects, first_at, last_at) for every value of ``fields``.
+def key_results(
+    statements: DataFrame, namespaces: dict[str, str], fields: tuple[str, ...] = ("predicate", "object"), share: float | None = None
+) -> DataFrame:
+    """(key_field, key_value, n, subjects, first_at, last_at) for every value of ``fields``, or those with ``share`` of the statements.
 
     Each statement_id counts once, by its first delivery; a row without an id counts by itself. Null keys are left out,
     null subjects are not counted, and a key asserted at no known time has null times. URIs are compared in normal form,
     literals exactly. Empty input gives no rows.
     """
-    rows = statement_keys(statements, namespaces)
-    blocks = block_count(statements.count())
-    spread = F.when(F.col("id").isNull(), F.xxhash64(*(F.col(c) for c in rows.columns))).otherwise(F.col("id"))
-    split = rows.withColumn("block", block_of(blocks, spread))
+    split, total = even_rows(statements, namespaces)
+    blocks = block_count(total)
     partial = map_blocks(split, "block", _partials(list(fields), 2 * blocks), _PARTIAL)
     schema = "field string, key string, n bigint, members bigint, low bigint, high bigint, block int"
     reduced = map_blocks(partial, "block", _per_key(False, blocks), schema)
     whole = map_blocks(reduced, "block", _per_key(True, blocks), schema)
+    if share is not None:
+        whole = whole.where(F.col("n") >= F.lit(share * total))
     time = lambda c, none: F.when(F.col(c) != none, F.timestamp_micros(F.col(c)).cast("timestamp_ntz"))
     return whole.select(
         F.col("field").alias("key_field"),
@@ -162,15 +186,3 @@ def key_results(statements: DataFrame, namespaces: dict[str, str], fields: tuple
         time("low", int(_NONE_LOW)).alias("first_at"),
         time("high", int(_NONE_HIGH)).alias("last_at"),
     )
-
-
-def statement_total(statements: DataFrame) -> int:
-    """Statements counted once by id; a row without an id counts by itself."""
-    once = statements.select("statement_id").where("statement_id is not null").distinct().count()
-    return once + statements.where("statement_id is null").count()
-
-
-def heavy_keys(statements: DataFrame, namespaces: dict[str, str], share: float) -> DataFrame:
-    """(key_field, key_value) of the keys that at least ``share`` of the statements have."""
-    least = share * statement_total(statements)
-    return key_results(statements, namespaces).where(F.col("n") >= F.lit(least)).select("key_field", "key_value")

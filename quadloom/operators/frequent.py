@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .balanced import codes_of, first_deliveries, statement_keys
-from .blocks import block_count, block_of, map_blocks
+from .balanced import codes_of, even_rows, first_deliveries
+from .blocks import block_of, map_blocks
 
 BUCKETS, PLACES, VOTES = 4096, 4, 8
 #: Rows and width of the count-min array.
@@ -137,13 +137,9 @@ def _merge(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
                 yield from _emit(field, sketch)
 
 
-def sketch_rows(statements: DataFrame, namespaces: dict[str, str], fields: tuple[str, ...]) -> DataFrame:
+def sketch_rows(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """The merged sketch of each field as rows: heavy (bucket, value, count) and light (stretch, counts)."""
-    rows = statement_keys(statements, namespaces)
-    rows = rows.withColumnRenamed("member", "subject") if "subject" in fields else rows
-    rows = rows.select("id", "seen", *fields)
-    spread = F.when(F.col("id").isNull(), F.xxhash64(*(F.col(c) for c in rows.columns))).otherwise(F.col("id"))
-    split = rows.withColumn("block", block_of(block_count(statements.count()), spread))
+    split = rows.select("id", "seen", "block", *fields)
     each = map_blocks(split, "block", _split(list(fields)), _SCHEMA)
     group = F.when(F.col("kind") == "heavy", F.floor(F.col("at") / _GROUP)).otherwise(F.lit(-1) - F.floor(F.col("at") / (WIDTH // 16)))
     tagged = each.withColumn("block", block_of(1 << 30, F.col("field"), group))
@@ -162,15 +158,14 @@ def frequent_values(
     cell reaches the threshold, all values that fall into such cells are candidates as well, so none is missed. Each
     statement_id counts once (a row without an id by itself), nulls are no values. Empty input gives no rows.
     """
-    from .balanced import statement_total
-
     spark = statements.sparkSession
-    total = statement_total(statements)
+    keyed, total = even_rows(statements, namespaces)
+    keyed = keyed.withColumnRenamed("member", "subject") if "subject" in fields else keyed
     least = share * total
     empty = "item_field string, item string, estimate bigint, n bigint"
     if not total:
         return spark.createDataFrame([], empty)
-    rows = sketch_rows(statements, namespaces, fields)
+    rows = sketch_rows(keyed, fields)
     lights = {f: np.zeros((ROWS, WIDTH), np.int64) for f in fields}
     for r in rows.where("kind = 'light'").select("field", "at", "data").toLocalIterator():  # of fixed size per group
         lights[r[0]][:, r[1] : r[1] + WIDTH // 16] += np.frombuffer(r[2], np.int64).reshape(ROWS, -1)
@@ -186,8 +181,6 @@ def frequent_values(
         estimate = n + light_of(field, value)  # never less than the true count
         if estimate >= near:
             listed.append((field, value, estimate))
-    keyed = statement_keys(statements, namespaces)
-    keyed = keyed.withColumnRenamed("member", "subject") if "subject" in fields else keyed
     long = keyed.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in fields))).alias("x")).select(
         "id", F.col("x.f").alias("item_field"), F.col("x.v").alias("item")
     ).where("item is not null")
