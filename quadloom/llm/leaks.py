@@ -78,10 +78,14 @@ class Index:
 
 
 def covered(same: np.ndarray) -> np.ndarray:
-    """Which words of a diagonal lie in runs of at least RUN words with at most one in CHANGED changed."""
+    """Which words of a diagonal lie in runs of at least RUN words with at most one in CHANGED changed.
+
+    Runs begin and end with words that are not changed.
+    """
     n = len(same)
     sums = np.concatenate([[0], np.cumsum(np.where(same, 1, 1 - CHANGED))])
-    best = np.maximum.accumulate(sums[::-1])[::-1]  # from each place on; falls
+    final = np.where(np.concatenate([[False], same]), sums, -CHANGED * (n + 1))
+    best = np.maximum.accumulate(final[::-1])[::-1]  # from each place on; falls
     starts = np.flatnonzero(same)
     # the last end whose sum is not below the sum at the start
     ends = np.searchsorted(-best, -sums[starts], side="right") - 1

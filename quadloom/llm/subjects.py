@@ -28,11 +28,11 @@ TERM_SHARE, TERM_LEAST = 2e-4, 3
 #: Alternating updates, and updates of a document's mixture in each.
 ROUNDS, INNER = 12, 6
 #: Posterior from which a term counts for a subject, and what a sentence needs of it to deal with the subject.
-CLEAR, EVIDENCE = 0.5, 1.0
+CLEAR, EVIDENCE = 0.5, 1.2
 #: Share of a document's sentences on subjects from which it deals with a subject.
 SHARE = 0.25
 #: A term in more than this share of a language's documents belongs to no subject.
-COMMON = 0.5
+COMMON = 0.9
 #: Language labels below this share of the documents are not looked at.
 LANGUAGE_SHARE = 0.002
 
