@@ -107,7 +107,7 @@ class Compiler:
             keys = [T.order_key(ev.term(e)) for e, _ in q.order]
             s = Solutions(s.df.orderBy(*[k.asc() if up else k.desc() for k, (_, up) in zip(keys, q.order)]), s.vars)
         names = list(dict.fromkeys(n for n, _ in out))
-        df = s.df.select(*[s.col(n).alias(n) if n in s.vars else F.lit(None).cast("string").alias(n) for n in names])
+        df = s.df.select(*[s.col(n).alias(n) if n in s.vars else F.lit(self.bindings.get(n)).cast("string").alias(n) for n in names])
         if q.distinct:
             df = df.distinct() if not q.order else df.dropDuplicates()
         if q.offset:
