@@ -182,11 +182,12 @@ def compare_key(t: Column) -> Column:
 
 @dataclass
 class Result:
-    """kind: seq, bool, num or str. ``literal`` is the text of a constant, for functions that need one."""
+    """kind: seq, bool, num or str. ``literal`` is the text of a constant, for functions that need one, ``code`` its term."""
 
     kind: str
     col: Column
     literal: str | None = None
+    code: str | None = None
 
 
 def empty() -> Column:
@@ -357,6 +358,21 @@ _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+def _compare_with(f: Callable[[Column, Column], Column], t: Column, code: str) -> Column:
+    """A term against a constant: numbers and plain strings by value at once, all else by the keys of the total order."""
+    full = f(compare_key(t), compare_key(F.lit(code)))
+    tag, _, lex = code[1:].partition(T.SEP)
+    if code[0] == "L" and tag in T.NUMERIC:
+        try:
+            return F.coalesce(f(T.number_of(t), F.lit(float(lex))), full)
+        except ValueError:
+            return full
+    if code[0] == "L" and not tag:
+        plain = "L" + T.SEP
+        return F.when(t.startswith(plain), f(t.substr(F.lit(3), F.length(t)), F.lit(lex))).otherwise(full)
+    return full
+
+
 class Compiler:
     """Compiles path expressions against the columns ``props`` and ``nested`` (null or absent: no nested records)."""
 
@@ -382,7 +398,7 @@ class Compiler:
     def value(self, node: Node, item: Column | None, place: Column | None = None, size: Column | None = None) -> Result:
         op = node.op
         if op == "const":
-            return Result("seq", F.array(F.lit(node.value)), node.value.split(T.SEP, 1)[-1])
+            return Result("seq", F.array(F.lit(node.value)), node.value.split(T.SEP, 1)[-1], node.value)
         if op == "consts":
             return Result("seq", F.array(*[F.lit(v) for v in node.value]) if node.value else empty())
         if op == "self":
@@ -412,6 +428,8 @@ class Compiler:
             return Result("bool", (x & y) if op == "and" else (x | y))
         if op in _COMPARE:
             f = _COMPARE[op]
+            if args[1].code is not None:
+                return Result("bool", F.exists(as_seq(args[0]), lambda x: _compare_with(f, x, args[1].code)))
             left, right = as_seq(args[0]), as_seq(args[1])
             return Result("bool", F.exists(left, lambda x: F.exists(right, lambda y: f(compare_key(x), compare_key(y)))))
         if op == "neg":
