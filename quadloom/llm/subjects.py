@@ -9,15 +9,16 @@ and the corpus from the terms.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.balanced import codes_of
 from ..runtime import materialize
 from .words import fold, visible
 
@@ -55,56 +56,86 @@ class Model:
     posterior: np.ndarray | None = None  # p(subject | term) by language
 
 
-def term_table(documents: DataFrame) -> tuple[DataFrame, int]:
-    """(term, language label, docs, total, lower) over all documents, and the number of documents."""
+def tokenized(documents: DataFrame) -> DataFrame:
+    """(doc_id, label, words, lower, ends): folded words, whether they are written small, where sentences end. Written once.
+
+    The only step that reads texts word by word; the others work on arrays. ``label`` is the language as labelled.
+    """
     key = F.substring_index(F.substring_index(F.lower(F.trim(F.coalesce(F.col("lang"), F.lit("")))), "-", 1), "_", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple[str, str], list[int]] = {}
         known: dict[str, str] = {}
+        for batch in batches:
+            flat: list[str] = []
+            lower: list[bool] = []
+            ends: list[int] = []
+            words_to, ends_to = [0], [0]
+            for text in batch.column("text").to_pylist():
+                start = len(flat)
+                for words in sentences(text):
+                    for w in words:
+                        t = known.get(w)
+                        if t is None:
+                            t = fold(w)
+                            if len(known) < 500_000:
+                                known[w] = t
+                        flat.append(t)
+                        lower.append(w.islower())
+                    ends.append(len(flat) - start)
+                words_to.append(len(flat))
+                ends_to.append(len(ends))
+            offsets = pa.array(words_to, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("label"),
+                    pa.ListArray.from_arrays(offsets, pa.array(flat, pa.string())),
+                    pa.ListArray.from_arrays(offsets, pa.array(lower, pa.bool_())),
+                    pa.ListArray.from_arrays(pa.array(ends_to, pa.int32()), pa.array(ends, pa.int32())),
+                ],
+                names=["doc_id", "label", "words", "lower", "ends"],
+            )
 
-        def flush() -> pa.RecordBatch:
-            cols = [[k[0] for k in table], [k[1] for k in table], *([v[i] for v in table.values()] for i in range(3))]
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["term", "label", "docs", "total", "lower"])
+    source = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text", key.alias("label"))
+    return materialize(source.mapInArrow(run, "doc_id bigint, label string, words array<string>, lower array<boolean>, ends array<int>"), "words")
 
+
+def term_table(rows: DataFrame) -> DataFrame:
+    """(term, language label, docs, total, lower) over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                own = Counter(_WORD.findall(visible(text))) if text else {}
-                seen = set()
-                for w, n in own.items():
-                    t = known.get(w)
-                    if t is None:
-                        t = fold(w)
-                        if len(known) < 500_000:
-                            known[w] = t
-                    row = table.get((t, label))
-                    if row is None:
-                        row = table[(t, label)] = [0, 0, 0]
-                    row[0] += t not in seen
-                    row[1] += n
-                    row[2] += n * w.islower()
-                    seen.add(t)
-            if len(table) > 500_000:
-                yield flush()
-                table.clear()
-        yield flush()
-
-    rows = documents.select("text", key.alias("label")).mapInArrow(run, "term string, label string, docs bigint, total bigint, lower bigint")
-    sums = rows.groupBy("term", "label").agg(*(F.sum(c).alias(c) for c in ("docs", "total", "lower")))
-    return sums, documents.count()
-
-
-def vocabulary(documents: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+            lists = batch.column("words")
+            code, words = codes_of(lists.flatten())
+            if not len(words):
+                continue
+            label, labels = codes_of(batch.column("label"))
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            key, at = np.unique(label[doc] * len(words) + code, return_inverse=True)
+            total = np.bincount(at, minlength=len(key))
+            lower = np.bincount(at, batch.column("lower").flatten().to_numpy(zero_copy_only=False).astype(float), len(key)).astype(np.int64)
+            once = np.unique(doc * len(words) + code)
+            docs = np.bincount(np.searchsorted(key, label[once // len(words)] * len(words) + once % len(words)), minlength=len(key))
+            yield pa.RecordBatch.from_arrays(
+                [words.take(pa.array(key % len(words))), labels.take(pa.array(key // len(words))), *(pa.array(x.astype(np.int64)) for x in (docs, total, lower))],
+                names=["term", "label", "docs", "total", "lower"],
+            )
+
+    each = rows.select("label", "words", "lower").mapInArrow(run, "term string, label string, docs bigint, total bigint, lower bigint")
+    return each.groupBy("term", "label").agg(*(F.sum(c).alias(c) for c in ("docs", "total", "lower")))
+
+
+def vocabulary(rows: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Terms, their counts by language, and documents per term and language; spellings of one language are put together."""
-    table, n = term_table(documents)
-    table = materialize(table, "terms")
+    table = materialize(term_table(rows), "terms")
+    n = rows.count()
     least = max(TERM_LEAST, TERM_SHARE * n)
     good = table.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("docs", "total", "lower"))).where(
         (F.col("docs") >= F.lit(least)) & (F.col("lower") >= 0.2 * F.col("total")) & (F.length("term") > 1)
     )
     terms = {r[0]: i for i, r in enumerate(good.select("term").orderBy("term").toLocalIterator())}
-    labels = [r[0] for r in documents.select(F.substring_index(F.substring_index(F.lower(F.trim("lang")), "-", 1), "_", 1).alias("l")).where("l <> ''").groupBy("l").count().where(F.col("count") >= F.lit(LANGUAGE_SHARE * n)).orderBy(F.desc("count"), "l").select("l").toLocalIterator()]  # at most 1 / LANGUAGE_SHARE
+    frequent = rows.where("label <> ''").groupBy("label").count().where(F.col("count") >= F.lit(LANGUAGE_SHARE * n))  # at most 1 / LANGUAGE_SHARE
+    labels = [r[0] for r in frequent.orderBy(F.desc("count"), "label").collect()]
     if not labels:
         labels = [""]
     total, docs = np.zeros((len(labels), len(terms))), np.zeros((len(labels), len(terms)))
@@ -122,53 +153,58 @@ def vocabulary(documents: DataFrame) -> tuple[dict[str, int], np.ndarray, np.nda
     total = np.stack([total[[i for i in range(len(labels)) if root[i] == r]].sum(0) for r in keep])
     docs = np.stack([docs[[i for i in range(len(labels)) if root[i] == r]].sum(0) for r in keep])
     big = total.sum(1) >= LANGUAGE_SHARE * max(1, total.sum())
+    big[total.sum(1).argmax()] = True
     return terms, total[big], docs[big]
 
 
-def encoded(documents: DataFrame, terms: dict[str, int], total: np.ndarray) -> DataFrame:
+def encoded(rows: DataFrame, terms: dict[str, int], total: np.ndarray) -> DataFrame:
     """(doc_id, language, terms, counts, in_sentences, ends): documents as numbers, written once.
 
     ``in_sentences`` holds the different terms of each sentence one after the other, ``ends`` where each sentence ends. The
-    language is the one whose term frequencies fit the text best, whatever its label says.
+    language is the one whose term frequencies fit the text best, whatever its label says. Documents without a known term
+    are left out.
     """
-    spark = documents.sparkSession
     smooth = total + 0.1
-    sent = spark.sparkContext.broadcast((terms, np.log(smooth / smooth.sum(1, keepdims=True))))
+    sent = rows.sparkSession.sparkContext.broadcast((list(terms), np.log(smooth / smooth.sum(1, keepdims=True))))
+
+    def lists(of: np.ndarray, values: np.ndarray, size: int) -> pa.ListArray:
+        ends = np.searchsorted(of, np.arange(size + 1))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, log_p = sent.value
-        known: dict[str, int] = {}
+        words, log_p = sent.value
+        known, size = pa.array(words, pa.string()), max(1, len(words))
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                flat: list[int] = []
-                inside: list[int] = []
-                ends: list[int] = []
-                for words in sentences(text):
-                    ids = []
-                    for w in words:
-                        i = known.get(w)
-                        if i is None:
-                            i = terms.get(fold(w), -1)
-                            if len(known) < 1_000_000:
-                                known[w] = i
-                        if i >= 0:
-                            ids.append(i)
-                    if ids:
-                        flat.extend(ids)
-                        inside.extend(sorted(set(ids)))
-                        ends.append(len(inside))
-                if not flat:
-                    continue
-                t, n = np.unique(np.array(flat, np.int32), return_counts=True)
-                for c, x in zip(cols, (doc, int((log_p[:, t] * n).sum(1).argmax()), t, n.astype(np.int32), inside, ends)):
-                    c.append(x)
-            types = (pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "language", "terms", "counts", "in_sentences", "ends"])
+            column, ends = batch.column("words"), batch.column("ends")
+            ids = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = column.offsets.to_numpy()[:-1] - column.offsets.to_numpy()[0]
+            per_doc = np.diff(ends.offsets.to_numpy())
+            stops = ends.flatten().to_numpy() + np.repeat(starts, per_doc)
+            owner = np.repeat(np.arange(batch.num_rows), per_doc)
+            sentence = np.repeat(np.arange(len(stops)), np.diff(np.concatenate([[0], stops])))
+            good = ids >= 0
+            ids, sentence = ids[good], sentence[good]
+            pair, n = np.unique(owner[sentence] * size + ids, return_counts=True)
+            doc, term = pair // size, pair % size
+            fit_ = np.stack([np.bincount(doc, n * p[term], batch.num_rows) for p in log_p], 1)
+            inside = np.unique(sentence * size + ids)
+            of_sentence, in_sentence = inside // size, inside % size
+            met = np.unique(of_sentence)
+            of_doc = owner[met]
+            first = np.searchsorted(owner[of_sentence], np.arange(batch.num_rows))
+            ends_in = np.searchsorted(of_sentence, met, side="right") - first[of_doc]
+            keep = pa.array(np.bincount(doc, minlength=batch.num_rows) > 0)
+            out = pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(fit_.argmax(1).astype(np.int32)), lists(doc, term, batch.num_rows), lists(doc, n, batch.num_rows),
+                    lists(owner[of_sentence], in_sentence, batch.num_rows), lists(of_doc, ends_in, batch.num_rows),
+                ],
+                names=["doc_id", "language", "terms", "counts", "in_sentences", "ends"],
+            )
+            yield out.filter(keep)
 
     schema = "doc_id bigint, language int, terms array<int>, counts array<int>, in_sentences array<int>, ends array<int>"
-    source = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
-    return materialize(source.mapInArrow(run, schema), "encoded")
+    return materialize(rows.select("doc_id", "words", "ends").mapInArrow(run, schema), "encoded")
 
 
 def seeds(rows: DataFrame, labels: DataFrame, subjects: list[str], shape: tuple[int, int], label_rows: int = LABEL_ROWS) -> np.ndarray:
@@ -190,7 +226,7 @@ def first_components(counts: np.ndarray, total: np.ndarray, docs: np.ndarray) ->
     h = np.zeros((langs, n_subjects + 1, n_terms))
     for l in range(langs):
         p = (total[l] + 1e-9) / (total[l].sum() + 1e-9 * n_terms)
-        common = docs[l] > COMMON * max(1.0, docs[l].max())
+        common = docs[l] > COMMON * docs[l].max(initial=1.0)
         for s in range(n_subjects):
             if not counts[l, s].sum():
                 continue
@@ -275,7 +311,7 @@ def update(rows: DataFrame, h: np.ndarray) -> np.ndarray:
 
     schema = "l int, c int, data binary"
     out = np.zeros(h.shape)
-    for l, c, data in rows.mapInArrow(run, schema).groupBy("l", "c").applyInArrow(add, schema).collect():  # a row per component
+    for l, c, data in rows.select("language", "terms", "counts").mapInArrow(run, schema).groupBy("l", "c").applyInArrow(add, schema).collect():  # a row per component
         out[l, c] = np.frombuffer(data, float)
     sent.unpersist()
     return out
@@ -283,8 +319,9 @@ def update(rows: DataFrame, h: np.ndarray) -> np.ndarray:
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], label_rows: int = LABEL_ROWS) -> tuple[Model, DataFrame]:
     """The model, and the encoded documents it was fitted on."""
-    terms, total, docs = vocabulary(documents)
-    rows = encoded(documents, terms, total)
+    words = tokenized(documents)
+    terms, total, docs = vocabulary(words)
+    rows = encoded(words, terms, total)
     counts = seeds(rows, labels, subjects, total.shape, label_rows)
     names = list(terms)
     start = counts
@@ -336,7 +373,7 @@ def shares(model: Model, rows: DataFrame) -> DataFrame:
                 names=["doc_id", "subject", "sentences", "share"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, subject string, sentences int, share double")
+    return rows.select("doc_id", "language", "in_sentences", "ends").mapInArrow(run, "doc_id bigint, subject string, sentences int, share double")
 
 
 def subject_shares(documents: DataFrame, areas: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
