@@ -90,7 +90,7 @@ def _norm(table_name: str, columns: dict[str, str], keep: str) -> str:
 
 
 _CELLS = (
-    "props as (select n.record_id, c.attribute, c.target_type, b_at as at, nullif(regexp_replace(case when regexp_matches(t, '^\".*\"(@[A-Za-z0-9-]+|\\^\\^\\S+)?$', 's') "
+    "props as (select n.record_id, c.attribute, c.target_type, b_at as seen_at, nullif(regexp_replace(case when regexp_matches(t, '^\".*\"(@[A-Za-z0-9-]+|\\^\\^\\S+)?$', 's') "
     "then regexp_extract(t, '^\"(.*)\"(@[A-Za-z0-9-]+|\\^\\^\\S+)?$', 1, 's') else t end, '^\\s+|\\s+$', '', 'g'), '') as v from "
     "(select *, regexp_replace(raw_value, '^\\s+|\\s+$', '', 'g') as t from "
     + _norm("record_properties", {"record_id": "b.record_id", "uri": "b.propertyuri"}, "b.propertyvalue as raw_value, b.recorded_at as b_at")
@@ -126,7 +126,21 @@ _FOUND4 = (
     " from (select 'predicate' as key_field, p as key_value, s, asserted_at from st union all select 'object', o, s, asserted_at from st) where key_value is not null group by 1, 2"
 )
 
+#: The attributes of the catalog and the SQL that reads a value as each one's type.
+_STAMP = "case when regexp_matches(v, '^[0-9]{13}$') then make_timestamp(cast(v as bigint) * 1000) else cast(cast(v as timestamptz) as timestamp) end"
+_ATTRIBUTES = {
+    "title": "v", "description": "v", "rights": "v", "section": "v", "language_code": "v", "issued": _STAMP, "modified": _STAMP,
+    "file_size": "cast(v as bigint)", "char_count": "cast(v as bigint)", "page_count": "cast(v as int)", "layer_count": "cast(v as int)",
+    "confidence": "cast(v as double)", "relevance": "cast(v as double)", "is_public": "lower(v) in ('true', '1')", "is_crystallized": "lower(v) in ('true', '1')",
+}
+_WIDE = (
+    f"with {_CELLS}, picked as (select record_id, attribute, v from cells where ok qualify row_number() over (partition by record_id, attribute order by seen_at desc nulls last, v desc) = 1), "
+    "ids as (select distinct record_id from " + _norm("record_properties", {"record_id": "b.record_id"}, "b.property_id") + " where record_id is not null) "
+    "select record_id, " + ", ".join(f"(select {sql} from picked p where p.record_id = ids.record_id and p.attribute = '{a}') as {a}" for a, sql in _ATTRIBUTES.items()) + " from ids"
+)
+
 ORACLES: dict[str, str] = {
+    "p1_wide": _WIDE,
     "p1_found": f"with {_CELLS} select distinct record_id, attribute from cells where ok",
     "p2_found": _ORPHANS + "select statement_id, ref_field, orphan_kind from found",
     "p2_report": _ORPHANS + "select ref_field, rec_type, cast(coalesce(year(first_seen) * 100 + month(first_seen), 0) as int) as period, orphan_kind, count(*) as n from found group by 1, 2, 3, 4",

@@ -35,11 +35,14 @@ def local_session(name: str = "quadloom", cpus: str | int = "*", shuffle: int =
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder on a local master only."""
+    """``spark.checkpoint.dir`` of the session, else its checkpoint folder; a temporary one only where it is one machine."""
     global _own_dir
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if context_dir.isDefined():
+        return context_dir.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:

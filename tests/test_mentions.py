@@ -48,10 +48,10 @@ def test_merging_of_mentions(spark):
 def test_references(spark):
     rows = [
         ("d", "e", "r1", "http://es.dbpedia.org/resource/A", 0.9, 0), ("d", "e", "r1", "http://dbpedia.org/resource/B", 0.2, 1), ("d", "e", "r1", "http://en.dbpedia.org/resource/C", 0.4, 2),
-        ("d", "e", "r1", "http://dbpedia.org/resource/D", 0.4, 3), ("d", "f", "pocus", "http://x.org/1", None, 5), ("d", "f", "r1", "http://dbpedia.org/resource/B", 1.0, 1), ("d", "g", "r1", None, 1.0, 1),
+        ("d", "e", "r1", "http://dbpedia.org/resource/D", 0.4, 3), ("d", "f", "own", "http://x.org/1", None, 5), ("d", "f", "r1", "http://dbpedia.org/resource/B", 1.0, 1), ("d", "g", "r1", None, 1.0, 1),
     ]
     df = spark.createDataFrame(rows, "doc string, owner string, resource string, reference string, confidence double, position int")
-    assert {r.owner: r.reference[-1] for r in M.best_reference(df, "pocus").collect()} == {"e": "C", "f": "1"}
+    assert {r.owner: r.reference[-1] for r in M.best_reference(df, "own").collect()} == {"e": "C", "f": "1"}
     assert {r.owner: r.reference[-1] for r in M.best_reference(df).collect()} == {"e": "C", "f": "B"}
 
 
