@@ -180,6 +180,34 @@ graph_query(
 )
 
 
+graph_query(
+    "report_optional", "customer orders nation", """SELECT ?n (COUNT(DISTINCT ?c) AS ?customers) (COUNT(?o) AS ?large) { ?c a v:Customer ; v:inNation ?n OPTIONAL { ?o v:by ?c ; v:total ?t FILTER(?t > 350000) } }
+    GROUP BY ?n ORDER BY DESC(?large) ?n LIMIT 10""",
+    """SELECT * FROM (SELECT CAST(c_nationkey AS BIGINT) AS n, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS large FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 350000
+    GROUP BY 1) ORDER BY large DESC, CAST(n AS VARCHAR) LIMIT 10""", n="key", customers="bigint", large="bigint",
+)
+graph_query(
+    "parameter_query", "customer orders", """SELECT ?c ?first ?year { { SELECT ?c (MIN(?d) AS ?first) (SAMPLE(?s) AS ?seg) { ?o v:by ?c ; v:date ?d . ?c v:segment ?s } GROUP BY ?c }
+    FILTER EXISTS { ?x v:by ?c ; v:status 'F' } BIND(YEAR(?first) AS ?year) FILTER(?seg = 'BUILDING') }""",
+    """SELECT o_custkey AS c, min(o_orderdate) AS first, CAST(year(min(o_orderdate)) AS BIGINT) AS year FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'
+    AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""", c="key", first="timestamp_ntz", year="bigint",
+)
+graph_query(
+    "concat_under_optional", "customer orders nation", """SELECT ?n ?list { ?n a v:Nation OPTIONAL { SELECT ?n (GROUP_CONCAT(DISTINCT ?s; SEPARATOR='|') AS ?list) { ?c v:inNation ?n ; v:segment ?s ; v:balance ?b FILTER(?b < -900) } GROUP BY ?n }
+    FILTER NOT EXISTS { ?k v:inNation ?n ; v:balance ?x FILTER(?x > 9990) } }""",
+    """SELECT CAST(n_nationkey AS BIGINT) AS n, list FROM nation LEFT JOIN (SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS list FROM customer WHERE c_acctbal < -900 GROUP BY 1) ON c_nationkey = n_nationkey
+    WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9990)""", n="key",
+)
+
+
+@query("sparql_arguments", "SELECT o_orderkey AS o FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000")
+def sparql_arguments(spark, d):
+    from .functions import terms as T
+
+    text, given = "SELECT ?o { ?o v:by $$ ; v:total ?t FILTER(?t > $$) }", [T.uri_code(NS["d"] + "customer/7"), T.literal_code("1000", T.XSD + "integer")]
+    return decode(Dataset(quads(spark, d, "orders"), unique=True).query(text, NS, arguments=given), o="key")
+
+
 @query("ask", "SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 100000) AS ask")
 def ask(spark, d):
     return Dataset(quads(spark, d, "orders"), unique=True).query("ASK { ?o v:total ?t FILTER(?t > 100000) }", NS)

@@ -186,3 +186,30 @@ def visible_spans(mentions: DataFrame) -> DataFrame:
     folded = mentions.where("begin is not null and end > begin").groupBy("doc").agg(ordered.alias("all")).select("doc", F.aggregate("all", start, take)["kept"].alias("kept"))
     return folded.select("doc", F.explode("kept").alias("m")).select("doc", "m.owner", "m.begin", "m.end")
 
+
+
+def factuality(values: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(mention, certainty, polarity, tense) of (doc, owner, resource, value) over event mentions (doc, owner, mention).
+
+    A property is taken from the value of the resource named like it; of several the smallest counts.
+    """
+    wide = values.where("value is not null").groupBy("doc", "owner").pivot("resource", ["certainty", "polarity", "tense"]).agg(F.min("value"))
+    return mentions.select("doc", "owner", "mention").join(wide, ["doc", "owner"]).select("mention", "certainty", "polarity", "tense")
+
+
+def document_resources(headers: DataFrame) -> DataFrame:
+    """(id, property, value) rows of two resources per header (doc, uri, created, language, layers): document and annotation.
+
+    They link to each other; nulls give no row; layers without a name are left out.
+    """
+    annotation = F.concat(F.col("uri"), F.lit(".naf"))
+    entry = lambda i, p, v: F.struct(i.alias("id"), F.lit(p).alias("property"), v.cast("string").alias("value"))
+    single = F.array(
+        entry(F.col("uri"), "annotatedWith", annotation),
+        entry(annotation, "annotationOf", F.col("uri")),
+        entry(F.col("uri"), "created", F.col("created")),
+        entry(F.col("uri"), "language", F.col("language")),
+        entry(annotation, "identifier", F.col("doc")),
+    )
+    layers = F.transform(F.coalesce("layers", F.array().cast("array<string>")), lambda x: entry(annotation, "layer", x))
+    return headers.where("uri is not null").select(F.inline(F.concat(single, layers))).where("value is not null").distinct()

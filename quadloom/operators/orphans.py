@@ -148,9 +148,9 @@ def orphans(
     spans = registry_terms(registry, shared, namespaces).groupBy("key", "since", "until").agg(F.min("rec_type").alias("rec_type"))
     by_day = hot_terms(spans, terms_limit)
     hot = by_day and by_day[0].select("key").distinct()
-    found = materialize(verdicts(refs, spans, hot).where(f"verdict <> 'ok' or n > {HEAVY_LEAST}"), "verdicts")
     total = statements.count() * 2
     heavy_from = max(HEAVY_LEAST + 1, int(total * heavy_share))
+    found = materialize(verdicts(refs, spans, hot).where((F.col("verdict") != "ok") | (F.col("n") >= heavy_from)), "verdicts")
     heavy = found.where(F.col("n") >= heavy_from)  # at most 1 / heavy_share rows
     rest = found.where((F.col("n") < heavy_from) & (F.col("verdict") != "ok"))
     marks = heavy.select("key", "period", F.lit(True).alias("is_heavy"), "verdict", "first", "rec_type", "terms")

@@ -38,9 +38,12 @@ class Dataset:
         self.quads, self.unique, self.functions = quads, unique, functions or {}
         self.spark: SparkSession = quads.sparkSession
 
-    def query(self, text: str, namespaces: dict[str, str] | None = None, bindings: dict[str, str] | None = None) -> DataFrame:
-        """Solutions of a SELECT, triples of a CONSTRUCT or DESCRIBE, one boolean of an ASK. ``bindings`` pre-binds variables."""
-        q = parse(text, namespaces)
+    def query(self, text: str, namespaces: dict[str, str] | None = None, bindings: dict[str, str] | None = None, arguments: list[str] | None = None) -> DataFrame:
+        """Solutions of a SELECT, triples of a CONSTRUCT or DESCRIBE, one boolean of an ASK.
+
+        ``bindings`` pre-binds variables; ``arguments`` are terms for the ``$$`` places of the text, one for each.
+        """
+        q = parse(text, namespaces, arguments)
         return Compiler(self, bindings or {}).run(q)
 
 

@@ -140,3 +140,53 @@ def test_streaming(spark, tmp_path, data):
     assert store.read().count() == recs.count()
 
 
+
+
+TURTLE = """@prefix e: <http://e/> . PREFIX x: <http://x#>
+e:s a e:T ; e:p "v"@en , 1.5 , [ e:q ( 1 e:o ) ] . # note
+_:b e:r _:b .
+@base <http://base/> .
+<rel> e:p <#f>, true .
+"""
+
+
+def test_turtle(spark, tmp_path):
+    from quadloom.sources import turtle
+
+    rows = turtle.parse_turtle(TURTLE)
+    assert len(rows) == 12 and ("Uhttp://base/rel", "Uhttp://e/p", "Uhttp://base/#f", None) in rows
+    trig = turtle.parse_turtle("@prefix e: <http://e/> . e:g { e:a e:b e:c . e:d e:e e:f } GRAPH e:h { e:a e:b e:c } e:x e:y e:z .")
+    assert sorted(r[3] or "" for r in trig) == ["", "Uhttp://e/g", "Uhttp://e/g", "Uhttp://e/h"]
+    (tmp_path / "a.ttl").write_text(TURTLE)
+    (tmp_path / "b.ttl").write_text(TURTLE)
+    (tmp_path / "bad.ttl").write_text("e:s e:p")
+    (tmp_path / "c.rj").write_text('{"_:n": {"http://e/p": [{"type": "literal", "value": "w", "lang": "nl"}, {"type": "uri", "value": "http://e/o"}]}}')
+    (tmp_path / "note.txt").write_text("nothing")
+    got = turtle.read_documents(spark, f"file://{tmp_path}")
+    assert got.groupBy("file").count().where("file = 'a.ttl'").collect()[0][1] == 12 and got.where("file = 'c.rj'").count() == 2 and got.where("file = 'bad.ttl'").count() == 0
+    assert got.where("s like 'B%'").select("s").distinct().count() == 2 * 4 + 1
+    q = got.where("file = 'a.ttl'").select("s", "p", "o", "g")
+    turtle.write_turtle(q, {"e": "http://e/"}, f"file://{tmp_path}/out")
+    text = "\n".join(r[0] for r in spark.read.text(f"file://{tmp_path}/out").collect())
+    assert sorted(r[:3] for r in turtle.parse_turtle(text)) == sorted((r.s, r.p, r.o) for r in q.collect())
+
+
+def test_places_for_arguments():
+    import pytest
+
+    from quadloom.plans.parser import SparqlError, parse
+
+    with pytest.raises(SparqlError):
+        parse("SELECT ?x { ?x ?p $$ }", {})
+    assert parse("SELECT ?x { ?x ?p $$ }", {}, ["Ua"]).body.triples[0].o.code == "Ua"
+
+
+def test_headers_and_factuality(spark):
+    from quadloom.operators import mentions as M
+
+    heads = spark.createDataFrame([("d", "http://d", "2014", None, ["terms", None]), ("x", None, None, None, None)], "doc string, uri string, created string, language string, layers array<string>")
+    got = {(r.id, r.property): r.value for r in M.document_resources(heads).collect()}
+    assert got["http://d", "annotatedWith"] == "http://d.naf" and got["http://d.naf", "layer"] == "terms" and len(got) == 5
+    values = spark.createDataFrame([("d", "e", "certainty", "CERTAIN"), ("d", "e", "polarity", "POS"), ("d", "z", "tense", "PAST")], "doc string, owner string, resource string, value string")
+    events = spark.createDataFrame([("d", "e", "m1")], "doc string, owner string, mention string")
+    assert [tuple(r) for r in M.factuality(values, events).collect()] == [("m1", "CERTAIN", "POS", None)]
