@@ -24,7 +24,7 @@ SHINGLE, RUN, SHARE = 5, 8, 0.5
 #: One changed word in so many.
 CHANGED = 10
 #: Words of all items together up to which their index is sent to every task.
-INDEX_WORDS = 5_000_000
+INDEX_WORDS = 1_000_000
 
 
 def shingle_hashes(ids: np.ndarray, n: int = SHINGLE) -> np.ndarray:
