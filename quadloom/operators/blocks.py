@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +29,13 @@ def blocks_in(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tab
         if not batch.num_rows:
             continue
         ids = batch.column(column).to_numpy()
-        start = 0
-        while start < len(ids):
-            end = start + int((ids[start:] == ids[start]).sum())
+        cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if current is not None and ids[start] != current:
                 yield pa.Table.from_batches(held)
                 held = []
             current = ids[start]
             held.append(batch.slice(start, end - start))
-            start = end
     if held:
         yield pa.Table.from_batches(held)
 
