@@ -213,3 +213,29 @@ def document_resources(headers: DataFrame) -> DataFrame:
     )
     layers = F.transform(F.coalesce("layers", F.array().cast("array<string>")), lambda x: entry(annotation, "layer", x))
     return headers.where("uri is not null").select(F.inline(F.concat(single, layers))).where("value is not null").distinct()
+
+
+def extract(tables: dict[str, DataFrame], winner: str | None = None) -> DataFrame:
+    """Mentions (see ``merge_mentions``) of the tables that ``files.read_annotations`` gives: entities first, then times.
+
+    An entity mention has the type ``object`` and its class, its best reference as property ``refersTo``; a time mention its
+    kind and value. Entities without a span and times without one give none.
+    """
+    words = tables["words"]
+    entities = tables["entities"]
+    reference = best_reference(tables["references"], winner).withColumnRenamed("owner", "entity")
+    named = entities.select("doc", "owner", "entity", "kind").distinct().join(reference, ["doc", "entity"], "left")
+    found = spans(entities, tables["terms"], words).join(named, ["doc", "owner"])
+    kind = entity_class(F.col("kind"))
+    objects = found.select(
+        "doc", "begin", "end", F.lit(1).alias("step"), "owner",
+        F.array_compact(F.array(F.lit("object"), kind)).alias("types"),
+        F.when(F.col("reference").isNotNull(), F.create_map(F.lit("refersTo"), F.col("reference"))).alias("props"),
+    )
+    placed = tables["times"].where("word is not null").join(words.select("doc", "word", "offset", "length"), ["doc", "word"])
+    dated = timex(placed.groupBy("doc", "owner", "kind", "value").agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end")))
+    times = dated.select(
+        "doc", "begin", "end", F.lit(2).alias("step"), "owner", "types",
+        F.when(F.col("value").isNotNull(), F.create_map(F.lit("value"), F.col("value"))).alias("props"),
+    )
+    return merge_mentions(objects.unionByName(times))

@@ -79,3 +79,11 @@ def test_columns(spark):
 def test_visible_spans(spark):
     rows = [("d", "a", 0, 5), ("d", "b", 3, 8), ("d", "c", 5, 6), ("d", "e", 6, 6), ("d", None, None, 4), ("x", "q", 2, 9)]
     assert {r.owner for r in M.visible_spans(spark.createDataFrame(rows, SPANS)).collect()} == {"a", "c", "q"}
+
+
+def test_hidden_links(spark):
+    from quadloom.operators import analytics as A
+
+    q = spark.createDataFrame([("Ue", "Udenotes", "Um1", "Ug"), ("Ue", "Udenotes", "Um1", "Uother"), ("Ue", "Udenotes", "Um2", None), ("Ue", "Ux", "Um3", None)], "s string, p string, o string, g string")
+    assert [tuple(r) for r in A.mention_entities(q, "Udenotes", "Ug").collect()] == [("Um2", "Ue")]
+    assert {r.kind: r.n for r in A.describe_terms(q).collect()} == {"uri": 4}

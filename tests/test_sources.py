@@ -85,6 +85,11 @@ def test_annotated_xml(spark, tmp_path):
     spans = M.spans(t["entities"], t["terms"], t["words"]).collect()
     assert [(r.doc, r.owner, r.begin, r.end) for r in spans] == [("d1.naf", "e1.0", 0, 4)]
     assert M.best_reference(t["references"]).collect()[0].reference.endswith("Anna")
+    got = {r.mention: (r.types, r.props) for r in M.extract(t).collect()}
+    assert got == {
+        "d1.naf#char=0,4": (["object", "person"], {"refersTo": "http://dbpedia.org/resource/Anna"}),
+        "d1.naf#char=5,9": (["time", "timex3_date"], {"value": "2015"}),
+    }
 
 
 def test_utilities(spark):
