@@ -139,8 +139,25 @@ _WIDE = (
     "select record_id, " + ", ".join(f"(select {sql} from picked p where p.record_id = ids.record_id and p.attribute = '{a}') as {a}" for a, sql in _ATTRIBUTES.items()) + " from ids"
 )
 
+_NESTED = """
+    with recursive best as (select record_no, arg_max(record_fields, (loaded_at, record_fields)) as f from raw_records
+    where record_fields is not null and json_valid(record_fields) and json_type(try_cast(record_fields as json)) = 'OBJECT' group by 1),
+    r as (select record_no, '' as node_path, cast(null as varchar) as parent_path, cast(f as json) as rec from best
+    union all select record_no, case when node_path = '' then step else node_path || '/' || step end, node_path, child from (
+    select record_no, node_path, (p - 1) || '.' || (v - 1) as step,
+    case when json_type(val) = 'VARCHAR' and starts_with(ltrim(val ->> '$'), '{') and json_valid(val ->> '$') then cast(val ->> '$' as json) else val end as child from (
+    select record_no, node_path, p, unnest(vals) as val, generate_subscripts(vals, 1) as v from (
+    select record_no, node_path, p, case when json_type(one) = 'ARRAY' then cast(one as json[]) else [one] end as vals from (
+    select record_no, node_path, p, coalesce(prop -> 'propertyValue', prop -> 'property_value') as one from (
+    select record_no, node_path, unnest(props) as prop, generate_subscripts(props, 1) as p from (
+    select record_no, node_path, case when json_type(rec -> 'properties') = 'ARRAY' then cast(rec -> 'properties' as json[]) else [rec -> 'properties'] end as props from r where json_exists(rec, '$.properties'))))
+    where one is not null))) where json_type(child) = 'OBJECT' and json_exists(child, '$.properties'))
+    select record_no, parent_path, node_path from r where parent_path is not null
+"""
+
 ORACLES: dict[str, str] = {
     "p1_wide": _WIDE,
+    "p3_found": " ".join(_NESTED.split()),
     "p1_found": f"with {_CELLS} select distinct record_id, attribute from cells where ok",
     "p2_found": _ORPHANS + "select statement_id, ref_field, orphan_kind from found",
     "p2_report": _ORPHANS + "select ref_field, rec_type, cast(coalesce(year(first_seen) * 100 + month(first_seen), 0) as int) as period, orphan_kind, count(*) as n from found group by 1, 2, 3, 4",
