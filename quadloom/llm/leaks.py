@@ -8,7 +8,7 @@ windows of the item's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,30 +129,39 @@ def prefix_shingles(index: Index, frequency: np.ndarray) -> np.ndarray:
     return inside
 
 
-def pairs_of(index: Index, prefix: np.ndarray, ids: np.ndarray, hits: np.ndarray, shingles: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(item, words held, words of the item) for the items that a document holds enough of."""
-    entries = [np.arange(index.starts[s], index.starts[s + 1]) for s in shingles]
-    if not entries:
-        return
-    where = np.repeat(hits, [len(e) for e in entries])
-    entry = np.concatenate(entries)
-    owners = index.of_item[entry]
-    for item in np.unique(owners[prefix[entry]]):  # candidates share a prefix shingle
-        words = index.items[item]
+def pairs_in(
+    index: Index, prefix: np.ndarray, doc: np.ndarray, hits: np.ndarray, shingles: np.ndarray, texts: Callable[[int], np.ndarray]
+) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, words held, words of the item) for the pairs of a batch where enough is held.
+
+    ``doc``, ``hits`` and ``shingles`` hold, for each shared shingle, the document, the position in it, and which shingle it
+    is; ``texts`` gives a document's words.
+    """
+    n = index.starts[shingles + 1] - index.starts[shingles]
+    row = np.repeat(np.arange(len(shingles)), n)
+    entry = index.starts[shingles][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    sizes = np.array([len(i) for i in index.items], np.int64)
+    least = np.array([least_shared(x) for x in sizes], np.int64)
+    pair, place = doc[row] * len(sizes) + index.of_item[entry], index.positions[entry]
+    joined = np.unique(pair[prefix[entry]])  # candidates share a prefix shingle
+    width = int(sizes.max(initial=1))
+    met, shared = np.unique(np.unique(pair * width + place) // width, return_counts=True)
+    met = met[shared >= least[met % len(sizes)]]  # with fewer shared shingles too little can be held
+    good = np.flatnonzero(np.isin(pair, np.intersect1d(joined, met)))
+    good = good[np.argsort(pair[good], kind="stable")]
+    ends = np.flatnonzero(np.diff(pair[good], append=-1)) + 1
+    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        mine = good[start:end]
+        d, i = divmod(int(pair[mine[0]]), len(sizes))
+        ids, words = texts(d), index.items[i]
         need = int(np.ceil(len(words) * SHARE))
-        if len(ids) < need:  # too short to hold enough
-            continue
-        mine = owners == item
-        places = index.positions[entry[mine]]
-        if len(np.unique(places)) < least_shared(len(words)):  # too few shared shingles to hold enough
-            continue
-        offset = where[mine] - places
+        offset = np.unique(hits[row[mine]] - place[mine])
         reach = np.minimum(len(words), len(ids) - offset) - np.maximum(0, -offset)
-        if int(reach.sum()) < need:  # windows too far at the edge to hold enough
+        if len(ids) < need or int(reach.sum()) < need:  # too short, or its windows too far at the edge, to hold enough
             continue
-        n = held(words, ids, np.unique(offset))
-        if n >= need:
-            yield int(item), n, len(words)
+        found = held(words, ids, offset)
+        if found >= need:
+            yield d, i, found, len(words)
 
 
 def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -219,11 +228,11 @@ def _leaked(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, inside = sent.value, prefix.value
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for row in range(batch.num_rows):
-                ids, hit, shingle = (batch.column(c)[row].values.to_numpy().astype(np.int64) for c in ("words", "hits", "shingles"))
-                doc = batch.column("doc_id")[row].as_py()
-                out.extend((doc, index.item_ids[i], n, size) for i, n, size in pairs_of(index, inside, ids, hit, shingle))
+            lists, docs, words = batch.column("shingles"), batch.column("doc_id"), batch.column("words")
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            hits, shingles = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("hits", "shingles"))
+            pairs = pairs_in(index, inside, doc, hits, shingles, lambda d: words[d].values.to_numpy().astype(np.int64))
+            out = [(docs[d].as_py(), index.item_ids[i], n, size) for d, i, n, size in pairs]
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
