@@ -55,5 +55,10 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p6_found, p6_report, p7_found, p7_report, p7_mix, p8_found, p8_composition)
 }
-#: None of these can be expressed in SQL; tests hold them against brute force and held-out labels.
-ORACLES: dict[str, str] = {}
+#: p7_found with words and marks as tokens, as any tokenizer gives the same sources. The others can't be expressed in SQL;
+#: tests hold them against brute force, invariants and held-out labels.
+ORACLES: dict[str, str] = {
+    "p7_found": "with t as (select lower(trim(source)) as label, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}]+|[\\p{N}]+|[^\\s\\p{L}\\p{N}]')) as n from documents), "
+    "s as (select label, sum(n) as n from t group by 1) select source from mix_targets left join s on label = lower(trim(source)) "
+    "where coalesce(n, 0) * max_repeats < target_share * (select sum(n) from t)"
+}
