@@ -37,7 +37,7 @@ COMMON = 0.9
 #: Language labels below this share of the documents are not looked at.
 LANGUAGE_SHARE = 0.002
 
-_END = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+(?=[^a-z\s])|\n\s*\n|\r?\n(?==)")
+_END = re.compile(r"[.!?…][\"”»')\]]*\s+(?=[^a-z\s])|\n\s*\n|\r?\n(?==)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
