@@ -260,20 +260,35 @@ def cognates(counts: np.ndarray, posterior: np.ndarray, terms: list[str], l: int
     return out
 
 
+#: Documents updated together, so that their terms stay in a core's cache.
+CHUNK = 500
+
+
 def mixtures(h: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multiplicative updates of the documents' mixtures, and the last split of the counts over the components."""
-    k = len(h)
-    mix = np.full((size, k), 1.0 / k, np.float32)
-    like = np.ascontiguousarray(h.T.astype(np.float32))[term]
-    counts = n.astype(np.float32)
-    first = np.searchsorted(row, np.arange(size))  # rows come document by document, none is empty
-    part = like
-    for _ in range(INNER):
-        part = mix[row]
-        part *= like
-        part *= (counts / (part.sum(1) + 1e-30))[:, None]
-        mix = np.add.reduceat(part, first, axis=0) + np.float32(0.01)
-        mix /= mix.sum(1, keepdims=True)
+    """Multiplicative updates of the documents' mixtures, and the last split of the counts over the components.
+
+    ``row`` comes document by document and none is empty.
+    """
+    h = h.astype(np.float32)
+    mix, part = np.empty((len(h), size), np.float32), np.empty((len(h), len(row)), np.float32)
+    for start in range(0, size, CHUNK):
+        end = min(size, start + CHUNK)
+        low, high = np.searchsorted(row, [start, end])
+        mix[:, start:end], part[:, low:high] = _mixtures(h[:, term[low:high]], row[low:high] - start, n[low:high].astype(np.float32), end - start)
+    return mix.T, part.T
+
+
+def _mixtures(like: np.ndarray, row: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.searchsorted(row, np.arange(size))
+    lengths = np.diff(np.append(first, len(row)))
+    mix, part = np.full((len(like), size), np.float32(1 / len(like))), like
+    for step in range(INNER):
+        spread = np.repeat(mix, lengths, axis=1)
+        weight = n / (np.einsum("ij,ij->j", spread, like) + np.float32(1e-30))
+        if step == INNER - 1:
+            part = spread * like * weight
+        mix = mix * np.add.reduceat(like * weight, first, axis=1) + np.float32(0.01)
+        mix /= mix.sum(0)
     return mix, part
 
 
