@@ -72,16 +72,21 @@ def lang_of(t: Column) -> Column:
     return F.when(mark.startswith("@"), mark.substr(F.lit(2), F.length(mark))).when(mark.isNotNull(), "")
 
 
+def _has_type(t: Column, types: tuple[str, ...]) -> Column:
+    return F.substring_index(t, SEP, 1).isin(*["L" + x for x in types])
+
+
 def is_numeric(t: Column) -> Column:
-    return F.coalesce(tag(t).isin(*NUMERIC), F.lit(False))
+    return F.coalesce(_has_type(t, NUMERIC), F.lit(False))
 
 
 def number_of(t: Column) -> Column:
-    return F.when(is_numeric(t), lexical_form(t).try_cast("double"))
+    """The number of a numeric literal; null for all else. Numbers hold no separator, so the last part is the number."""
+    return F.when(_has_type(t, NUMERIC), F.substring_index(t, SEP, -1).try_cast("double"))
 
 
 def is_integer(t: Column) -> Column:
-    return F.coalesce(tag(t).isin(*INTEGER), F.lit(False))
+    return F.coalesce(_has_type(t, INTEGER), F.lit(False))
 
 
 def time_of(t: Column) -> Column:
