@@ -11,7 +11,7 @@ from .functions.uris import namespace_map
 from .operators.balanced import key_results
 from .operators.frequent import frequent_values
 from .operators.orphans import orphan_counts, orphans
-from .operators.shred import adjacency, nested_records, property_table, record_table
+from .operators.shred import adjacency, member_table, nested_records, property_table, record_table
 from .operators.wide import filled_cells, stitch
 from .runtime import table
 
@@ -55,6 +55,10 @@ def p3_properties(spark: SparkSession, d: str) -> DataFrame:
     return property_table(adjacency(table(spark, d, "raw_records")))
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    return member_table(adjacency(table(spark, d, "raw_records")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return key_results(table(spark, d, "statements"), _names(spark, d), share=0.02).select("key_field", "key_value")
 
@@ -72,7 +76,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_report, p3_found, p3_records, p3_properties, p4_found, p4_results, p5_found, p5_counts)
+    f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_report, p3_found, p3_records, p3_properties, p3_members, p4_found, p4_results, p5_found, p5_counts)
 }
 
 

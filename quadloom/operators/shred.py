@@ -182,10 +182,11 @@ def record_table(nodes: DataFrame) -> DataFrame:
 
 
 def property_table(nodes: DataFrame) -> DataFrame:
-    """(record_no, record, property, value, property_uri, kind, scalar, child_record, members of value objects).
+    """(record_no, record, property, value, property_uri, kind, scalar, value_node, child_record, members of value objects).
 
     One row per property value; a property without a value, or with an empty array, has one row of null ``value``.
     ``record`` points to ``record_table.node``; ``child_record`` to the nested record that is the value, if it is one.
+    The columns of members hold scalars right below the value; ``member_table`` has all that is below ``value_node``.
     """
     props = nodes.where("kind = 'property'").select("record_no", F.col("node").alias("holder"), "record", "property")
     uris = nodes.where("label = 'propertyURI'").groupBy("record_no", F.col("parent").alias("holder")).agg(F.min("scalar").alias("property_uri"))
@@ -205,13 +206,29 @@ def property_table(nodes: DataFrame) -> DataFrame:
         .join(values, ["record_no", "holder"], "left")
         .join(members, ["record_no", "value_node"], "left")
         .select(
-            "record_no", "record", "property", "value", "property_uri", "kind", "scalar",
+            "record_no", "record", "property", "value", "property_uri", "kind", "scalar", "value_node",
             F.when(F.col("kind") == "record", F.col("value_node")).alias("child_record"),
             *(f"value_{m}" for m in VALUE_MEMBERS),
         )
     )
 
 
+def member_table(nodes: DataFrame) -> DataFrame:
+    """(record_no, record, property, value, node, parent, label, ordinal, kind, scalar): one row per member, however deep.
+
+    Members are all nodes but records, properties and property values: those below a value object or array, with any name,
+    and the other members of properties and records. ``parent`` is the ``value_node`` of ``property_table``, the node of
+    another member, of a property (``property`` is set, ``value`` is null) or of a record. Elements of an array have the
+    label of the array.
+    """
+    members = nodes.where("kind not in ('record', 'property')")
+    maybe_value = (F.col("label") == "propertyValue") & F.col("value").isNotNull()  # or below one, with the same label
+    holders = nodes.where("kind = 'property'").select("record_no", F.col("node").alias("parent"))
+    inner = members.where(maybe_value).join(holders, ["record_no", "parent"], "left_anti")
+    members = members.where(~F.coalesce(maybe_value, F.lit(False))).unionByName(inner)
+    return members.select("record_no", "record", "property", "value", "node", "parent", "label", "ordinal", "kind", "scalar")
+
+
 def nested_records(raw: DataFrame) -> DataFrame:
     """(record_no, parent_path, node_path) of the records nested in others."""
     return record_table(adjacency(raw)).where(F.col("parent_record").isNotNull()).select("record_no", "parent_path", "node_path")

@@ -112,6 +112,53 @@ def test_every_value_has_one_row(spark, data):
     assert values.groupBy("record_no", "record", "property", "value").count().where("count > 1").count() == 0
 
 
+def scalars(text):
+    """All scalars of a JSON text that are not null, as text; JSON text of a record counts as the record."""
+    out, stack = [], [(S.parse(text), False)]
+    while stack:
+        x, held = stack.pop()
+        if isinstance(x, dict):
+            for name, y in x.items():
+                is_value = held and S._role(name) == "propertyvalue"
+                for one in y if isinstance(y, list) else [y]:
+                    one = S._as_record(one) if is_value else one
+                    record = isinstance(one, dict) and (name == "properties" or "properties" in one)
+                    stack.append((one, record))
+        elif isinstance(x, list):
+            stack.extend((y, False) for y in x)
+        elif x is not None:
+            out.append(str(x).lower() if isinstance(x, bool) else str(x))
+    return sorted(out)
+
+
+NESTED = [
+    json.dumps(rec(("a", {"subject": {"identifier": "s1"}, "predicate": {"identifier": "p1"}, "object": {"label": "o", "language": "en"}, "odd": [1, [True, {"deep": "x"}]]}))),
+    json.dumps(rec(("a", [[1, 2], [3]]), ("b", {"id": {"identifier": {"v": 4}}}), id={"identifier": "i", "scheme": "k"}, created=7)),
+    json.dumps({"properties": [5, {"propertyURI": "u", "property_uri": "w", "weight": 0.5, "propertyValue": {"p": {}, "q": None}}]}),
+]
+
+
+def test_nested_members(spark):
+    nodes = S.adjacency(spark.createDataFrame(rows(NESTED), RAW))
+    members = {(r.record_no, r.node): r for r in S.member_table(nodes).collect()}
+    value = S.property_table(nodes).where("record_no = 0").collect()[0]
+    below = {(members[0, r.parent].label, r.label): r.scalar for r in members.values() if r.record_no == 0 and (0, r.parent) in members and members[0, r.parent].parent == value.value_node}
+    assert below["subject", "identifier"] == "s1" and below["predicate", "identifier"] == "p1" and below["object", "language"] == "en"
+    assert any(r.label == "weight" and r.scalar == "0.5" and r.value is None for r in members.values())
+
+
+@pytest.mark.parametrize("given", [True, False])
+def test_every_scalar_is_in_the_tables(spark, data, given):
+    raw = spark.read.parquet(f"{data}/raw_records.parquet") if given else spark.createDataFrame(rows(NESTED + TEXTS), RAW)
+    nodes = S.adjacency(raw)
+    got = {}
+    for t in (S.property_table(nodes), S.member_table(nodes)):
+        for r in t.where("scalar is not null").select("record_no", "scalar").collect():
+            got.setdefault(r.record_no, []).append(r.scalar)
+    want = {r.record_no: scalars(r.record_fields) for r in S.current_deliveries(raw).collect()}
+    assert {no: sorted(x) for no, x in got.items()} == {no: x for no, x in want.items() if x}
+
+
 def test_empty(spark):
     assert S.nested_records(spark.createDataFrame([], RAW)).count() == 0
 
