@@ -7,15 +7,15 @@ from .reference_queries import query
 from .star import NS, decode, quads
 
 
-def _run(tables: str, text: str, **kinds: str):
+def _run(tables: str, text: str, unique: bool = True, **kinds: str):
     def run(spark, d):
-        return decode(Dataset(quads(spark, d, *tables.split()), unique=True).query(text, NS), **kinds)
+        return decode(Dataset(quads(spark, d, *tables.split()), unique=unique).query(text, NS), **kinds)
 
     return run
 
 
-def graph_query(name: str, tables: str, text: str, sql: str, **kinds: str) -> None:
-    query(name, sql)(_run(tables, text, **kinds))
+def graph_query(name: str, tables: str, text: str, sql: str, unique: bool = True, **kinds: str) -> None:
+    query(name, sql)(_run(tables, text, unique, **kinds))
 
 
 graph_query("bgp_scan", "nation", "SELECT ?n ?name { ?n a v:Nation ; v:name ?name }", "SELECT CAST(n_nationkey AS BIGINT) AS n, n_name AS name FROM nation", n="key")
@@ -103,6 +103,12 @@ graph_query(
     "path_seq", "lineitem orders customer", "SELECT ?l ?n { ?l v:of/v:by/v:inNation ?n }",
     "SELECT 'http://example.org/line/' || l_orderkey || '-' || l_linenumber AS l, CAST(c_nationkey AS BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey", n="key",
 )
+# lines repeat their keys: path_seq has a solution for each row, path_seq_set for each triple of the set
+graph_query(
+    "path_seq_set", "lineitem orders customer", "SELECT ?l ?n { ?l v:of/v:by/v:inNation ?n }",
+    "SELECT DISTINCT 'http://example.org/line/' || l_orderkey || '-' || l_linenumber AS l, CAST(c_nationkey AS BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey",
+    unique=False, n="key",
+)
 graph_query(
     "path_alt", "part", "SELECT ?p ?x { ?p v:brand|v:kind ?x }", "SELECT p_partkey AS p, p_brand AS x FROM part UNION ALL SELECT p_partkey, p_type FROM part", p="key",
 )

@@ -152,3 +152,11 @@ def test_quads_text_round_trip(spark):
     assert sorted(map(str, Q.parse_nquads(lines.unionByName(extra)).collect())) == sorted(map(str, q.collect()))
     assert Q.deskolemize(Q.skolemize(q)).exceptAll(q).count() == 0
     assert Q.remove_quads(q, q.where("g is null")).count() == 4 and Q.add_quads(q, q).count() == 8
+
+
+def test_path_over_repeated_lines(spark, data):
+    from quadloom.reference_queries import QUERIES
+
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    got = QUERIES["path_seq_set"](spark, data)
+    assert got.count() == got.distinct().count() == lines.distinct().count() < lines.count()
