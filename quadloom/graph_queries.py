@@ -250,6 +250,55 @@ def path_plus_from(spark, d):
     return decode(Dataset(_edges(spark, d), unique=True).query("SELECT ?b { <http://example.org/user/1> v:next+ ?b }", NS), b="key")
 
 
+def next_users(events):
+    """(a, b): distinct pairs of users of whom b has the event next after one of a, by ts and event_id, over all events.
+
+    Events are cut into ranges; the last event of each meets the first of the range after it, so no task has them all.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from .runtime import materialize
+
+    e = events.where("user_id is not null and event_id is not null").select("ts", "event_id", "user_id")
+    e = materialize(e.repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id()), "ranges")
+    order = F.struct("ts", "event_id")
+    firsts = e.groupBy("part").agg(F.min_by("user_id", order).alias("first"))  # a row for each range
+    after = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("after"))
+    w = Window.partitionBy("part").orderBy("ts", "event_id")
+    paired = e.withColumn("b", F.lead("user_id").over(w)).join(F.broadcast(after), "part")
+    return paired.select(F.col("user_id").alias("a"), F.coalesce("b", "after").alias("b")).where("b is not null").distinct()
+
+
+def _user_quads(spark, d):
+    from pyspark.sql import functions as F
+
+    from .functions import terms as T
+    from .runtime import table
+
+    iri = lambda c: F.concat(F.lit("Uhttp://example.org/user/"), F.col(c).cast("string"))
+    return next_users(table(spark, d, "events")).select(iri("a").alias("s"), F.lit(T.uri_code(NS["v"] + "next")).alias("p"), iri("b").alias("o"), F.lit(None).cast("string").alias("g"))
+
+
+_CLOSURE_USERS = """WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts NULLS FIRST, event_id) AS b FROM events
+    WHERE user_id IS NOT NULL AND event_id IS NOT NULL) WHERE b IS NOT NULL), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)"""
+
+
+@query("path_plus_users", _CLOSURE_USERS + " SELECT a, b FROM c")
+def path_plus_users(spark, d):
+    return decode(Dataset(_user_quads(spark, d), unique=True).query("SELECT ?a ?b { ?a v:next+ ?b }", NS), a="key", b="key")
+
+
+@query("path_star_users", _CLOSURE_USERS + " SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e")
+def path_star_users(spark, d):
+    return decode(Dataset(_user_quads(spark, d), unique=True).query("SELECT ?a ?b { ?a v:next* ?b }", NS), a="key", b="key")
+
+
+@query("path_plus_from_users", _CLOSURE_USERS + " SELECT b FROM c WHERE a = 1")
+def path_plus_from_users(spark, d):
+    return decode(Dataset(_user_quads(spark, d), unique=True).query("SELECT ?b { <http://example.org/user/1> v:next+ ?b }", NS), b="key")
+
+
 @query("statement_types", """WITH t AS (SELECT DISTINCT object AS type, subject FROM statements WHERE predicate = 'http://ns.veldmark.example/triples#type' AND object_kind = 'uri' AND subject IS NOT NULL)
     SELECT type, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1""")
 def statement_types(spark, d):

@@ -160,3 +160,27 @@ def test_path_over_repeated_lines(spark, data):
     lines = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_linenumber")
     got = QUERIES["path_seq_set"](spark, data)
     assert got.count() == got.distinct().count() == lines.distinct().count() < lines.count()
+
+
+def test_closures_over_all_users(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    from quadloom.graph_queries import next_users
+    from quadloom.reference_queries import QUERIES
+
+    rng, start = random.Random(1), datetime(2024, 1, 1)
+    users = [rng.randrange(12) for _ in range(20)] + list(range(200, 205))  # a part with cycles, then a chain beyond 97
+    users.insert(5, 1)
+    rows = [(i, start + timedelta(seconds=i // 3), u) for i, u in enumerate(users)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    edges = set(zip(users, users[1:]))
+    assert {tuple(r) for r in next_users(spark.read.parquet(f"{tmp_path}/events.parquet")).collect()} == edges
+    plus = set(edges)
+    while more := {(a, d) for a, b in plus for c, d in edges if b == c} - plus:
+        plus |= more
+    got = {n: sorted(tuple(r) for r in QUERIES[n](spark, str(tmp_path)).collect()) for n in ("path_plus_users", "path_star_users", "path_plus_from_users")}
+    assert got["path_plus_users"] == sorted(plus)
+    assert got["path_star_users"] == sorted(plus | {(u, u) for u in users})
+    assert got["path_plus_from_users"] == sorted((b,) for a, b in plus if a == 1)
