@@ -17,7 +17,7 @@ from ..runtime import materialize
 
 _ADJACENCY = (
     "record_no bigint, node int, parent int, label string, ordinal int, kind string, scalar string, "
-    "record int, property int, value int, path string"
+    "record int, property int, value int"
 )
 #: Members of a value object that become columns of the property table (fixed names of the record format).
 VALUE_MEMBERS = ("identifier", "label", "language", "timestamp", "timezone", "context", "subject", "predicate", "object", "id")
@@ -65,50 +65,50 @@ def _as_record(value: object) -> object:
 
 
 def adjacency_of(record_no: int, root: dict) -> list[tuple]:
-    """Rows (record_no, node, parent, label, ordinal, kind, scalar, record, property, value, path), root first.
+    """Rows (record_no, node, parent, label, ordinal, kind, scalar, record, property, value); the root is node 0.
 
-    Kinds: record, property, object, array, string, number, boolean, null. ``record`` is the node of the record that a
-    node belongs to (of a nested record: of the one around it); ``property`` and ``value`` are the positions in it;
-    ``path`` is set for records.
+    Kinds: record, property, object, array, string, number, boolean, null. The ordinal of a property or of a property value
+    is its position from 0, alone or not. ``record``, ``property`` and ``value`` say below which property value of which
+    record a node lies; only ``member_table`` needs them.
     """
     rows: list[tuple] = []
-    stack: list[tuple] = [(root, None, None, 0, "record", None, None, None, "")]
+    stack: list[tuple] = [(root, None, None, 0, "record", None, None, None)]
     while stack:
-        value, parent, label, ordinal, role, record, prop, at, path = stack.pop()
+        value, parent, label, ordinal, role, record, prop, at = stack.pop()
         node = len(rows)
         if role == "record":
-            rows.append((record_no, node, parent, label, ordinal, "record", None, record, prop, at, path))
+            rows.append((record_no, node, parent, label, ordinal, "record", None, record, prop, at))
             for i, (name, x) in enumerate(value.items()):
                 if name == "properties":
                     for p, one in enumerate(x if isinstance(x, list) else [x]):
                         if isinstance(one, dict):
-                            stack.append((one, node, name, p, "property", node, p, None, path))
+                            stack.append((one, node, name, p, "property", node, p, None))
                         else:
-                            stack.append((one, node, name, p, "plain", node, p, None, None))
+                            stack.append((one, node, name, p, "plain", node, p, None))
                 else:
-                    stack.append((x, node, name, i, "plain", node, None, None, None))
+                    stack.append((x, node, name, i, "plain", node, None, None))
         elif role == "property":
-            rows.append((record_no, node, parent, label, ordinal, "property", None, record, prop, None, None))
+            rows.append((record_no, node, parent, label, ordinal, "property", None, record, prop, None))
             for i, (name, x) in enumerate(value.items()):
                 if _role(name) != "propertyvalue":
-                    stack.append((x, node, "propertyURI" if _role(name) == "propertyuri" else name, i, "plain", record, prop, None, None))
+                    stack.append((x, node, "propertyURI" if _role(name) == "propertyuri" else name, i, "plain", record, prop, None))
                     continue
                 for v, one in enumerate(x if isinstance(x, list) else [x]):
                     one = _as_record(one)
                     if isinstance(one, dict) and "properties" in one:
-                        stack.append((one, node, "propertyValue", v, "record", record, prop, v, f"{path}/{prop}.{v}".lstrip("/")))
+                        stack.append((one, node, "propertyValue", v, "record", record, prop, v))
                     else:
-                        stack.append((one, node, "propertyValue", v, "plain", record, prop, v, None))
+                        stack.append((one, node, "propertyValue", v, "plain", record, prop, v))
         elif isinstance(value, dict):
-            rows.append((record_no, node, parent, label, ordinal, "object", None, record, prop, at, None))
-            stack.extend((x, node, name, i, "plain", record, prop, at, None) for i, (name, x) in enumerate(value.items()))
+            rows.append((record_no, node, parent, label, ordinal, "object", None, record, prop, at))
+            stack.extend((x, node, name, i, "plain", record, prop, at) for i, (name, x) in enumerate(value.items()))
         elif isinstance(value, list):
-            rows.append((record_no, node, parent, label, ordinal, "array", None, record, prop, at, None))
-            stack.extend((x, node, label, i, "plain", record, prop, at, None) for i, x in enumerate(value))
+            rows.append((record_no, node, parent, label, ordinal, "array", None, record, prop, at))
+            stack.extend((x, node, label, i, "plain", record, prop, at) for i, x in enumerate(value))
         else:
             kind = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, _Number) else "string"
             text = None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
-            rows.append((record_no, node, parent, label, ordinal, kind, text, record, prop, at, None))
+            rows.append((record_no, node, parent, label, ordinal, kind, text, record, prop, at))
     return rows
 
 
@@ -136,7 +136,7 @@ def adjacency(raw: DataFrame) -> DataFrame:
     Null and unreadable texts, texts that are no JSON object, and rows without a record_no yield nothing.
     """
     schema = pa.schema(
-        [("record_no", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("record", pa.int32()), ("property", pa.int32()), ("value", pa.int32()), ("path", pa.string())]
+        [("record_no", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("record", pa.int32()), ("property", pa.int32()), ("value", pa.int32())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +153,33 @@ def adjacency(raw: DataFrame) -> DataFrame:
     return materialize(current_deliveries(raw).mapInArrow(run, _ADJACENCY), "adjacency")
 
 
+def record_links(nodes: DataFrame) -> DataFrame:
+    """(record_no, node, parent_record, parent_property, parent_value): of nested records, by way of the property between."""
+    holders = nodes.where("kind = 'property'").select(
+        "record_no", F.col("node").alias("holder"), F.col("parent").alias("parent_record"), F.col("ordinal").alias("parent_property")
+    )
+    nested = nodes.where("kind = 'record' and parent is not null").select(
+        "record_no", "node", F.col("parent").alias("holder"), F.col("ordinal").alias("parent_value")
+    )
+    return nested.join(holders, ["record_no", "holder"]).select("record_no", "node", "parent_record", "parent_property", "parent_value")
+
+
+def record_paths(links: DataFrame) -> DataFrame:
+    """(record_no, node, parent_record, parent_property, parent_value, node_path, parent_path) of ``record_links``.
+
+    Each row knows its path from some record above it. Rows take over the path of that record, which reaches twice as far
+    up each time, until all paths begin at the root (node 0): a join per doubling of the depth.
+    """
+    step = F.concat_ws(".", "parent_property", "parent_value")
+    rows = materialize(links.select("*", F.nullif("parent_record", F.lit(0)).alias("up"), step.alias("node_path")), "paths")
+    while rows.where("up is not null").take(1):
+        above = rows.select("record_no", F.col("node").alias("up"), F.col("up").alias("next_up"), F.col("node_path").alias("path_above"))
+        moved = rows.where("up is not null").join(above, ["record_no", "up"])
+        longer = moved.select(*links.columns, F.col("next_up").alias("up"), F.concat_ws("/", "path_above", "node_path").alias("node_path"))
+        rows = materialize(rows.where("up is null").unionByName(longer), "paths")
+    return rows.drop("up").withColumn("parent_path", F.regexp_replace("node_path", r"/?[^/]*$", ""))
+
+
 def record_table(nodes: DataFrame) -> DataFrame:
     """(record_no, node, parent_record, parent_property, parent_value, node_path, parent_path, id): one row per record.
 
@@ -169,15 +196,10 @@ def record_table(nodes: DataFrame) -> DataFrame:
         .groupBy("record_no", "node")
         .agg(F.coalesce(F.min("plain_id"), F.min("boxed_id")).alias("id"))
     )
-    return nodes.where("kind = 'record'").join(ids, ["record_no", "node"], "left").select(
-        "record_no",
-        "node",
-        F.col("record").alias("parent_record"),
-        F.col("property").alias("parent_property"),
-        F.col("value").alias("parent_value"),
-        F.col("path").alias("node_path"),
-        F.when(F.col("record").isNotNull(), F.regexp_replace("path", r"/?[^/]*$", "")).alias("parent_path"),
-        "id",
+    roots = nodes.where("kind = 'record' and parent is null").select("record_no", "node", F.lit("").alias("node_path"))
+    located = record_paths(record_links(nodes)).unionByName(roots, allowMissingColumns=True)
+    return located.join(ids, ["record_no", "node"], "left").select(
+        "record_no", "node", "parent_record", "parent_property", "parent_value", "node_path", "parent_path", "id"
     )
 
 
@@ -186,16 +208,29 @@ def property_table(nodes: DataFrame) -> DataFrame:
 
     One row per property value; a property without a value, or with an empty array, has one row of null ``value``.
     ``record`` points to ``record_table.node``; ``child_record`` to the nested record that is the value, if it is one.
-    The columns of members hold scalars right below the value; ``member_table`` has all that is below ``value_node``.
+    The columns of members hold scalars right below the value, or where the member is an object (the subject of a statement,
+    say) its own identifier or label; ``member_table`` has all that is below ``value_node``.
     """
-    props = nodes.where("kind = 'property'").select("record_no", F.col("node").alias("holder"), "record", "property")
+    props = nodes.where("kind = 'property'").select(
+        "record_no", F.col("node").alias("holder"), F.col("parent").alias("record"), F.col("ordinal").alias("property")
+    )
     uris = nodes.where("label = 'propertyURI'").groupBy("record_no", F.col("parent").alias("holder")).agg(F.min("scalar").alias("property_uri"))
-    values = nodes.where("label = 'propertyValue' and value is not null").select(
-        "record_no", F.col("parent").alias("holder"), F.col("node").alias("value_node"), "value", "kind", "scalar"
+    values = nodes.where("label = 'propertyValue'").select(
+        "record_no", F.col("parent").alias("holder"), F.col("node").alias("value_node"), F.col("ordinal").alias("value"), "kind", "scalar"
+    )
+    named = nodes.where(F.col("scalar").isNotNull() & F.col("label").isin(*VALUE_MEMBERS)).select("record_no", F.col("parent").alias("value_node"), "label", "scalar")
+    boxes = nodes.where(F.col("label").isin(*VALUE_MEMBERS) & (F.col("kind") == "object")).select(
+        "record_no", F.col("parent").alias("value_node"), "label", F.col("node").alias("box")
+    )
+    naming = F.when(F.col("label") == "identifier", F.struct(F.lit(1), "scalar")).when(F.col("label") == "id", F.struct(F.lit(2), "scalar")).otherwise(F.struct(F.lit(3), "scalar"))
+    of_box = (
+        named.where("label in ('identifier', 'id', 'label')")
+        .groupBy("record_no", F.col("value_node").alias("box"))
+        .agg(F.min(naming)["scalar"].alias("scalar"))
     )
     members = (
-        nodes.where(F.col("scalar").isNotNull() & F.col("label").isin(*VALUE_MEMBERS))
-        .groupBy("record_no", F.col("parent").alias("value_node"))
+        named.unionByName(boxes.join(of_box, ["record_no", "box"]).select("record_no", "value_node", "label", "scalar"))
+        .groupBy("record_no", "value_node")
         .pivot("label", list(VALUE_MEMBERS))
         .agg(F.min("scalar"))
     )
