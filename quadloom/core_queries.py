@@ -1,4 +1,4 @@
-"""Queries p1 to p5 over the tables of a folder, and their SQL."""
+"""Queries p1 to p4 over the tables of a folder, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .functions.uris import namespace_map
 from .operators.balanced import key_results
-from .operators.frequent import frequent_values
 from .operators.orphans import orphan_counts, orphans
 from .operators.shred import adjacency, member_table, nested_records, property_table, record_table
 from .operators.wide import filled_cells, stitch
@@ -60,23 +59,15 @@ def p3_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return key_results(table(spark, d, "statements"), _names(spark, d), share=0.02).select("key_field", "key_value")
+    return key_results(table(spark, d, "statements"), _names(spark, d), share=0.02, subjects=False).select("key_field", "key_value")
 
 
 def p4_results(spark: SparkSession, d: str) -> DataFrame:
     return key_results(table(spark, d, "statements"), _names(spark, d))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return frequent_values(table(spark, d, "statements"), _names(spark, d), 0.005).select("item_field", "item")
-
-
-def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    return frequent_values(table(spark, d, "statements"), _names(spark, d), 0.005).select("item_field", "item", "n")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_report, p3_found, p3_records, p3_properties, p3_members, p4_found, p4_results, p5_found, p5_counts)
+    f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_report, p3_found, p3_records, p3_properties, p3_members, p4_found, p4_results)
 }
 
 
@@ -121,7 +112,8 @@ _ORPHANS = (
     "arg_min(case when f.first is null then 'missing' when r.asserted_at < f.first then 'later' else 'deleted' end, r.asserted_at) as orphan_kind, arg_min(f.rec_type, r.asserted_at) as rec_type "
     "from refs r left join firsts f using (key) anti join live l using (statement_id, ref_field, asserted_at) where r.key not in (select key from shared) and (f.first is null or r.asserted_at is not null) group by 1, 2) "
 )
-_ONCE = (
+#: Start of SQL over ``st``, each statement once by its first delivery.
+STATEMENTS_ONCE = (
     "with st as (select statement_id, s, p, case when object_kind = 'uri' then u else object end as o, asserted_at from "
     + _norm("statements", {"s": "b.subject", "p": "b.predicate", "u": "b.object"}, "b.statement_id, b.object_kind, b.object, b.asserted_at, b.loaded_at")
     + " qualify row_number() over (partition by statement_id order by loaded_at nulls first) = 1) "
@@ -165,8 +157,6 @@ ORACLES: dict[str, str] = {
     "p1_found": f"with {_CELLS} select distinct record_id, attribute from cells where ok",
     "p2_found": _ORPHANS + "select statement_id, ref_field, orphan_kind from found",
     "p2_report": _ORPHANS + "select ref_field, rec_type, cast(coalesce(year(first_seen) * 100 + month(first_seen), 0) as int) as period, orphan_kind, count(*) as n from found group by 1, 2, 3, 4",
-    "p4_found": _ONCE + "select key_field, key_value" + _FOUND4 + " having count(*) >= 0.02 * (select count(*) from st)",
-    "p4_results": _ONCE + "select key_field, key_value, count(*) as n, count(distinct s) as subjects, min(asserted_at) as first_at, max(asserted_at) as last_at" + _FOUND4,
-    "p5_found": _ONCE + "select item_field, item from (select 'object' as item_field, o as item from st union all select 'subject', s from st) where item is not null group by 1, 2 having count(*) >= 0.005 * (select count(*) from st)",
-    "p5_counts": _ONCE + "select item_field, item, count(*) as n from (select 'object' as item_field, o as item from st union all select 'subject', s from st) where item is not null group by 1, 2 having count(*) >= 0.005 * (select count(*) from st)",
+    "p4_found": STATEMENTS_ONCE + "select key_field, key_value" + _FOUND4 + " having count(*) >= 0.02 * (select count(*) from st)",
+    "p4_results": STATEMENTS_ONCE + "select key_field, key_value, count(*) as n, count(distinct s) as subjects, min(asserted_at) as first_at, max(asserted_at) as last_at" + _FOUND4,
 }

@@ -1,9 +1,9 @@
 """Per-key results in balanced time, by dense accumulator arrays.
 
 Rows are cut into even splits by a hash that has nothing to do with the keys. Within a split, keys are dictionary-encoded
-and measures are scattered into arrays with a slot per code. What a split sends on is at most one row per key and member,
-so a key with a third of all rows costs a reducer no more than its number of splits; reducers add the arrays up block by
-block.
+and measures are scattered into arrays with a slot per code. A split sends on blocks of these arrays, each with its part of
+the dictionary, so a key with a third of all rows costs a reducer one slot per split; reducers add the arrays up in two
+steps, the first over a few splits each. Subjects travel as codes beside them and are counted where equal ones meet.
 """
 
 from __future__ import annotations
@@ -16,10 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.uris import normalize_uri
-from .blocks import BLOCK_ROWS, block_count, block_of, map_blocks
+from .blocks import BLOCK_ROWS, block_count, block_of, codes_of, map_blocks, word_hashes
 
 _NONE_LOW, _NONE_HIGH = np.iinfo(np.int64).max, np.iinfo(np.int64).min
-_PARTIAL = "field string, key string, member string, n bigint, low bigint, high bigint, block int"
+#: One row per split, field and target block: a part of the dictionary, and either accumulators with a slot per key (n,
+#: members, low, high), or for each subject of a key its code in the dictionary and 128 bits that stand for the subject.
+_ARRAYS = (
+    "field string, block int, keys array<string>, n array<bigint>, members array<bigint>, low array<bigint>, high array<bigint>, "
+    "codes array<int>, first array<bigint>, second array<bigint>"
+)
+#: Splits whose arrays are added up together before they go to the block of their keys.
+FAN_IN = 16
+_SECOND = "second subject h"  # 16 characters that choose the second hash
 
 
 def statement_keys(statements: DataFrame, namespaces: dict[str, str]) -> DataFrame:
@@ -35,12 +43,12 @@ def statement_keys(statements: DataFrame, namespaces: dict[str, str]) -> DataFra
     )
 
 
-def even_rows(statements: DataFrame, namespaces: dict[str, str]) -> tuple[DataFrame, int]:
-    """The rows of ``statement_keys`` with a ``block`` of even size, and the number of statements (counted once by id).
+def even_rows(statements: DataFrame, namespaces: dict[str, str]) -> tuple[DataFrame, int, int]:
+    """The rows of ``statement_keys`` with a ``block`` of even size, the number of blocks, and that of statements (counted once by id).
 
-    Blocks are a hash of the id, so that repeated deliveries meet in one. An id delivered more often than a block holds rows
-    is reduced to its first delivery beforehand, by an aggregation that combines before the shuffle; there are fewer such
-    ids than blocks. Rows without an id are spread by their position.
+    Blocks are a hash of the id, so that repeated deliveries meet in one. Where an id is delivered more often than a block
+    holds rows, ids are reduced to their first delivery beforehand, by an aggregation that combines before the shuffle. Rows
+    without an id are spread by their position.
     """
     rows = statement_keys(statements, namespaces)
     counts = statements.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n"))
@@ -49,12 +57,12 @@ def even_rows(statements: DataFrame, namespaces: dict[str, str]) -> tuple[DataFr
         F.sum("n"), F.count("statement_id"), F.sum(F.when(null, F.col("n"))), F.max(F.when(~null, F.col("n")))
     ).first()
     if (most or 0) > BLOCK_ROWS:
-        hot = [r[0] for r in counts.where(~null & (F.col("n") > BLOCK_ROWS)).select("statement_id").collect()]
         names = [c for c in rows.columns if c != "id"]
-        first = rows.where(F.col("id").isin(hot)).groupBy("id").agg(F.min(F.struct(*names)).alias("r"))
-        rows = rows.where(F.col("id").isNull() | ~F.col("id").isin(hot)).unionByName(first.select("id", *[F.col(f"r.{c}").alias(c) for c in names]))
-    block = block_of(block_count(n or 0), F.coalesce(F.col("id"), F.monotonically_increasing_id()))
-    return rows.withColumn("block", block), ids + (bare or 0)
+        first = rows.where("id is not null").groupBy("id").agg(F.min(F.struct(*names)).alias("r"))
+        rows = rows.where("id is null").unionByName(first.select("id", *[F.col(f"r.{c}").alias(c) for c in names]))
+    blocks = block_count(n or 0)
+    block = block_of(blocks, F.coalesce(F.col("id"), F.monotonically_increasing_id()))
+    return rows.withColumn("block", block), blocks, ids + (bare or 0)
 
 
 def first_deliveries(table: pa.Table) -> np.ndarray:
@@ -70,22 +78,17 @@ def first_deliveries(table: pa.Table) -> np.ndarray:
     return np.sort(order[keep])
 
 
-def codes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Dense codes (-1 for null) and the dictionary they point into."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    encoded = column.dictionary_encode()
-    return encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
-
-
-def _scatter(codes: np.ndarray, size: int, n: np.ndarray | None, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    counts = np.bincount(codes, minlength=size) if n is None else np.zeros(size, np.int64)
-    if n is not None:
-        np.add.at(counts, codes, n)
+def _scatter(codes: np.ndarray, size: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lows, highs = np.full(size, _NONE_LOW), np.full(size, _NONE_HIGH)
     np.minimum.at(lows, codes, low)
     np.maximum.at(highs, codes, high)
-    return counts.astype(np.int64), lows, highs
+    return lows, highs
+
+
+def _add(codes: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, codes, values)
+    return out
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,20 +97,46 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(words: pa.Array) -> np.ndarray:
-    import xxhash
+def _rows(field: str, block: np.ndarray, lists: dict[str, pa.ListArray]) -> pa.RecordBatch:
+    kinds = {"keys": pa.string(), "codes": pa.int32()}
+    names = ("keys", "n", "members", "low", "high", "codes", "first", "second")
+    columns = [lists.get(c, pa.nulls(len(block), pa.list_(kinds.get(c, pa.int64())))) for c in names]
+    fields = pa.array([field] * len(block), pa.string())
+    return pa.RecordBatch.from_arrays([fields, pa.array(block.astype(np.int32)), *columns], names=["field", "block", *names])
+
+
+def _accumulators(field: str, target: np.ndarray, keys: pa.Array, n: np.ndarray, members: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    """Arrays with a slot per key, cut by the block that each key goes to."""
+    order = np.argsort(target, kind="stable")
+    blocks, starts = np.unique(target[order], return_index=True)
+    offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+    values = {"keys": keys.take(pa.array(order))} | {c: pa.array(v[order]) for c, v in (("n", n), ("members", members), ("low", low), ("high", high))}
+    return _rows(field, blocks, {c: pa.ListArray.from_arrays(offsets, v) for c, v in values.items()})
+
 
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+def _subjects(field: str, target: np.ndarray, key: np.ndarray, keys: pa.Array, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+    """Subjects of keys as codes, cut by the block in which a key's equal subjects meet; each block has its own dictionary."""
+    used, at = np.unique(target * len(keys) + key, return_inverse=True)
+    blocks, starts = np.unique(used // len(keys), return_index=True)
+    order = np.argsort(at, kind="stable")
+    group = np.searchsorted(blocks, target[order])
+    ends = np.searchsorted(group, np.arange(len(blocks) + 1)).astype(np.int32)
+    dictionary = pa.ListArray.from_arrays(pa.array(np.append(starts, len(used)).astype(np.int32)), keys.take(pa.array(used % len(keys))))
+    codes = (at[order] - starts[group]).astype(np.int32)
+    lists = {c: pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for c, v in (("codes", codes), ("first", first[order].view(np.int64)), ("second", second[order].view(np.int64)))}
+    return _rows(field, blocks, {"keys": dictionary, **lists})
 
 
-def _partials(fields: list[str], blocks: int):
-    """Of each split: a row per field, key and member, with the block that the pair is reduced in."""
+def _split(fields: list[str], blocks: int, spread: int, subjects: bool):
+    """Of each split: arrays of accumulators per field, and the different subjects of its keys."""
 
     def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         for table in tables:
+            group = int(table.column("block")[0].as_py()) // FAN_IN
             table = table.take(pa.array(first_deliveries(table)))
-            member, members = codes_of(table.column("member"))
-            hashes = np.append(_word_hashes(members), np.uint64(0))
+            if subjects:
+                member, members = codes_of(table.column("member"))
+                first, second = word_hashes(members), word_hashes(members, _SECOND)
             at = table.column("at").combine_chunks()
             low, high = at.fill_null(_NONE_LOW).to_numpy(), at.fill_null(_NONE_HIGH).to_numpy()
             for field in fields:
@@ -115,66 +144,82 @@ def _partials(fields: list[str], blocks: int):
                 rows = np.flatnonzero(key >= 0)
                 if not len(rows):
                     continue
-                pair, codes = np.unique(key[rows] * (len(members) + 1) + member[rows] + 1, return_inverse=True)
-                n, lows, highs = _scatter(codes, len(pair), None, low[rows], high[rows])
-                k, m = pair // (len(members) + 1), pair % (len(members) + 1) - 1
-                block = (_mix(_word_hashes(keys)[k], hashes[m]) % np.uint64(blocks)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([field]).take(pa.array(np.zeros(len(pair), np.int64))),
-                        keys.take(pa.array(k)),
-                        members.take(pa.array(m, mask=m < 0)),
-                        *map(pa.array, (n, lows, highs, block)),
-                    ],
-                    names=["field", "key", "member", "n", "low", "high", "block"],
-                )
+                key, names = key[rows], word_hashes(keys)
+                home = (names % np.uint64(blocks)).astype(np.int64)
+                n = np.bincount(key, minlength=len(keys)).astype(np.int64)
+                yield _accumulators(field, (home + group * 7919) % spread, keys, n, np.zeros(len(keys), np.int64), *_scatter(key, len(keys), low[rows], high[rows]))
+                if subjects:
+                    mine = member[rows]
+                    pair = np.unique(key[mine >= 0] * max(1, len(members)) + mine[mine >= 0])
+                    k, m = pair // max(1, len(members)), pair % max(1, len(members))
+                    if len(pair):
+                        yield _subjects(field, (_mix(names[k], first[m]) % np.uint64(spread)).astype(np.int64), k, keys, first[m], second[m])
 
     return run
 
 
-def _per_key(last: bool, blocks: int):
-    """Add a block's arrays up by field and key; the first time members are counted, then their counts are added."""
+def _sum_up(table: pa.Table) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(field, keys, n, members, low, high) of a block of rows: arrays added up, subjects counted."""
+    kinds, fields = codes_of(table.column("field"))
+    for f, field in enumerate(fields.to_pylist()):
+        mine = table.filter(pa.array(kinds == f)).combine_chunks()
+        lists = mine.column("keys").combine_chunks()
+        slot, keys = codes_of(lists.flatten())
+        sizes = lists.value_lengths().to_numpy()
+        counted = np.asarray(mine.column("codes").combine_chunks().is_valid())
+        flat = lambda c: mine.column(c).combine_chunks().flatten().to_numpy()  # noqa: E731, B023
+        sums = slot[np.repeat(~counted, sizes)]
+        n, members = (_add(sums, len(keys), flat(c)) for c in ("n", "members"))
+        low, high = _scatter(sums, len(keys), flat("low"), flat("high"))
+        if counted.any():
+            firsts = np.cumsum(sizes) - sizes
+            lengths = mine.column("codes").combine_chunks().value_lengths().fill_null(0).to_numpy()
+            code = slot[flat("codes") + np.repeat(firsts, lengths)]
+            first, second = flat("first"), flat("second")
+            order = np.lexsort((second, first, code))
+            code, first, second = code[order], first[order], second[order]
+            new = np.concatenate([[True], (code[1:] != code[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+            members = members + np.bincount(code[new], minlength=len(keys))
+        yield field, keys, n, members, low, high
+
+
+def _reduce(blocks: int):
+    """Arrays of a few splits into one, sent to the block of their keys."""
 
     def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            field, fields = codes_of(table.column("field"))
-            key, keys = codes_of(table.column("key"))
-            slot, codes = np.unique(field * len(keys) + key, return_inverse=True)
-            n, low, high = (table.column(c).combine_chunks().to_numpy() for c in ("n", "low", "high"))
-            n, low, high = _scatter(codes, len(slot), n, low, high)
-            if last:
-                members = np.zeros(len(slot), np.int64)
-                np.add.at(members, codes, table.column("members").combine_chunks().to_numpy())
-            else:
-                member, words = codes_of(table.column("member"))
-                pairs = np.unique(codes.astype(np.int64) * (len(words) + 1) + member + 1)
-                pairs = pairs[pairs % (len(words) + 1) > 0]
-                members = np.bincount(pairs // (len(words) + 1), minlength=len(slot)).astype(np.int64)
-            k = slot % len(keys)
-            block = np.zeros(len(slot), np.int32) if last else (_word_hashes(keys)[k] % np.uint64(blocks)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [fields.take(pa.array(slot // len(keys))), keys.take(pa.array(k)), *map(pa.array, (n, members, low, high, block))],
-                names=["field", "key", "n", "members", "low", "high", "block"],
-            )
+            for field, keys, *sums in _sum_up(table):
+                yield _accumulators(field, (word_hashes(keys) % np.uint64(blocks)).astype(np.int64), keys, *sums)
 
     return run
 
 
+def _results(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    for table in tables:
+        for field, keys, *sums in _sum_up(table):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([field]).take(pa.array(np.zeros(len(keys), np.int64))), keys, *map(pa.array, sums)], names=["field", "key", "n", "members", "low", "high"]
+            )
+
+
 def key_results(
-    statements: DataFrame, namespaces: dict[str, str], fields: tuple[str, ...] = ("predicate", "object"), share: float | None = None
+    statements: DataFrame, namespaces: dict[str, str], fields: tuple[str, ...] = ("predicate", "object"), share: float | None = None, subjects: bool = True
 ) -> DataFrame:
     """(key_field, key_value, n, subjects, first_at, last_at) for every value of ``fields``, or those with ``share`` of the statements.
 
     Each statement_id counts once, by its first delivery; a row without an id counts by itself. Null keys are left out,
     null subjects are not counted, and a key asserted at no known time has null times. URIs are compared in normal form,
-    literals exactly. Empty input gives no rows.
+    literals exactly. Subjects are told apart by 128 bits. Without ``subjects`` that column is left out, and none travel.
+    Empty input gives no rows.
     """
-    split, total = even_rows(statements, namespaces)
+    split, splits, total = even_rows(statements, namespaces)
+    if not subjects:
+        split = split.drop("member")
     blocks = block_count(total)
-    partial = map_blocks(split, "block", _partials(list(fields), 2 * blocks), _PARTIAL)
-    schema = "field string, key string, n bigint, members bigint, low bigint, high bigint, block int"
-    reduced = map_blocks(partial, "block", _per_key(False, blocks), schema)
-    whole = map_blocks(reduced, "block", _per_key(True, blocks), schema)
+    spread = 2 * blocks
+    parts = map_blocks(split, "block", splits, _split(list(fields), blocks, spread, subjects), _ARRAYS)
+    reduced = map_blocks(parts, "block", spread, _reduce(blocks), _ARRAYS)
+    whole = map_blocks(reduced, "block", blocks, _results, "field string, key string, n bigint, members bigint, low bigint, high bigint")
     if share is not None:
         whole = whole.where(F.col("n") >= F.lit(share * total))
     time = lambda c, none: F.when(F.col(c) != none, F.timestamp_micros(F.col(c)).cast("timestamp_ntz"))
@@ -182,7 +227,7 @@ def key_results(
         F.col("field").alias("key_field"),
         F.col("key").alias("key_value"),
         "n",
-        F.col("members").alias("subjects"),
+        *([F.col("members").alias("subjects")] if subjects else []),
         time("low", int(_NONE_LOW)).alias("first_at"),
         time("high", int(_NONE_HIGH)).alias("last_at"),
     )
