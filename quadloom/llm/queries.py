@@ -1,4 +1,4 @@
-"""Queries p6 to p8 over the tables of a folder, and the SQL of those that SQL can express."""
+"""Queries p5 to p8 over the tables of a folder, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core_queries import STATEMENTS_ONCE
+from ..functions.uris import namespace_map
 from ..runtime import table
+from .frequent import frequent_values
 from .leaks import leaked_items
 from .mixing import mix
 from .subjects import SHARE, subject_shares
 
 
+def _frequent(spark: SparkSession, d: str) -> DataFrame:
+    return frequent_values(table(spark, d, "statements"), namespace_map(table(spark, d, "prefixes")), 0.005)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _frequent(spark, d).select("item_field", "item")
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _frequent(spark, d).select("item_field", "item", "n")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -53,11 +68,13 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p6_found, p6_report, p7_found, p7_report, p7_mix, p8_found, p8_composition)
+    f.__name__: f for f in (p5_found, p5_counts, p6_found, p6_report, p7_found, p7_report, p7_mix, p8_found, p8_composition)
 }
 #: p7_found with words and marks as tokens, as any tokenizer gives the same sources. The others can't be expressed in SQL;
 #: tests hold them against brute force, invariants and held-out labels.
 ORACLES: dict[str, str] = {
+    "p5_found": STATEMENTS_ONCE + "select item_field, item from (select 'object' as item_field, o as item from st union all select 'subject', s from st) where item is not null group by 1, 2 having count(*) >= 0.005 * (select count(*) from st)",
+    "p5_counts": STATEMENTS_ONCE + "select item_field, item, count(*) as n from (select 'object' as item_field, o as item from st union all select 'subject', s from st) where item is not null group by 1, 2 having count(*) >= 0.005 * (select count(*) from st)",
     "p7_found": "with t as (select lower(trim(source)) as label, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}]+|[\\p{N}]+|[^\\s\\p{L}\\p{N}]')) as n from documents), "
     "s as (select label, sum(n) as n from t group by 1) select source from mix_targets left join s on label = lower(trim(source)) "
     "where coalesce(n, 0) * max_repeats < target_share * (select sum(n) from t)"
