@@ -18,6 +18,8 @@ HEAVY_SHARE = 1 / 2000
 HEAVY_LEAST = 1000
 #: Distinct terms of validity up to which a key's terms travel as one array; keys with more are settled by day.
 TERMS_LIMIT = 1000
+#: Parts that the references of such a key and day are cut into.
+SALTS = 16
 _ALWAYS = "0001-01-01 00:00:00"
 
 
@@ -75,8 +77,7 @@ def hot_terms(spans: DataFrame, terms_limit: int) -> tuple[DataFrame, DataFrame]
     """Of the keys with more than ``terms_limit`` terms, the state by day and the changes within days; None without any.
 
     A key is in force where more of its terms have begun than ended, so changes add up: (key, day, active) holds the number
-    of terms in force as a day begins, for each day from the first change to the last, (key, day, changes) the changes of a
-    day. No array holds more than one key's changes of one day.
+    of terms in force as a day begins, for each day from the first change to the last, (key, day, t, d) the changes.
     """
     hot = spans.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("since").alias("first")).where((F.col("n") > terms_limit) & (F.col("first") > F.lit(_ALWAYS)))
     if not hot.take(1):
@@ -100,11 +101,30 @@ def hot_terms(spans: DataFrame, terms_limit: int) -> tuple[DataFrame, DataFrame]
     states = states.groupBy("key", F.col("at_day").alias("day")).agg(
         F.max_by(F.when(F.col("at_day") == F.col("day"), F.col("after") - F.col("net")).otherwise(F.col("after")), "day").alias("active")
     )
-    return states, changes.groupBy("key", "day").agg(F.collect_list(F.struct("t", "d")).alias("changes"))
+    return states, changes.select("key", "day", "t", "d")
+
+
+def settled_by_day(asked: DataFrame, states: DataFrame, changes: DataFrame) -> DataFrame:
+    """References of hot keys with their kind, by a running sum of the changes of the key and day up to each reference.
+
+    The references of a key and day are cut into SALTS parts, each of which gets the state and the changes of that day.
+    """
+    day = F.least(F.to_date("at"), "last_day")
+    part = F.pmod(F.xxhash64("statement_id", "ref_field"), F.lit(SALTS)).cast("int")
+    refs = asked.select("key", day.alias("day"), part.alias("part"), F.col("at").alias("t"), F.lit(0).cast("bigint").alias("d"), F.struct(*asked.columns).alias("ref"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")
+    start = states.select("key", "day", each, F.lit(None).cast("timestamp_ntz").alias("t"), F.col("active").cast("bigint").alias("d"))
+    moved = changes.select("key", "day", each, "t", F.col("d").cast("bigint"))
+    events = refs.unionByName(start.unionByName(moved), allowMissingColumns=True)
+    w = Window.partitionBy("key", "day", "part").orderBy(F.col("t").asc_nulls_first(), F.col("ref").isNotNull())
+    active = F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kind = F.when(F.col("ref.at") < F.col("ref.first"), "later").when(F.col("active") <= 0, "deleted")
+    known = events.withColumn("active", active).where("ref is not null").select(kind.alias("kind"), "ref.*")
+    return known.withColumn("orphan_kind", F.col("kind")).where("orphan_kind is not null").drop("kind")
 
 
 def verdicts(refs: DataFrame, spans: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """(key, period, n, verdict, first, terms, rec_type) of each key and period referred to.
+    """(key, period, n, verdict, first, rec_type, last_day, terms) of each key and period referred to.
 
     ``verdict`` is ok, missing, later or deleted where it holds for the whole span of assertions of the period, else mixed,
     or hot for the keys of ``hot``, which are settled by day.
@@ -112,10 +132,12 @@ def verdicts(refs: DataFrame, spans: DataFrame, hot: DataFrame | None) -> DataFr
     asked = refs.groupBy("key", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
     few = spans if hot is None else spans.join(hot, "key", "left_anti")
     per_key = few.groupBy("key").agg(
-        F.min("since").alias("first"), F.min("rec_type").alias("rec_type"), F.collect_list(F.struct("since", "until")).alias("terms")
-    )
+        F.min("since").alias("first"), F.min("rec_type").alias("rec_type"), F.collect_list(F.struct("since", "until")).alias("terms"),
+        F.lit(None).cast("date").alias("last_day"),
+    )
     if hot is not None:
-        many = spans.join(hot, "key", "left_semi").groupBy("key").agg(F.min("since").alias("first"), F.min("rec_type").alias("rec_type"))
+        last = F.to_date(F.max(F.greatest("since", "until"))).alias("last_day")
+        many = spans.join(hot, "key", "left_semi").groupBy("key").agg(F.min("since").alias("first"), F.min("rec_type").alias("rec_type"), last)
         per_key = per_key.unionByName(many, allowMissingColumns=True)
     known = F.col("first").isNotNull()
     low, high = F.col("low"), F.col("high")
@@ -129,7 +151,7 @@ def verdicts(refs: DataFrame, spans: DataFrame, hot: DataFrame | None) -> DataFr
         .otherwise("mixed")
     )
     return asked.join(per_key, "key", "left").select(
-        "key", "period", "n", verdict.alias("verdict"), "first", "rec_type", F.when(verdict == "mixed", F.col("terms")).alias("terms")
+        "key", "period", "n", verdict.alias("verdict"), "first", "rec_type", "last_day", F.when(verdict == "mixed", F.col("terms")).alias("terms")
     )
 
 
@@ -144,7 +166,7 @@ def orphans(
     field; of deliveries that differ the one asserted first counts. ``rec_type`` is the smallest one registered for the
     key, null where unknown. Empty tables give no rows (an empty registry makes every key missing).
     """
-    refs = references(statements, namespaces)
+    refs = materialize(references(statements, namespaces), "references")  # normalised once, read by both sides of the split
     spans = registry_terms(registry, shared, namespaces).groupBy("key", "since", "until").agg(F.min("rec_type").alias("rec_type"))
     by_day = hot_terms(spans, terms_limit)
     hot = by_day and by_day[0].select("key").distinct()
@@ -153,7 +175,7 @@ def orphans(
     found = materialize(verdicts(refs, spans, hot).where((F.col("verdict") != "ok") | (F.col("n") >= heavy_from)), "verdicts")
     heavy = found.where(F.col("n") >= heavy_from)  # at most 1 / heavy_share rows
     rest = found.where((F.col("n") < heavy_from) & (F.col("verdict") != "ok"))
-    marks = heavy.select("key", "period", F.lit(True).alias("is_heavy"), "verdict", "first", "rec_type", "terms")
+    marks = heavy.select("key", "period", F.lit(True).alias("is_heavy"), "verdict", "first", "rec_type", "last_day", "terms")
     tried = refs.join(F.broadcast(marks), ["key", "period"], "left")
     ours = tried.where(F.col("is_heavy") & (F.col("verdict") != "ok")).drop("is_heavy")
     others = tried.where(F.col("is_heavy").isNull()).select(*refs.columns).join(rest.drop("n"), ["key", "period"])
@@ -161,19 +183,7 @@ def orphans(
     kind = F.when(F.col("verdict") != "mixed", F.col("verdict")).when(at < F.col("first"), "later").when(~_in_force(F.col("terms"), at, at), "deleted")
     settled = ours.unionByName(others).withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull()).drop("terms")
     if by_day is not None:
-        states, changes = by_day
-        begun = F.aggregate(F.filter("changes", lambda c: c["t"] <= at), F.lit(0).cast("bigint"), lambda n, c: n + c["d"])
-        last = states.groupBy("key").agg(F.max_by("active", "day").alias("last_active"), F.max("day").alias("last_day"))
-        dated = (
-            settled.where("orphan_kind = 'hot'")
-            .join(last, "key")
-            .withColumn("day", F.least(F.to_date("at"), "last_day"))
-            .join(states, ["key", "day"], "left")
-            .join(changes, ["key", "day"], "left")
-            .withColumn("active", F.coalesce("active", F.lit(0)) + F.coalesce(begun, F.lit(0)))
-            .withColumn("orphan_kind", F.when(at < F.col("first"), "later").when(F.col("active") <= 0, "deleted"))
-            .where("orphan_kind is not null")
-        )
+        dated = settled_by_day(settled.where("orphan_kind = 'hot'"), *by_day)
         settled = settled.where("orphan_kind <> 'hot'").unionByName(dated.select(*settled.columns))
     row = F.struct("at", "key", "rec_type", "period", F.col("orphan_kind"))
     return (
