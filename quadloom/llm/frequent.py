@@ -166,10 +166,7 @@ def _is_heavy(table: pa.Table) -> np.ndarray:
 
 
 def sketch_rows(rows: DataFrame, blocks: int, fields: tuple[str, ...], buckets: int, width: int) -> DataFrame:
-    """The merged sketch of each field as rows: heavy (value, count), at most PLACES in a bucket, and light (stretch, counts).
-
-    What falls out of the buckets in a merge is light counts of that merge, so a stretch may have several rows; they add up.
-    """
+    """The merged sketch of each field as rows: heavy (value, count), at most PLACES in a bucket, and light (stretch, counts)."""
     parts = max(1, -(-blocks // PER_SKETCH))
     out = map_blocks(rows.select("id", "seen", "block", *fields), "block", blocks, _split(list(fields), parts, buckets, width), _SCHEMA, PER_SKETCH)
     units = len(fields) * (GROUPS + STRETCHES)
@@ -177,12 +174,15 @@ def sketch_rows(rows: DataFrame, blocks: int, fields: tuple[str, ...], buckets:
     for i, f in enumerate(fields):
         place = F.when(F.col("field") == f, i).otherwise(place)
     unit = place * (GROUPS + STRETCHES) + F.when(F.col("kind") == "heavy", F.col("at")).otherwise(F.col("at") + GROUPS)
+    merge = lambda df, groups, number: map_blocks(df.withColumn("block", number.cast("int")), "block", groups * units, _merge(buckets, width), _SCHEMA, 2)
     while True:
         groups = -(-parts // FAN_IN)
-        met = out.withColumn("block", (F.floor(F.col("part") / FAN_IN) * units + unit).cast("int"))
-        out, parts = map_blocks(met, "block", groups * units, _merge(buckets, width), _SCHEMA, units // len(fields) // 4), groups
+        out, parts = merge(out, groups, F.floor(F.col("part") / FAN_IN) * units + unit), groups
         if parts == 1:
-            return materialize(out, "sketch")
+            break
+    # what fell out of the buckets in the last merges joins the array
+    out = materialize(out, "sketch")
+    return out.where("kind = 'heavy'").unionByName(materialize(merge(out.where("kind = 'light'"), 1, unit), "light"))
 
 
 def frequent_values(
@@ -206,7 +206,7 @@ def frequent_values(
     rows = sketch_rows(keyed, blocks, fields, buckets, width)
     lights = {f: np.zeros((ROWS, width), np.int64) for f in fields}
     step = -(-width // STRETCHES)
-    for r in rows.where("kind = 'light'").select("field", "at", "data").toLocalIterator():  # at most a few arrays a field
+    for r in rows.where("kind = 'light'").select("field", "at", "data").toLocalIterator():  # one array a field
         lights[r[0]][:, r[1] * step : (r[1] + 1) * step] += np.frombuffer(r[2], np.int64).reshape(ROWS, -1)
     near = least * (1 - slack)
     most = max(int(a.max()) for a in lights.values())

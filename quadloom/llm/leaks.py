@@ -2,13 +2,14 @@
 
 Items and documents are sets of five-word shingles. The shingles of an item are ordered by how rare they are in the whole
 corpus; a document that holds enough of an item must hold one of the item's rarest shingles (its prefix), so only these are
-joined. Bounds on length and position drop pairs that cannot hold enough; what is left is verified word by word over
-windows of the item's size.
+joined: a shingle outside of all prefixes, such as those of a question that many items ask, makes no pair. Bounds on length,
+on what shared shingles can cover and on position drop pairs that cannot hold enough; what is left is verified word by word
+over windows of the item's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +47,7 @@ def shingle_hashes(ids: np.ndarray, n: int = SHINGLE) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items as word numbers, and where each of their shingles stands."""
+    """Items as word numbers, and where each of their shingles stands; ``mine`` lists the entries item by item."""
 
     item_ids: list[int]
     numbers: dict[str, int]
@@ -55,6 +56,8 @@ class Index:
     starts: np.ndarray
     of_item: np.ndarray
     positions: np.ndarray
+    mine: np.ndarray
+    bounds: np.ndarray
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]]) -> Index:
@@ -66,7 +69,12 @@ class Index:
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
         order = np.argsort(flat, kind="stable")
         keys, starts = np.unique(flat[order], return_index=True)
-        return cls([i for i, _ in rows], numbers, items, keys, np.append(starts, len(flat)), owner[order], place[order])
+        sizes = np.cumsum([0, *map(len, hashes)])
+        return cls([i for i, _ in rows], numbers, items, keys, np.append(starts, len(flat)), owner[order], place[order], np.argsort(order), sizes)
+
+    def shingle_of(self) -> np.ndarray:
+        """The shingle of each entry."""
+        return np.repeat(np.arange(len(self.keys)), np.diff(self.starts))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``hashes`` that are shingles of some item, and which shingle each is."""
@@ -107,57 +115,108 @@ def held(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> int:
     return int(seen.sum())
 
 
-def least_shared(words: int) -> int:
-    """Shingles at least that a document shares with an item of so many words when it holds enough of it.
+def _windows(words: int) -> list[tuple[int, int]]:
+    """(length, least): a run of a covered length lies in a window of this length with so many shared shingles at least.
 
-    A run of L words with c <= L / CHANGED changes has at least L - c - (c + 1) (SHINGLE - 1) whole shingles, which is never
-    below L / CHANGED for L >= RUN; runs may overlap by half, which leaves one for every 2 x CHANGED words.
+    A run of L words has at most c = L // CHANGED changed ones, each of which breaks SHINGLE shingles, so it has at least
+    L - (SHINGLE - 1) - c * SHINGLE whole ones, and one in any case. Short runs have their own window; long ones share that
+    of the longest run of their class, with what the shortest needs.
     """
-    return max(1, int(np.ceil(words * SHARE)) // (2 * CHANGED))
+    out, low = [], RUN
+    while low <= words:
+        high = low if low < 4 * CHANGED else min(words, low + low // 10)
+        need = min(n - (SHINGLE - 1) - n // CHANGED * SHINGLE for n in range(low, min(high, low + CHANGED) + 1))
+        out.append((high, max(1, need)))
+        low = high + 1
+    return out
+
+
+def coverable(shared: np.ndarray, words: int) -> int:
+    """Words of an item, at most, that runs can cover whose whole shingles are all among ``shared`` (a flag per position)."""
+    sums = np.concatenate([[0], np.cumsum(shared)])
+    marks = np.zeros(words + 1, np.int64)
+    for length, least in _windows(words):
+        starts = np.arange(words - length + 1)
+        good = starts[sums[starts + length - SHINGLE + 1] - sums[starts] >= least]
+        np.add.at(marks, good, 1)
+        np.add.at(marks, good + length, -1)
+    return int((np.cumsum(marks[:words]) > 0).sum())
 
 
 def prefix_shingles(index: Index, frequency: np.ndarray) -> np.ndarray:
-    """Whether each (shingle, item) entry of the index is in the prefix of its item: all but its t - 1 commonest."""
+    """Whether each (shingle, item) entry of the index is in the prefix of its item.
+
+    Shingles are ordered by the pairs they would make, documents times items. The commonest are left out as long as no
+    document that shares nothing but these can hold enough of the item.
+    """
     inside = np.ones(len(index.of_item), bool)
-    shingle = np.repeat(np.arange(len(index.keys)), np.diff(index.starts))
+    pairs = (frequency * np.diff(index.starts))[index.shingle_of()]
     for i, words in enumerate(index.items):
-        mine = np.flatnonzero(index.of_item == i)
-        spare = min(least_shared(len(words)), len(mine)) - 1
-        if spare > 0:
-            order = mine[np.lexsort((shingle[mine], frequency[shingle[mine]]))]
-            inside[order[-spare:]] = False
+        mine = index.mine[index.bounds[i] : index.bounds[i + 1]]  # by position
+        need = int(np.ceil(len(words) * SHARE))
+        order = np.lexsort((np.arange(len(mine)), -pairs[mine]))
+        low, high = 0, len(mine)
+        while low < high:  # so many of the commonest can be spared
+            mid = (low + high + 1) // 2
+            shared = np.zeros(len(mine), bool)
+            shared[order[:mid]] = True
+            low, high = (mid, high) if coverable(shared, len(words)) < need else (low, mid - 1)
+        inside[mine[order[:low]]] = False
     return inside
 
 
-def pairs_in(
-    index: Index, prefix: np.ndarray, doc: np.ndarray, hits: np.ndarray, shingles: np.ndarray, texts: Callable[[int], np.ndarray]
-) -> Iterator[tuple[int, int, int, int]]:
+@dataclass
+class Prefix:
+    """The entries of the prefixes only, by shingle."""
+
+    starts: np.ndarray
+    entries: np.ndarray
+
+    @classmethod
+    def of(cls, index: Index, inside: np.ndarray) -> Prefix:
+        entries = np.flatnonzero(inside)
+        return cls(np.searchsorted(index.shingle_of()[entries], np.arange(len(index.keys) + 1)), entries)
+
+
+def _expanded(starts: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of all entries of each of the shingles."""
+    n = starts[shingles + 1] - starts[shingles]
+    row = np.repeat(np.arange(len(shingles)), n)
+    return row, starts[shingles][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def candidates(index: Index, prefix: Prefix, doc: np.ndarray, shingles: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (document, item) that share a shingle of the item's prefix and whose document is long enough."""
+    row, place = _expanded(prefix.starts, shingles)
+    pair = np.unique(doc[row] * len(index.items) + index.of_item[prefix.entries[place]])
+    d, i = pair // len(index.items), pair % len(index.items)
+    sizes = np.array([len(x) for x in index.items], np.int64)
+    keep = lengths[d] >= np.ceil(sizes[i] * SHARE)
+    return d[keep], i[keep]
+
+
+def pairs_in(index: Index, prefix: Prefix, starts: np.ndarray, hits: np.ndarray, shingles: np.ndarray, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
     """(document, item, words held, words of the item) for the pairs of a batch where enough is held.
 
-    ``doc``, ``hits`` and ``shingles`` hold, for each shared shingle, the document, the position in it, and which shingle it
-    is; ``texts`` gives a document's words.
+    ``hits`` and ``shingles`` hold, for each shared shingle, the position in its document and which shingle it is, one
+    document after the other as ``starts`` tells; ``texts`` has the words of each document.
     """
-    n = index.starts[shingles + 1] - index.starts[shingles]
-    row = np.repeat(np.arange(len(shingles)), n)
-    entry = index.starts[shingles][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    sizes = np.array([len(i) for i in index.items], np.int64)
-    least = np.array([least_shared(x) for x in sizes], np.int64)
-    pair, place = doc[row] * len(sizes) + index.of_item[entry], index.positions[entry]
-    joined = np.unique(pair[prefix[entry]])  # candidates share a prefix shingle
-    width = int(sizes.max(initial=1))
-    met, shared = np.unique(np.unique(pair * width + place) // width, return_counts=True)
-    met = met[shared >= least[met % len(sizes)]]  # with fewer shared shingles too little can be held
-    good = np.flatnonzero(np.isin(pair, np.intersect1d(joined, met)))
-    good = good[np.argsort(pair[good], kind="stable")]
-    ends = np.flatnonzero(np.diff(pair[good], append=-1)) + 1
-    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-        mine = good[start:end]
-        d, i = divmod(int(pair[mine[0]]), len(sizes))
-        ids, words = texts(d), index.items[i]
+    doc = np.repeat(np.arange(len(texts)), np.diff(starts))
+    of_entry = index.shingle_of()
+    for d, i in zip(*(x.tolist() for x in candidates(index, prefix, doc, shingles, np.array([len(t) for t in texts])))):
+        words, ids = index.items[i], texts[d]
         need = int(np.ceil(len(words) * SHARE))
-        offset = np.unique(hits[row[mine]] - place[mine])
+        mine = of_entry[index.mine[index.bounds[i] : index.bounds[i + 1]]]  # the item's shingles by position
+        here, at = shingles[starts[d] : starts[d + 1]], hits[starts[d] : starts[d + 1]]
+        if coverable(np.isin(mine, here), len(words)) < need:
+            continue
+        order = np.argsort(mine, kind="stable")
+        low, high = np.searchsorted(mine[order], here), np.searchsorted(mine[order], here, side="right")
+        which = np.repeat(np.arange(len(here)), high - low)
+        place = order[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+        offset = np.unique(at[which] - place)
         reach = np.minimum(len(words), len(ids) - offset) - np.maximum(0, -offset)
-        if len(ids) < need or int(reach.sum()) < need:  # too short, or its windows too far at the edge, to hold enough
+        if int(reach.sum()) < need:  # its windows are too far at the edge to hold enough
             continue
         found = held(words, ids, offset)
         if found >= need:
@@ -223,15 +282,18 @@ def _leaked(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
     counts = found.select(F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     for s, n in counts.toLocalIterator():
         frequency[s] = n
-    prefix = spark.sparkContext.broadcast(prefix_shingles(index, frequency))
+    prefix = spark.sparkContext.broadcast(Prefix.of(index, prefix_shingles(index, frequency)))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, inside = sent.value, prefix.value
         for batch in batches:
-            lists, docs, words = batch.column("shingles"), batch.column("doc_id"), batch.column("words")
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            if not batch.num_rows:
+                continue
+            docs, words, starts = batch.column("doc_id"), batch.column("words"), batch.column("shingles").offsets.to_numpy()
             hits, shingles = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("hits", "shingles"))
-            pairs = pairs_in(index, inside, doc, hits, shingles, lambda d: words[d].values.to_numpy().astype(np.int64))
+            flat, cuts = words.flatten().to_numpy().astype(np.int64), words.offsets.to_numpy()
+            texts = np.split(flat, cuts[1:-1] - cuts[0])
+            pairs = pairs_in(index, inside, starts - starts[0], hits, shingles, texts)
             out = [(docs[d].as_py(), index.item_ids[i], n, size) for d, i, n, size in pairs]
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(

@@ -31,6 +31,27 @@ def test_covered(same):
     assert (L.covered(same) == marked(same)).all()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 14).map(lambda x: x > 0), max_size=150))
+def test_shared_shingles_bound_what_is_covered(same):
+    same = np.array(same, bool)
+    shared = np.array([same[k : k + L.SHINGLE].all() for k in range(max(0, len(same) - L.SHINGLE + 1))], bool)
+    assert L.covered(same).sum() <= L.coverable(shared, len(same))
+
+
+def test_common_shingles_are_in_no_prefix():
+    """A question that all items ask makes no pairs, however many items ask it."""
+    rng = random.Random(3)
+    question = " ".join(rng.choice(VOCABULARY) for _ in range(20))
+    rows = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(60)) + " " + question) for i in range(50)]
+    index = L.Index.build(rows)
+    inside = L.prefix_shingles(index, np.full(len(index.keys), 7))
+    shared = np.diff(index.starts) > 40
+    assert shared.sum() == 16 and not inside[shared[index.shingle_of()]].any()
+    hit = np.flatnonzero(shared)
+    assert not len(L.candidates(index, L.Prefix.of(index, inside), np.zeros(len(hit), np.int64), hit, np.array([500]))[0])
+
+
 def brute(docs, items):
     """All pairs, all offsets, no filter."""
     out = set()
