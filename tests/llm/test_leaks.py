@@ -43,7 +43,7 @@ def test_common_shingles_are_in_no_prefix():
     """A question that all items ask makes no pairs, however many items ask it."""
     rng = random.Random(3)
     question = " ".join(rng.choice(VOCABULARY) for _ in range(20))
-    rows = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(60)) + " " + question) for i in range(50)]
+    rows = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(70)) + " " + question) for i in range(50)]
     index = L.Index.build(rows)
     inside = L.prefix_shingles(index, np.full(len(index.keys), 7))
     shared = np.diff(index.starts) > 40
