@@ -3,7 +3,7 @@
 Items and documents are sets of five-word shingles. The shingles of an item are ordered by how rare they are in the whole
 corpus; a document that holds enough of an item must hold one of the item's rarest shingles (its prefix), so only these are
 joined: a shingle outside of all prefixes, such as those of a question that many items ask, makes no pair. Bounds on length,
-on what shared shingles can cover and on position drop pairs that cannot hold enough; what is left is verified word by word
+on the number of shared shingles and on position drop pairs that cannot hold enough; what is left is verified word by word
 over windows of the item's size.
 """
 
@@ -178,11 +178,24 @@ class Prefix:
         return cls(np.searchsorted(index.shingle_of()[entries], np.arange(len(index.keys) + 1)), entries)
 
 
-def _expanded(starts: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place) of all entries of each of the shingles."""
-    n = starts[shingles + 1] - starts[shingles]
-    row = np.repeat(np.arange(len(shingles)), n)
-    return row, starts[shingles][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of all numbers from ``low`` to before ``high`` of each row."""
+    n = high - low
+    row = np.repeat(np.arange(len(n)), n)
+    return row, low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _expanded(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _ranges(starts[which], starts[which + 1])
+
+
+def least_shared(words: np.ndarray) -> np.ndarray:
+    """Shingles at least that a document shares with an item of so many words when it holds enough of it.
+
+    What runs cover, some of them cover so that no place is in more than two; a run has at most CHANGED words for each of
+    its whole shingles. So no shared shingle accounts for more than 2 x CHANGED words.
+    """
+    return np.ceil(np.ceil(words * SHARE) / (2 * CHANGED)).astype(np.int64)
 
 
 def candidates(index: Index, prefix: Prefix, doc: np.ndarray, shingles: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,26 +214,27 @@ def pairs_in(index: Index, prefix: Prefix, starts: np.ndarray, hits: np.ndarray,
     ``hits`` and ``shingles`` hold, for each shared shingle, the position in its document and which shingle it is, one
     document after the other as ``starts`` tells; ``texts`` has the words of each document.
     """
-    doc = np.repeat(np.arange(len(texts)), np.diff(starts))
-    of_entry = index.shingle_of()
-    for d, i in zip(*(x.tolist() for x in candidates(index, prefix, doc, shingles, np.array([len(t) for t in texts])))):
-        words, ids = index.items[i], texts[d]
+    size, of_entry = len(index.items), index.shingle_of()
+    sizes = np.array([len(x) for x in index.items], np.int64)
+    d, i = candidates(index, prefix, np.repeat(np.arange(len(texts)), np.diff(starts)), shingles, np.array([len(t) for t in texts]))
+    pair, hit = _expanded(starts, d)
+    entries, wanted = of_entry * size + index.of_item, shingles[hit] * size + i[pair]  # ascending, as entries are
+    low, high = np.searchsorted(entries, wanted), np.searchsorted(entries, wanted, side="right")
+    at, entry = _ranges(low, high)
+    pair, hit = pair[at], hit[at]
+    shared = np.bincount(np.unique(pair * (len(entries) + 1) + entry) // (len(entries) + 1), minlength=len(d))
+    ends = np.searchsorted(pair, np.arange(len(d) + 1))
+    for k in np.flatnonzero(shared >= least_shared(sizes[i])).tolist():
+        mine = slice(ends[k], ends[k + 1])
+        words, ids = index.items[i[k]], texts[d[k]]
         need = int(np.ceil(len(words) * SHARE))
-        mine = of_entry[index.mine[index.bounds[i] : index.bounds[i + 1]]]  # the item's shingles by position
-        here, at = shingles[starts[d] : starts[d + 1]], hits[starts[d] : starts[d + 1]]
-        if coverable(np.isin(mine, here), len(words)) < need:
-            continue
-        order = np.argsort(mine, kind="stable")
-        low, high = np.searchsorted(mine[order], here), np.searchsorted(mine[order], here, side="right")
-        which = np.repeat(np.arange(len(here)), high - low)
-        place = order[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
-        offset = np.unique(at[which] - place)
+        offset = np.unique(hits[hit[mine]] - index.positions[entry[mine]])
         reach = np.minimum(len(words), len(ids) - offset) - np.maximum(0, -offset)
         if int(reach.sum()) < need:  # its windows are too far at the edge to hold enough
             continue
         found = held(words, ids, offset)
         if found >= need:
-            yield d, i, found, len(words)
+            yield int(d[k]), int(i[k]), found, len(words)
 
 
 def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
