@@ -14,7 +14,12 @@ SEP = "\x01"
 _INTEGERS = ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong")
 NUMERIC = tuple(XSD + t for t in (*_INTEGERS, "decimal", "double", "float"))
 INTEGER = tuple(XSD + t for t in _INTEGERS)
+EXACT = (*INTEGER, XSD + "decimal")
 TIMES = (XSD + "dateTime", XSD + "date")
+#: How exact numbers are held: 20 digits before the point and 18 behind it.
+DECIMAL = "decimal(38,18)"
+#: Datatypes of computed numbers by level; the higher level of two operands is that of the result.
+LEVELS = (XSD + "integer", XSD + "decimal", XSD + "float", XSD + "double")
 
 
 def uri(col: Column) -> Column:
@@ -85,8 +90,15 @@ def number_of(t: Column) -> Column:
     return F.when(_has_type(t, NUMERIC), F.substring_index(t, SEP, -1).try_cast("double"))
 
 
-def is_integer(t: Column) -> Column:
-    return F.coalesce(_has_type(t, INTEGER), F.lit(False))
+def exact_of(t: Column) -> Column:
+    """The number of an integer or decimal literal, exactly; null for all else."""
+    return F.when(_has_type(t, EXACT), F.substring_index(t, SEP, -1).try_cast(DECIMAL))
+
+
+def level_of(t: Column) -> Column:
+    """The place of a numeric literal's type in LEVELS; null for all else."""
+    mark = F.substring_index(t, SEP, 1)
+    return F.when(_has_type(t, INTEGER), 0).when(mark == "L" + LEVELS[1], 1).when(mark == "L" + LEVELS[2], 2).when(mark == "L" + LEVELS[3], 3)
 
 
 def time_of(t: Column) -> Column:
@@ -109,9 +121,25 @@ def order_key(t: Column) -> Column:
         .when(time_of(t).isNotNull(), 4)
         .otherwise(2)
     )
-    return F.struct(group, boolean_of(t), number_of(t), time_of(t), lexical_form(t), t)
+    return F.struct(group, boolean_of(t), number_of(t), time_of(t), exact_of(t), lexical_form(t), t)
+
+
+def plain_decimal(exact: Column) -> Column:
+    """An exact number in plain notation, without zeros at the end."""
+    text = exact.cast("string")
+    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
+def number_text(exact: Column, number: Column, level: Column) -> Column:
+    return F.when(level <= 1, plain_decimal(exact)).otherwise(number.cast("string"))
+
+
+def number_literal(exact: Column, number: Column, level: Column) -> Column:
+    """The literal of a number held exactly (levels 0 and 1) or as a double."""
+    kind = F.when(level == 0, LEVELS[0]).when(level == 1, LEVELS[1]).when(level == 2, LEVELS[2]).otherwise(LEVELS[3])
+    return F.concat(F.lit("L"), kind, F.lit(SEP), number_text(exact, number, level))
 
 
 def number_term(num: Column, whole: Column) -> Column:
-    """A numeric literal: integer where ``whole``, else decimal in plain notation."""
+    """The literal of a number of record paths, which know doubles only: an integer where ``whole``, else a double."""
     return F.when(whole, literal(num.try_cast("bigint"), XSD + "integer")).otherwise(literal(num, XSD + "double"))

@@ -206,6 +206,79 @@ graph_query(
 )
 
 
+# solutions modifiers and datasets
+graph_query(
+    "distinct_topk", "orders", "SELECT DISTINCT ?c { ?o v:by ?c } ORDER BY DESC(?c) LIMIT 25 OFFSET 5",
+    "SELECT c FROM (SELECT DISTINCT o_custkey AS c FROM orders) ORDER BY 'U' || c DESC LIMIT 25 OFFSET 5", c="key",
+)
+graph_query(
+    "distinct_by_hidden_key", "orders", "SELECT DISTINCT ?c { ?o v:by ?c ; v:total ?t } ORDER BY DESC(?t) ?c LIMIT 25",
+    "SELECT o_custkey AS c FROM orders GROUP BY 1 ORDER BY max(o_totalprice) DESC, 'U' || o_custkey LIMIT 25", c="key",
+)
+graph_query(
+    "from_named", "orders", """SELECT ?o ?g FROM <http://example.org/status/O> FROM NAMED <http://example.org/status/F> { { ?o v:by ?c } UNION { GRAPH ?g { ?o v:by ?c } } }""",
+    "SELECT o_orderkey AS o, CASE WHEN o_orderstatus = 'F' THEN 'http://example.org/status/F' END AS g FROM orders WHERE o_orderstatus IN ('O', 'F')", o="key",
+)
+graph_query(
+    "from_hides_named", "orders", "SELECT ?o ?g FROM <http://example.org/status/O> { ?o v:by ?c OPTIONAL { GRAPH ?g { ?o v:by ?c } } }",
+    "SELECT o_orderkey AS o, CAST(NULL AS VARCHAR) AS g FROM orders WHERE o_orderstatus = 'O'", o="key",
+)
+graph_query(
+    "named_hides_default", "orders", "SELECT ?o FROM NAMED <http://example.org/status/F> { { ?o v:by ?c } UNION { GRAPH ?g { ?o v:priority ?p } } }",
+    "SELECT o_orderkey AS o FROM orders WHERE o_orderstatus = 'F'", o="key",
+)
+# loose variables
+graph_query(
+    "optional_chain", "nation region", """SELECT ?n ?r ?name { ?n a v:Nation OPTIONAL { ?n v:inRegion ?r . ?r v:name ?x FILTER(?x < 'B') } OPTIONAL { ?r a v:Region ; v:name ?name } }""",
+    """SELECT CAST(n_nationkey AS BIGINT) AS n, CAST(b.r_regionkey AS BIGINT) AS r, b.r_name AS name FROM nation LEFT JOIN region a ON n_regionkey = a.r_regionkey AND a.r_name < 'B'
+    LEFT JOIN region b ON a.r_regionkey IS NULL OR a.r_regionkey = b.r_regionkey""", n="key", r="key",
+)
+graph_query(
+    "optional_minus", "nation region", """SELECT ?n { ?n a v:Nation OPTIONAL { ?n v:inRegion ?r . ?r v:name ?x FILTER(?x < 'B') } MINUS { ?r v:name 'ASIA' } MINUS { ?r v:name 'AFRICA' } }""",
+    "SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('AFRICA', 'ASIA')", n="key",
+)
+graph_query(
+    "optional_exists", "customer orders", """SELECT ?c ?o { ?c v:balance ?b OPTIONAL { ?o v:by ?c ; v:total ?t FILTER(?t > 450000) } FILTER EXISTS { ?o v:status 'F' } }""",
+    """SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 450000
+    WHERE o_orderkey IS NULL AND (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') > 0 OR o_orderstatus = 'F'""", c="key", o="key",
+)
+graph_query(
+    "exists_nested_outer", "customer orders", """SELECT ?c { ?c v:balance ?b FILTER EXISTS { { ?o v:by ?c ; v:total ?t FILTER(?t > ?b * 60) } UNION { ?o v:by ?c ; v:priority '1-URGENT' ; v:total ?t FILTER(?t < ?b) } } }""",
+    """SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND (o_totalprice > c_acctbal * 60 OR o_orderpriority = '1-URGENT' AND o_totalprice < c_acctbal))""", c="key",
+)
+# typed numbers, dates as written, language tags
+graph_query(
+    "exact_integers", "part", """SELECT ?p ?big ?product ?same ?kind { ?p v:size ?s BIND(?s + 9007199254740992 AS ?big) BIND(?s * 300000000000000001 AS ?product)
+    BIND((?s + 9007199254740992) = 9007199254740993 AS ?same) BIND(STR(DATATYPE(?big)) AS ?kind) }""",
+    """SELECT p_partkey AS p, p_size + 9007199254740992 AS big, CAST(CAST(p_size AS HUGEINT) * 300000000000000001 AS VARCHAR) AS product, CASE WHEN p_size = 1 THEN 'true' ELSE 'false' END AS same,
+    'http://www.w3.org/2001/XMLSchema#integer' AS kind FROM part""", p="key", big="bigint",
+)
+graph_query(
+    "exact_decimals", "part", """SELECT ?p ?tenth ?quarter ?kind ?mixed { ?p v:size ?s BIND(STR(?s * 0.1 + 0.2) AS ?tenth) BIND(STR(?s / 4) AS ?quarter) BIND(STR(DATATYPE(?s / 4)) AS ?kind)
+    BIND(STR(DATATYPE(?s * 1.5e0)) AS ?mixed) }""",
+    """SELECT p_partkey AS p, regexp_replace(printf('%.1f', (p_size + 2) / 10.0), '[.]0$', '') AS tenth,
+    regexp_replace(printf('%.2f', p_size / 4.0), '[.]?0+$', '') AS quarter, 'http://www.w3.org/2001/XMLSchema#decimal' AS kind, 'http://www.w3.org/2001/XMLSchema#double' AS mixed FROM part""", p="key",
+)
+graph_query(
+    "exact_aggregates", "part", """SELECT ?b ?sum ?kind ?mean { { SELECT ?b (SUM(?s + 9007199254740992) AS ?sum) (AVG(?s) AS ?a) { ?p v:brand ?b ; v:size ?s } GROUP BY ?b } BIND(STR(DATATYPE(?a)) AS ?kind) BIND(xsd:double(?a) AS ?mean) }""",
+    """SELECT p_brand AS b, CAST(sum(CAST(p_size AS HUGEINT) + 9007199254740992) AS BIGINT) AS sum, 'http://www.w3.org/2001/XMLSchema#decimal' AS kind, avg(p_size) AS mean FROM part GROUP BY 1""",
+    sum="bigint", mean="double",
+)
+graph_query(
+    "dates_as_written", "orders", """SELECT ?o ?y ?d ?h ?s ?z { ?o v:date ?t BIND(STRDT(CONCAT(SUBSTR(STR(?t), 1, 10), 'T00:30:15.25+02:00'), xsd:dateTime) AS ?x)
+    BIND(YEAR(?x) AS ?y) BIND(DAY(?x) AS ?d) BIND(HOURS(?x) AS ?h) BIND(STR(SECONDS(?x)) AS ?s) BIND(TZ(?x) AS ?z) }""",
+    "SELECT o_orderkey AS o, year(o_orderdate) AS y, day(o_orderdate) AS d, CAST(0 AS BIGINT) AS h, '15.25' AS s, '+02:00' AS z FROM orders", o="key", y="bigint", d="bigint", h="bigint",
+)
+graph_query(
+    "language_tags", "nation", """SELECT ?n ?up ?tag ?part ?rest ?both { ?n v:name ?name BIND(STRLANG(?name, 'en') AS ?x) BIND(UCASE(?x) AS ?u) BIND(STR(?u) AS ?up) BIND(CONCAT(LANG(?u), LANG(SUBSTR(?x, 2)), LANG(STRAFTER(?x, '_')), LANG(STRAFTER(?x, '#'))) AS ?tag)
+    BIND(STR(SUBSTR(?x, 0, 3)) AS ?part) BIND(LANG(REPLACE(?x, 'N', 'M')) AS ?rest) BIND(LANG(CONCAT(?x, ?u)) AS ?both) }""",
+    "SELECT CAST(n_nationkey AS BIGINT) AS n, upper(n_name) AS up, CASE WHEN strpos(n_name, '_') > 0 THEN 'enenen' ELSE 'enen' END AS tag, substr(n_name, 1, 2) AS part, 'en' AS rest, 'en' AS both FROM nation", n="key",
+)
+graph_query(
+    "regex_plain", "part", "SELECT ?p { ?p v:brand ?b FILTER REGEX(?b, 'D#1', 'qi') FILTER(!REGEX(?b, '.#', 'q')) }", "SELECT p_partkey AS p FROM part WHERE lower(p_brand) LIKE '%d#1%'", p="key",
+)
+
+
 @query("sparql_arguments", "SELECT o_orderkey AS o FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000")
 def sparql_arguments(spark, d):
     from .functions import terms as T
@@ -219,35 +292,36 @@ def ask(spark, d):
     return Dataset(quads(spark, d, "orders"), unique=True).query("ASK { ?o v:total ?t FILTER(?t > 100000) }", NS)
 
 
-def _edges(spark, d):
-    """A graph with cycles: an edge from each user, by number, to another."""
-    from pyspark.sql import functions as F
-
-    from .functions import terms as T
-    from .runtime import table
+_ACTOR = "http://ns.veldmark.example/happenings/hasActor"
+#: The links of who takes part in what, cycles included, as the statements have them.
+_LINKS = f"""WITH RECURSIVE e AS (SELECT DISTINCT subject AS a, object AS b FROM statements WHERE predicate = '{_ACTOR}' AND object_kind = 'uri' AND NOT starts_with(subject, '_:') AND object IS NOT NULL),
+    c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)"""
 
-    e = table(spark, d, "events").select((F.col("user_id") % 97).alias("a"), ((F.col("user_id") % 97 * (F.col("user_id") % 97) + 1) % 97).alias("b")).distinct()
-    iri = lambda c: F.concat(F.lit("Uhttp://example.org/user/"), F.col(c).cast("string"))
-    return e.select(iri("a").alias("s"), F.lit(T.uri_code(NS["v"] + "next")).alias("p"), iri("b").alias("o"), F.lit(None).cast("string").alias("g"))
 
+def _over_statements(text: str, **kinds: str):
+    def run(spark, d):
+        from .runtime import table
+        from .sources.tables import statement_quads
 
-_CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT user_id % 97 AS a, ((user_id % 97) * (user_id % 97) + 1) % 97 AS b FROM events),
-    c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)"""
+        return decode(Dataset(statement_quads(table(spark, d, "statements").where("subject is not null and predicate is not null and object is not null"))).query(text, NS), **kinds)
 
+    return run
 
-@query("path_plus", _CLOSURE + " SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM c")
-def path_plus(spark, d):
-    return decode(Dataset(_edges(spark, d), unique=True).query("SELECT ?a ?b { ?a v:next+ ?b }", NS), a="key", b="key")
 
+query("path_plus", _LINKS + " SELECT a, b FROM c")(_over_statements(f"SELECT ?a ?b {{ ?a <{_ACTOR}>+ ?b FILTER(isIRI(?a)) }}"))
+query("path_star", _LINKS + " SELECT a, b FROM (SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e)")(
+    _over_statements(f"SELECT ?a ?b {{ ?a <{_ACTOR}>* ?b FILTER EXISTS {{ {{ ?a <{_ACTOR}> ?x }} UNION {{ ?y <{_ACTOR}> ?a }} }} FILTER(isIRI(?a)) }}")
+)
+query("path_plus_from", _LINKS + " SELECT b FROM c WHERE a = (SELECT min(a) FROM e)")(
+    lambda spark, d: _over_statements(f"SELECT ?b {{ <{_first_actor(spark, d)}> <{_ACTOR}>+ ?b }}")(spark, d)
+)
 
-@query("path_star", _CLOSURE + " SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e)")
-def path_star(spark, d):
-    return decode(Dataset(_edges(spark, d), unique=True).query("SELECT ?a ?b { ?a v:next* ?b }", NS), a="key", b="key")
 
+def _first_actor(spark, d) -> str:
+    from .runtime import table
 
-@query("path_plus_from", _CLOSURE + " SELECT CAST(b AS BIGINT) AS b FROM c WHERE a = 1")
-def path_plus_from(spark, d):
-    return decode(Dataset(_edges(spark, d), unique=True).query("SELECT ?b { <http://example.org/user/1> v:next+ ?b }", NS), b="key")
+    links = table(spark, d, "statements").where(f"predicate = '{_ACTOR}' and object_kind = 'uri' and object is not null and not startswith(subject, '_:')")
+    return links.agg({"subject": "min"}).first()[0] or "http://example.org/none"
 
 
 def next_users(events):

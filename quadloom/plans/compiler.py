@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..runtime import materialize
 from .algebra import Bgp, Call, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Query, Term, Triple, Union, Values, Var
-from .expressions import Evaluator, as_num, as_str, whole_of
+from .expressions import Evaluator, as_number, as_str, quotient
 from .parser import SparqlError, is_aggregate, parse
 
 
@@ -64,6 +64,7 @@ class Compiler:
         self.data, self.spark, self.bindings = data, data.spark, bindings
         self.quads, self.unique = data.quads, data.unique
         self.named: DataFrame = data.quads
+        self.outer: Solutions | None = None  # what the conditions inside of an EXISTS can see of the outside
         self.count = 0
 
     def temp(self) -> str:
@@ -82,10 +83,11 @@ class Compiler:
         return self.describe(q)
 
     def dataset(self, q: Query) -> None:
-        if q.graphs:
-            self.quads, self.unique = self.data.quads.where(F.col("g").isin(q.graphs)), self.unique and True
-        if q.named:
-            self.named = self.data.quads.where(F.col("g").isin(q.named))
+        """FROM makes the default graph, FROM NAMED the graphs to choose from; with one of them the other is empty."""
+        if q.graphs or q.named:
+            g = F.col("g")
+            self.quads = self.data.quads.where(g.isin(q.graphs) if q.graphs else F.lit(False))
+            self.named = self.data.quads.where(g.isin(q.named) if q.named else F.lit(False))
 
     def select(self, q: Query) -> Solutions:
         self.dataset(q)
@@ -105,14 +107,18 @@ class Compiler:
         for name, e in out:
             if not (isinstance(e, Var) and e.name == name):
                 s = Solutions(s.df.withColumn(name, self.evaluator(s, replaced).term(e)), s.vars | {name: False})
-        if q.order:
-            ev = self.evaluator(s, replaced)
-            keys = [T.order_key(ev.term(e)) for e, _ in q.order]
-            s = Solutions(s.df.orderBy(*[k.asc() if up else k.desc() for k, (_, up) in zip(keys, q.order)]), s.vars)
         names = list(dict.fromkeys(n for n, _ in out))
-        df = s.df.select(*[s.col(n).alias(n) if n in s.vars else F.lit(self.bindings.get(n)).cast("string").alias(n) for n in names])
-        if q.distinct:
-            df = df.distinct() if not q.order else df.dropDuplicates()
+        shown = [s.col(n).alias(n) if n in s.vars else F.lit(self.bindings.get(n)).cast("string").alias(n) for n in names]
+        if not q.order:
+            df = s.df.select(*shown)
+            df = df.distinct() if q.distinct else df
+        else:
+            ev = self.evaluator(s, replaced)
+            marks = [self.temp() for _ in q.order]
+            df = s.df.select(*shown, *[T.order_key(ev.term(e)).alias(m) for m, (e, _) in zip(marks, q.order)])
+            if q.distinct:  # equal solutions have the place of the first of them
+                df = df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(*[(F.min if up else F.max)(F.col(f"`{m}`")).alias(m) for m, (_, up) in zip(marks, q.order)])
+            df = df.orderBy(*[F.col(f"`{m}`").asc() if up else F.col(f"`{m}`").desc() for m, (_, up) in zip(marks, q.order)]).drop(*marks)
         if q.offset:
             df = df.offset(q.offset)
         if q.limit is not None:
@@ -169,14 +175,19 @@ class Compiler:
             sep = " " if call.extra is None else call.extra
             gathered = F.collect_set(as_str(v)) if call.distinct else F.collect_list(as_str(v))
             return T.literal(F.array_join(F.sort_array(gathered), sep))
-        num = as_num(v)
-        failed = F.count(F.when(term.isNotNull() & num.isNull(), 1)) > 0
-        whole = F.coalesce(F.bool_and(F.when(num.isNotNull(), whole_of(v))), F.lit(True))
-        total = F.sum_distinct(num) if call.distinct else F.sum(num)
-        if call.op == "SUM":
-            return F.when(~failed, T.number_term(F.coalesce(total, F.lit(0.0)), whole))
-        n = F.count_distinct(num) if call.distinct else F.count(num)
-        return F.when(~failed, F.when(n == 0, T.literal(F.lit(0), T.XSD + "integer")).otherwise(T.number_term(total / F.nullif(n, F.lit(0)), F.lit(False))))
+        num = as_number(v)
+        failed = F.count(F.when(term.isNotNull() & num.col.isNull(), 1)) > 0
+        level = F.coalesce(F.max(num.level), F.lit(0))
+        if call.distinct:
+            n, exact, rough = F.count_distinct(num.col), F.sum_distinct(num.exact), F.sum_distinct(num.col)
+        else:
+            n, exact, rough = F.count(num.col), F.try_sum(num.exact), F.sum(num.col)
+        if call.op == "AVG":
+            exact, rough = quotient(exact.try_cast(T.DECIMAL), n.cast(T.DECIMAL)), F.try_divide(rough, n)
+            level = F.when(n > 0, F.greatest(level, F.lit(1))).otherwise(0)
+        zero = F.lit(0).cast(T.DECIMAL)
+        exact = F.when(n == 0, zero).otherwise(exact.try_cast(T.DECIMAL))
+        return F.when(~failed, T.number_literal(exact, rough, level))
 
     def construct(self, template: list[Triple], s: Solutions) -> DataFrame:
         parts = []
@@ -221,7 +232,7 @@ class Compiler:
         return t if self.unique else t.distinct()
 
     def evaluator(self, s: Solutions, replaced: dict[int, str] | None = None) -> Evaluator:
-        ev = Evaluator(lambda n: s.col(n) if n in s.vars else F.lit(self.bindings[n]) if n in self.bindings else None, None, self.data.functions)
+        ev = Evaluator(lambda n: self.known(s, n), None, self.data.functions)
         if replaced:
             plain = ev.value
             ev.value = lambda e: plain(Var(replaced[id(e)])) if id(e) in replaced else plain(e)
@@ -245,7 +256,7 @@ class Compiler:
         if isinstance(node, Filter):
             return self.filter(self.pattern(node.body, graph), node.condition, graph)
         if isinstance(node, Extend):
-            s = self.pattern(node.body, graph)
+            s = self.seeing(self.pattern(node.body, graph), _variables(node.expr))
             return Solutions(s.df.withColumn(node.var, self.evaluator(s).term(node.expr)), s.vars | {node.var: isinstance(node.expr, Term)})
         if isinstance(node, Values):
             return self.values(node)
@@ -363,8 +374,31 @@ class Compiler:
         cols += [F.col(f"`{v}`") for v in b.vars if v not in a.vars]
         return Solutions(df.select(*cols), {v: a.vars.get(v, False) or b.vars.get(v, False) for v in (*a.vars, *b.vars)})
 
+    def split(self, s: Solutions, v: str) -> tuple[Solutions, Solutions]:
+        """The rows that bind ``v``, and the others without that variable."""
+        bound = Solutions(s.df.where(s.col(v).isNotNull()), s.vars | {v: True})
+        return bound, Solutions(s.df.where(s.col(v).isNull()).drop(v), {k: x for k, x in s.vars.items() if k != v})
+
     def left_join(self, a: Solutions, b: Solutions, on: object) -> Solutions:
+        """Rows of ``a`` with what of ``b`` is compatible, or alone.
+
+        Where no shared variable is bound on both sides in every row, the rows that bind one are told from those that don't,
+        so that each part has a key to join by.
+        """
+        if on is not None:
+            a = self.seeing(a, _variables(on) - set(b.vars))
         shared = [v for v in a.vars if v in b.vars]
+        if shared and not any(a.vars[v] and b.vars[v] for v in shared):
+            v = shared[0]
+            if not a.vars[v]:
+                bound, free = self.split(a, v)
+                out = self.union(self.left_join(bound, b, on), self.left_join(free, b, on))
+            else:
+                met = self.join(a, b)
+                if on is not None:
+                    met = Solutions(met.df.where(self.evaluator(met).boolean(on)), met.vars)
+                out = self.union(met, self.semi(a, b, shared, [] if on is None else [on], "left_anti"))
+            return Solutions(out.df, {v: a.vars.get(v, False) for v in out.vars})
         right, new = self.renamed(b, shared)
         condition = self.matching(a, b, shared, new)
         if on is not None:
@@ -375,24 +409,70 @@ class Compiler:
         out = self.merged(a, b, df, shared, new)
         return Solutions(out.df, {v: a.vars.get(v, False) for v in out.vars})
 
+    def semi(self, a: Solutions, b: Solutions, shared: list[str], late: list, how: str) -> Solutions:
+        """The rows of ``a`` that are (left_semi) or are not (left_anti) compatible with a row of ``b`` in the variables ``shared``.
+
+        ``late`` are conditions on both. Loose variables are split as in ``left_join``.
+        """
+        if not shared or any(a.vars[v] and b.vars[v] for v in shared):
+            asked = {v for c in late for v in _variables(c)} & set(b.vars)
+            right, new = self.renamed(Solutions(b.df, {v: b.vars[v] for v in b.vars if v in asked or v in shared}), [*shared, *sorted(asked - set(shared))])
+            condition = self.matching(a, b, shared, new)
+            both = {v: F.coalesce(a.col(v), F.col(f"`{new[v]}`")) if v in a.vars else F.col(f"`{new[v]}`") for v in asked}
+            for c in late:
+                ev = Evaluator(lambda n: both[n] if n in both else self.known(a, n), None, self.data.functions)
+                condition = ev.boolean(c) if condition is None else condition & ev.boolean(c)
+            if condition is None:  # any row will do
+                return Solutions(a.df.join(right.limit(1), F.lit(True), how), a.vars)
+            return Solutions(a.df.join(right, condition, how), a.vars)
+        v, rest = shared[0], shared[1:]
+        if not a.vars[v]:
+            bound, free = (Solutions(a.df.where(test), a.vars | {v: x}) for test, x in ((a.col(v).isNotNull(), True), (a.col(v).isNull(), False)))
+            kept = [self.semi(bound, b, shared, late, how), self.semi(free, b, rest, late, how)]
+        else:
+            bound, free = (Solutions(b.df.where(test), b.vars | {v: x}) for test, x in ((b.col(v).isNotNull(), True), (b.col(v).isNull(), False)))
+            missed = self.semi(a, bound, shared, late, "left_anti")
+            if how == "left_anti":
+                return self.semi(missed, free, rest, late, how)
+            kept = [self.semi(a, bound, shared, late, how), self.semi(missed, free, rest, late, how)]
+        return Solutions(kept[0].df.unionByName(kept[1].df), a.vars)
+
+    def known(self, s: Solutions, name: str) -> Column | None:
+        return s.col(name) if name in s.vars else F.lit(self.bindings[name]) if name in self.bindings else None
+
+    def seeing(self, s: Solutions, names: set[str]) -> Solutions:
+        """``s`` with the variables of ``names`` that only the outside of an EXISTS binds."""
+        if self.outer is None:
+            return s
+        missing = sorted(v for v in names if v not in s.vars and v in self.outer.vars)
+        if not missing:
+            return s
+        keys = [v for v in self.outer.vars if v in s.vars] + missing
+        seen = self.outer.df.select(*[self.outer.col(v) for v in keys]).distinct()
+        return self.join(s, Solutions(seen, {v: self.outer.vars[v] for v in keys}))
+
     def union(self, a: Solutions, b: Solutions) -> Solutions:
         names = [*a.vars, *(v for v in b.vars if v not in a.vars)]
         pick = lambda s: s.df.select(*[s.col(v) if v in s.vars else F.lit(None).cast("string").alias(v) for v in names])
         return Solutions(pick(a).unionByName(pick(b)), {v: a.vars.get(v, False) and b.vars.get(v, False) for v in names})
 
     def minus(self, a: Solutions, b: Solutions) -> Solutions:
+        """Rows of ``a`` that no compatible row of ``b`` shares a bound variable with."""
         shared = [v for v in a.vars if v in b.vars]
+        right = Solutions(b.df.select(*[b.col(v) for v in shared]).distinct(), {v: b.vars[v] for v in shared})
+        return self.removed(a, right, shared)
+
+    def removed(self, a: Solutions, b: Solutions, shared: list[str]) -> Solutions:
         if not shared:
             return a
-        right, new = self.renamed(Solutions(b.df.select(*[b.col(v) for v in shared]).distinct(), {v: b.vars[v] for v in shared}), shared)
-        on = self.matching(a, b, shared, new)
-        if not any(a.vars[v] and b.vars[v] for v in shared):  # something must be bound on both sides
-            some = None
-            for v in shared:
-                one = F.col(f"`{v}`").isNotNull() & F.col(f"`{new[v]}`").isNotNull()
-                some = one if some is None else some | one
-            on = on & some
-        return Solutions(a.df.join(right, on, "left_anti"), a.vars)
+        if any(a.vars[v] and b.vars[v] for v in shared):
+            return self.semi(a, b, shared, [], "left_anti")
+        v, rest = shared[0], shared[1:]
+        if not a.vars[v]:
+            bound, free = (Solutions(a.df.where(test), a.vars | {v: x}) for test, x in ((a.col(v).isNotNull(), True), (a.col(v).isNull(), False)))
+            return Solutions(self.removed(bound, b, shared).df.unionByName(self.removed(free, b, rest).df), a.vars)
+        bound, free = self.split(b, v)
+        return self.removed(self.semi(a, bound, shared, [], "left_anti"), free, rest)
 
     def filter(self, s: Solutions, condition: object, graph: Term | Var | None) -> Solutions:
         for c in _conjuncts(condition):
@@ -403,26 +483,28 @@ class Compiler:
                 s = self.test(s, c, graph)
         return s
 
-    def exists(self, s: Solutions, body: object, graph: Term | Var | None, how: str) -> Solutions:
+    def inside(self, s: Solutions, body: object, graph: Term | Var | None) -> tuple[Solutions, list]:
+        """The solutions of the pattern of an EXISTS, and the conditions on it that only the outside can settle."""
         inner, on = body, []
         if isinstance(body, Filter):  # conditions may use variables of the outside
             inner, on = body.body, _conjuncts(body.condition)
+        before, self.outer = self.outer, s if self.outer is None else self.join(self.outer, s) if set(s.vars) & set(self.outer.vars) else s
         b = self.pattern(inner, graph)
         late = [c for c in on if not _variables(c) <= set(b.vars)]
         for c in on:
             if c not in late:
                 b = self.filter(b, c, graph)
-        shared = [v for v in s.vars if v in b.vars]
-        right, new = self.renamed(b, shared)
-        condition = self.matching(s, b, shared, new)
-        for c in late:
-            test = self.evaluator(Solutions(s.df, s.vars | {v: False for v in b.vars})).boolean(c)
-            condition = test if condition is None else condition & test
-        return Solutions(s.df.join(right, F.lit(True) if condition is None else condition, how), s.vars)
+        self.outer = before
+        return b, late
+
+    def exists(self, s: Solutions, body: object, graph: Term | Var | None, how: str) -> Solutions:
+        b, late = self.inside(s, body, graph)
+        return self.semi(s, b, [v for v in s.vars if v in b.vars], late, how)
 
     def test(self, s: Solutions, condition: object, graph: Term | Var | None) -> Solutions:
-        """A filter; EXISTS inside of it becomes a mark on the rows first."""
+        """A filter; EXISTS inside of it becomes a mark on the rows first, by the variables that it asks for."""
         marks: dict[int, str] = {}
+        s = self.seeing(s, _variables(condition))
         df = s.df
 
         def mark(e: object) -> None:
@@ -430,14 +512,16 @@ class Compiler:
             if isinstance(e, Call):
                 if e.op == "EXISTS":
                     row, flag = self.temp(), self.temp()
-                    kept = Solutions(df, s.vars)
-                    hit = self.exists(kept, e.args[0], graph, "left_semi")
-                    keys = list(s.vars)
-                    found = hit.df.select(*[F.col(f"`{k}`").alias(f"{row}{k}") for k in keys]).distinct().withColumn(flag, F.lit(True))
+                    b, late = self.inside(s, e.args[0], graph)
+                    asked = set(b.vars) | {v for c in late for v in _variables(c)}
+                    keys = [v for v in s.vars if v in asked]
+                    known = Solutions(s.df.select(*[s.col(k) for k in keys]).distinct(), {k: s.vars[k] for k in keys})
+                    hit = self.semi(known, b, [v for v in keys if v in b.vars], late, "left_semi")
+                    found = hit.df.select(*[F.col(f"`{k}`").alias(f"{row}{k}") for k in keys]).withColumn(flag, F.lit(True))
                     on = F.lit(True)
                     for k in keys:
                         on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`{row}{k}`"))
-                    df = df.join(found, on, "left").drop(*[f"{row}{k}" for k in keys])
+                    df = df.join(found if keys else found.limit(1), on, "left").drop(*[f"{row}{k}" for k in keys])
                     marks[id(e.args[0])] = flag
                 else:
                     for a in e.args:

@@ -15,22 +15,37 @@ from .parser import SparqlError
 
 @dataclass
 class Value:
-    """kind: term, bool, num, str or time. ``whole`` tells of a number whether it is an integer."""
+    """kind: term, bool, num, str or time.
+
+    A number has its double in ``col``; integers and decimals also have it in ``exact``, and ``level`` tells its type (see
+    ``terms.LEVELS``). ``code`` is the term of a constant.
+    """
 
     kind: str
     col: Column
-    whole: Column | None = None
+    exact: Column | None = None
+    level: Column | None = None
+    code: str | None = None
+
+
+@dataclass
+class Number:
+    exact: Column
+    col: Column
+    level: Column
 
 
 def as_term(v: Value) -> Column:
+    if v.code is not None:
+        return F.lit(v.code)
     if v.kind == "term":
         return v.col
     if v.kind == "bool":
         return T.literal(v.col, T.XSD + "boolean")
     if v.kind == "num":
-        return T.number_term(v.col, v.whole)
+        return T.number_literal(v.exact, v.col, v.level)
     if v.kind == "time":
-        return T.literal(F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss.SSS"), T.XSD + "dateTime")
+        return T.literal(F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), T.XSD + "dateTime")
     return T.literal(v.col)
 
 
@@ -45,72 +60,151 @@ def as_bool(v: Value) -> Column:
     if v.kind == "time":
         return F.lit(None).cast("boolean")
     number = T.number_of(v.col)
-    return F.coalesce(T.boolean_of(v.col), number != 0, F.when(T.tag(v.col) == "", T.lexical_form(v.col) != ""))
-
+    return F.coalesce(T.boolean_of(v.col), number != 0, F.when((T.tag(v.col) == "") | T.tag(v.col).startswith("@"), T.lexical_form(v.col) != ""))
 
-def as_num(v: Value) -> Column:
-    return v.col if v.kind == "num" else T.number_of(v.col) if v.kind == "term" else F.lit(None).cast("double")
 
-
-def whole_of(v: Value) -> Column:
-    return v.whole if v.kind == "num" else T.is_integer(v.col) if v.kind == "term" else F.lit(False)
+def as_number(v: Value) -> Number:
+    if v.kind == "num":
+        return Number(v.exact, v.col, v.level)
+    if v.kind == "term":
+        return Number(T.exact_of(v.col), T.number_of(v.col), T.level_of(v.col))
+    return Number(F.lit(None).cast(T.DECIMAL), F.lit(None).cast("double"), F.lit(None).cast("int"))
 
 
 def as_str(v: Value) -> Column:
+    if v.code is not None:
+        return F.lit(v.code.split(T.SEP, 1)[-1])
     if v.kind == "term":
         return T.lexical_form(v.col)
     if v.kind == "num":
-        return F.when(v.whole, v.col.try_cast("bigint").cast("string")).otherwise(v.col.cast("string"))
+        return T.number_text(v.exact, v.col, v.level)
     return T.lexical_form(as_term(v)) if v.kind == "time" else v.col.cast("string")
 
 
+def as_text(v: Value) -> Column:
+    """The text of a string literal, tagged or not; null (an error) for all else."""
+    if v.kind == "str":
+        return v.col
+    if v.kind != "term":
+        return F.lit(None).cast("string")
+    mark = T.tag(v.col)
+    return F.when((mark == "") | mark.startswith("@"), T.lexical_form(v.col))
+
+
+def like(v: Value, text: Column) -> Value:
+    """A string literal with the language of ``v``."""
+    if v.kind != "term":
+        return Value("str", text)
+    return Value("term", F.concat(F.lit("L"), F.when(T.tag(v.col).startswith("@"), T.tag(v.col)).otherwise(""), F.lit(T.SEP), text))
+
+
 def as_time(v: Value) -> Column:
     return v.col if v.kind == "time" else T.time_of(v.col) if v.kind == "term" else F.lit(None).cast("timestamp")
 
 
-def _num(col: Column, whole: bool | Column = False) -> Value:
-    return Value("num", col.cast("double"), F.lit(whole) if isinstance(whole, bool) else whole)
+def _integer(col: Column) -> Value:
+    return Value("num", col.cast("double"), col.try_cast(T.DECIMAL), F.when(col.isNotNull(), 0))
+
+
+def _exact(exact: Column, level: int | Column) -> Value:
+    return Value("num", exact.cast("double"), exact, F.lit(level) if isinstance(level, int) else level)
+
+
+def _double(col: Column, level: int = 3) -> Value:
+    return Value("num", col, F.lit(None).cast(T.DECIMAL), F.lit(level))
+
+
+def _short(exact: Column) -> Column:
+    """``exact`` in the digits that a product or quotient keeps in full; null where it has more."""
+    small = exact.try_cast("decimal(19,9)")
+    return F.when(small == exact, small)
+
+
+def quotient(x: Column, y: Column) -> Column:
+    """x / y of exact numbers; null where y is 0. Numbers with more than 19 digits are divided as doubles."""
+    y = F.nullif(y, F.lit(0).cast(T.DECIMAL))
+    return F.coalesce(F.try_divide(_short(x), _short(y)).try_cast(T.DECIMAL), F.try_divide(x.cast("double"), y.cast("double")).try_cast(T.DECIMAL))
+
+
+def _product(x: Column, y: Column) -> Column:
+    whole = lambda c: F.when(c == F.floor(c), c.try_cast("decimal(19,0)"))
+    return F.coalesce(
+        F.try_multiply(whole(x), whole(y)).try_cast(T.DECIMAL),
+        F.try_multiply(_short(x), _short(y)).try_cast(T.DECIMAL),
+        (x.cast("double") * y.cast("double")).try_cast(T.DECIMAL),
+    )
+
+
+def arithmetic(op: str, a: Value, b: Value) -> Value:
+    """Integers and decimals exactly (null where the result has more digits than DECIMAL holds), else doubles."""
+    x, y = as_number(a), as_number(b)
+    level = F.greatest(x.level, y.level)
+    if op == "/":
+        level = F.greatest(level, F.lit(1))
+    exact = {
+        "+": lambda: F.try_add(x.exact, y.exact).try_cast(T.DECIMAL),
+        "-": lambda: F.try_subtract(x.exact, y.exact).try_cast(T.DECIMAL),
+        "*": lambda: _product(x.exact, y.exact),
+        "/": lambda: quotient(x.exact, y.exact),
+    }[op]()
+    by_zero = F.when((x.col == 0) | F.isnan(x.col), float("nan")).otherwise(F.signum(x.col) * float("inf"))
+    rough = {
+        "+": lambda: x.col + y.col,
+        "-": lambda: x.col - y.col,
+        "*": lambda: x.col * y.col,
+        "/": lambda: F.when(y.col == 0, by_zero).otherwise(x.col / F.nullif(y.col, F.lit(0.0))),
+    }[op]()
+    return Value("num", F.when(level <= 1, exact.cast("double")).otherwise(rough), exact, level)
 
 
 def _compare(op: str, a: Value, b: Value) -> Column:
     ops: dict[str, Callable] = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}
     f = ops[op]
     kinds = {a.kind, b.kind}
+
+    def numbers() -> Column:
+        x, y = as_number(a), as_number(b)
+        return F.coalesce(f(x.exact, y.exact), f(x.col, y.col))
+
     if "num" in kinds:
-        return f(as_num(a), as_num(b))
+        return numbers()
     if "bool" in kinds:
         return f(a.col if a.kind == "bool" else T.boolean_of(a.col), b.col if b.kind == "bool" else T.boolean_of(b.col))
     if "time" in kinds:
         return f(as_time(a), as_time(b))
     if "str" in kinds:
         plain = lambda v: v.col if v.kind == "str" else F.when(T.tag(v.col) == "", T.lexical_form(v.col))
+        if op in ("=", "!="):  # a literal of another kind is not the same, nor is a tagged one
+            return f(as_term(a), as_term(b))
         return f(plain(a), plain(b))
     x, y = a.col, b.col
-    numbers = f(T.number_of(x), T.number_of(y))
     times = f(T.time_of(x), T.time_of(y))
     if op in ("=", "!="):
-        return F.coalesce(numbers, times, f(x, y))
+        return F.coalesce(numbers(), times, f(T.boolean_of(x), T.boolean_of(y)), f(x, y))
     texts = F.when((T.tag(x) == "") & (T.tag(y) == ""), f(T.lexical_form(x), T.lexical_form(y)))
-    return F.coalesce(numbers, times, texts, f(T.boolean_of(x), T.boolean_of(y)))
+    return F.coalesce(numbers(), times, texts, f(T.boolean_of(x), T.boolean_of(y)))
 
 
 def _const_number(e: object) -> bool:
     return isinstance(e, Term) and e.code[1:].split(T.SEP)[0] in T.NUMERIC
 
 
-def _flags(text: str) -> str:
-    known = "".join(c for c in text if c in "ismx")
-    return f"(?{known})" if known else ""
-
-
-def _before(s: Column, part: Column) -> Column:
-    at = F.position(part, s)
-    return F.when(at > 0, s.substr(F.lit(1), at - 1)).otherwise("")
+def _pattern(text: Column, flags: str) -> Column:
+    """A pattern with its flags; ``q`` takes it as plain text. Other flags than i, s, m, x, q are refused."""
+    if set(flags) - set("ismxq"):
+        raise SparqlError(f"unknown flags {flags}")
+    if "q" in flags:
+        text = F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    known = "".join(c for c in flags if c != "q")
+    return F.concat(F.lit(f"(?{known})"), text) if known else text
 
 
-def _after(s: Column, part: Column) -> Column:
-    at = F.position(part, s)
-    return F.when(at > 0, s.substr(at + F.length(part), F.length(s))).otherwise("")
+def _substring(text: Column, start: Column, length: Column | None) -> Column:
+    """Characters whose places, from 1, are at least ``start`` and less than ``start`` + ``length``, both rounded."""
+    first = round_half_up(start).cast("int")
+    end = F.char_length(text) + 1 if length is None else F.least(first + round_half_up(length).cast("int"), F.char_length(text) + 1)
+    low = F.greatest(first, F.lit(1))
+    return F.when(end > low, text.substr(low, end - low)).when(text.isNotNull() & end.isNotNull(), "")
 
 
 def encode_for_uri(s: Column) -> Column:
@@ -123,7 +217,9 @@ def round_half_up(x: Column) -> Column:
 
 
 _HASHES = {"MD5": F.md5, "SHA1": F.sha1, "SHA256": lambda s: F.sha2(s, 256), "SHA384": lambda s: F.sha2(s, 384), "SHA512": lambda s: F.sha2(s, 512)}
-_DATE_PARTS = {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOURS": F.hour, "MINUTES": F.minute}
+#: Groups of the lexical form of dates and times; parts are read as written, whatever the offset.
+_DATE = r"^\s*(-?\d{4,})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2}):(\d{2}(?:\.\d+)?))?"
+_DATE_PARTS = {"YEAR": 1, "MONTH": 2, "DAY": 3, "HOURS": 4, "MINUTES": 5, "SECONDS": 6}
 
 
 class Evaluator:
@@ -144,8 +240,10 @@ class Evaluator:
             return Value("term", F.lit(None).cast("string") if col is None else col)
         if isinstance(e, Term):
             if _const_number(e):
-                lex = e.code.split(T.SEP, 1)[1]
-                return _num(F.lit(float(lex)), e.code[1:].split(T.SEP)[0] in T.INTEGER)
+                mark, lex = e.code[1:].split(T.SEP, 1)
+                level = 0 if mark in T.INTEGER else T.LEVELS.index(mark)
+                exact = F.lit(lex if level <= 1 else None).try_cast(T.DECIMAL)
+                return Value("num", F.lit(lex).try_cast("double"), exact, F.lit(level), e.code)
             if e.code.startswith("L" + T.SEP):
                 return Value("str", F.lit(e.code.split(T.SEP, 1)[1]))
             return Value("term", F.lit(e.code))
@@ -193,12 +291,10 @@ class Evaluator:
             return Value("bool", self.value(args[0]).col.isNotNull())
         v = [self.value(a) for a in args]
         if op in "+-*/" and len(op) == 1:
-            x, y = as_num(v[0]), as_num(v[1])
-            whole = whole_of(v[0]) & whole_of(v[1])
-            results = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.when(y != 0, x / F.nullif(y, F.lit(0.0)))}
-            return _num(results[op](), F.lit(False) if op == "/" else whole)
+            return arithmetic(op, v[0], v[1])
         if op == "neg":
-            return _num(-as_num(v[0]), whole_of(v[0]))
+            x = as_number(v[0])
+            return Value("num", -x.col, -x.exact, x.level)
         if op == "COALESCE":
             return Value("term", F.coalesce(*map(as_term, v)))
         if op == "SAMETERM":
@@ -229,40 +325,48 @@ class Evaluator:
         if op == "STRLANG":
             return Value("term", T.literal(as_str(v[0]), lang=as_str(v[1])))
         if op == "REGEX":
-            flags = _flags(args[2].code.split(T.SEP, 1)[1]) if len(args) > 2 else ""
-            return Value("bool", F.regexp_like(as_str(v[0]), F.concat(F.lit(flags), as_str(v[1]))))
+            flags = args[2].code.split(T.SEP, 1)[1] if len(args) > 2 else ""
+            return Value("bool", F.regexp_like(as_text(v[0]), _pattern(as_str(v[1]), flags)))
         if op == "REPLACE":
-            flags = _flags(args[3].code.split(T.SEP, 1)[1]) if len(args) > 3 else ""
-            return Value("str", F.regexp_replace(as_str(v[0]), F.concat(F.lit(flags), as_str(v[1])), as_str(v[2])))
+            flags = args[3].code.split(T.SEP, 1)[1] if len(args) > 3 else ""
+            return like(v[0], F.regexp_replace(as_text(v[0]), _pattern(as_str(v[1]), flags), as_str(v[2])))
         if op == "STRLEN":
-            return _num(F.char_length(as_str(v[0])), True)
+            return _integer(F.char_length(as_text(v[0])))
         if op == "SUBSTR":
-            start = as_num(v[1]).cast("int")
-            return Value("str", as_str(v[0]).substr(start, as_num(v[2]).cast("int") if len(v) > 2 else F.char_length(as_str(v[0]))))
+            return like(v[0], _substring(as_text(v[0]), as_number(v[1]).col, as_number(v[2]).col if len(v) > 2 else None))
         if op in ("UCASE", "LCASE"):
-            return Value("str", (F.upper if op == "UCASE" else F.lower)(as_str(v[0])))
+            return like(v[0], (F.upper if op == "UCASE" else F.lower)(as_text(v[0])))
         if op in ("STRSTARTS", "STRENDS", "CONTAINS"):
             f = {"STRSTARTS": F.startswith, "STRENDS": F.endswith, "CONTAINS": F.contains}[op]
-            return Value("bool", f(as_str(v[0]), as_str(v[1])))
-        if op == "STRBEFORE":
-            return Value("str", _before(as_str(v[0]), as_str(v[1])))
-        if op == "STRAFTER":
-            return Value("str", _after(as_str(v[0]), as_str(v[1])))
+            return Value("bool", f(as_text(v[0]), as_text(v[1])))
+        if op in ("STRBEFORE", "STRAFTER"):
+            text, part = as_text(v[0]), as_text(v[1])
+            at = F.position(part, text)
+            found = text.substr(F.lit(1), at - 1) if op == "STRBEFORE" else text.substr(at + F.length(part), F.length(text))
+            if v[0].kind != "term":
+                return Value("str", F.when(at > 0, found).otherwise(F.when(at == 0, "")))
+            return Value("term", F.when(at > 0, like(v[0], found).col).when(at == 0, T.literal(F.lit(""))))
         if op == "ENCODE_FOR_URI":
-            return Value("str", encode_for_uri(as_str(v[0])))
+            return Value("str", encode_for_uri(as_text(v[0])))
         if op == "CONCAT":
-            return Value("str", F.concat(*map(as_str, v)) if v else F.lit(""))
+            whole = F.concat(*map(as_text, v)) if v else F.lit("")
+            if not v or v[0].kind != "term" or any(x.kind != "term" for x in v):
+                return Value("str", whole)
+            same = F.lit(True)  # the language that all have stays
+            for x in v[1:]:
+                same = same & (T.tag(x.col) == T.tag(v[0].col))
+            return Value("term", F.when(same, like(v[0], whole).col).otherwise(T.literal(whole)))
         if op in ("ABS", "CEIL", "FLOOR", "ROUND"):
             f = {"ABS": F.abs, "CEIL": F.ceil, "FLOOR": F.floor, "ROUND": round_half_up}[op]
-            return _num(f(as_num(v[0])), whole_of(v[0]))
+            x = as_number(v[0])
+            return Value("num", f(x.col).cast("double"), f(x.exact).try_cast(T.DECIMAL), x.level)
         if op == "RAND":
-            return _num(F.rand())
+            return _double(F.rand())
         if op == "NOW":
             return Value("time", F.current_timestamp())
         if op in _DATE_PARTS:
-            return _num(_DATE_PARTS[op](as_time(v[0])), True)
-        if op == "SECONDS":
-            return _num(F.expr("0") + F.second(as_time(v[0])), True)
+            written = F.when(as_time(v[0]).isNotNull(), F.regexp_extract(as_str(v[0]), _DATE, _DATE_PARTS[op]))
+            return _exact(written.try_cast(T.DECIMAL), 1 if op == "SECONDS" else 0)
         if op in ("TZ", "TIMEZONE"):
             zone = F.regexp_extract(as_str(v[0]), r"(Z|[+-]\d{2}:\d{2})$", 1)
             if op == "TZ":
@@ -283,12 +387,19 @@ class Evaluator:
 
     def _cast(self, op: str, v: Value) -> Value:
         text = as_str(v)
-        if op in T.INTEGER:
-            return _num(text.try_cast("double").cast("bigint"), True)
         if op in T.NUMERIC:
-            return _num(text.try_cast("double"))
+            x = as_number(v)
+            truth = v.col if v.kind == "bool" else T.boolean_of(v.col) if v.kind == "term" else F.lit(None).cast("boolean")
+            if op not in T.EXACT:
+                return _double(F.coalesce(x.col, F.when(truth, 1.0).when(~truth, 0.0), text.try_cast("double")), T.LEVELS.index(op))
+            exact = F.coalesce(x.exact, x.col.try_cast(T.DECIMAL), F.when(truth, 1).when(~truth, 0).cast(T.DECIMAL))
+            if op == T.XSD + "decimal":
+                return _exact(F.coalesce(exact, F.when(text.rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"), F.btrim(text).try_cast(T.DECIMAL))), 1)
+            cut = F.when(exact >= 0, F.floor(exact)).otherwise(F.ceil(exact)).try_cast(T.DECIMAL)
+            return _exact(F.coalesce(cut, F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.btrim(text).try_cast(T.DECIMAL))), 0)
         if op == T.XSD + "boolean":
-            return Value("bool", F.lower(text).isin("true", "1") | F.when(F.lower(text).isin("false", "0"), F.lit(False)))
+            number = as_number(v).col
+            return Value("bool", F.coalesce(number != 0, F.when(F.lower(text).isin("true", "1"), F.lit(True)).when(F.lower(text).isin("false", "0"), F.lit(False))))
         if op in T.TIMES:
-            return Value("time", text.try_cast("timestamp"))
+            return Value("time", v.col) if v.kind == "time" else Value("term", F.when(text.try_cast("timestamp").isNotNull(), T.literal(text, op)))
         return Value("str", text)
