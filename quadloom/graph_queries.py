@@ -298,12 +298,12 @@ _LINKS = f"""WITH RECURSIVE e AS (SELECT DISTINCT subject AS a, object AS b FROM
     c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)"""
 
 
-def _over_statements(text: str, **kinds: str):
+def _over_statements(text: str, bindings=dict, **kinds: str):
     def run(spark, d):
         from .runtime import table
         from .sources.tables import statement_quads
 
-        return decode(Dataset(statement_quads(table(spark, d, "statements").where("subject is not null and predicate is not null and object is not null"))).query(text, NS), **kinds)
+        return decode(Dataset(statement_quads(table(spark, d, "statements").where("subject is not null and predicate is not null and object is not null"))).query(text, NS, bindings()), **kinds)
 
     return run
 
@@ -313,7 +313,7 @@ query("path_star", _LINKS + " SELECT a, b FROM (SELECT a, b FROM c UNION SELECT
     _over_statements(f"SELECT ?a ?b {{ ?a <{_ACTOR}>* ?b FILTER EXISTS {{ {{ ?a <{_ACTOR}> ?x }} UNION {{ ?y <{_ACTOR}> ?a }} }} FILTER(isIRI(?a)) }}")
 )
 query("path_plus_from", _LINKS + " SELECT b FROM c WHERE a = (SELECT min(a) FROM e)")(
-    lambda spark, d: _over_statements(f"SELECT ?b {{ <{_first_actor(spark, d)}> <{_ACTOR}>+ ?b }}")(spark, d)
+    lambda spark, d: _over_statements(f"SELECT ?b {{ ?a <{_ACTOR}>+ ?b }}", lambda: {"a": _first_actor(spark, d)})(spark, d)
 )
 
 
@@ -321,7 +321,7 @@ def _first_actor(spark, d) -> str:
     from .runtime import table
 
     links = table(spark, d, "statements").where(f"predicate = '{_ACTOR}' and object_kind = 'uri' and object is not null and not startswith(subject, '_:')")
-    return links.agg({"subject": "min"}).first()[0] or "http://example.org/none"
+    return "U" + (links.agg({"subject": "min"}).first()[0] or "http://example.org/none")
 
 
 def next_users(events):
