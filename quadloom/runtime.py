@@ -66,7 +66,17 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out.quadloom_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``; nothing may read from it any more."""
+    path = getattr(df, "quadloom_path", None)
+    if path is not None:
+        _written[:] = [x for x in _written if x[1] != path]
+        _delete(df.sparkSession, path)
 
 
 def drop_scratch() -> None:
