@@ -1,9 +1,11 @@
 """Subject areas of documents, by factoring the document-term matrix with seeded non-negative alternating updates.
 
-Each language has one component per subject, anchored in a bounded sample of labelled documents, and one background
-component. Updates alternate between the mixtures of the documents (worked out where the documents are) and the components
-(summed up over all documents). What a term says about subjects then follows from the components, and sentences, documents
-and the corpus from the terms.
+Terms are hashed into a fixed number of slots, so every term of every text counts and the model has the same size for any
+corpus. There is one component per subject, anchored in a bounded sample of labelled documents, and one background
+component per language label; the mixture of a document has weights on the subjects and on the background of its language.
+Updates alternate between mixtures and components: a round goes once over all documents, takes each mixture on from where
+the round before left it, and adds the components up in a tree. The fitted mixture of a document splits the terms of its
+sentences over the components, which says what each sentence, the document and the corpus deal with.
 """
 
 from __future__ import annotations
@@ -14,31 +16,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh32_intdigest
 
-from ..operators.balanced import codes_of
-from ..runtime import materialize
+from ..operators.blocks import map_blocks
+from ..runtime import materialize, release
 from .words import fold, visible
 
 #: Labelled rows that anchor the components, at most (the sample is by hash of the document).
 LABEL_ROWS = 50_000
-#: A term counts from this share of the documents on, so there are at most (mean terms of a text) / TERM_SHARE terms.
-TERM_SHARE, TERM_LEAST = 2e-4, 3
+#: Slots of the terms; terms that share a slot count as one.
+SLOTS = 1 << 18
+#: Letters of a word that make its term, so that inflected forms, and cognates of other languages, count as one.
+STEM = 6
+#: Background components: one for each of the commonest language labels, the last for all other and missing labels.
+BACKGROUNDS = 16
 #: Alternating updates, and updates of a document's mixture in each.
-ROUNDS, INNER = 12, 6
-#: Posterior from which a term counts for a subject, and what a sentence needs of it to deal with the subject.
-CLEAR, EVIDENCE = 0.5, 1.2
+ROUNDS, INNER = 6, 3
+#: Weight of the anchors in the components of each round, words of the background that smooth an anchor, and how many
+#: times as frequent as in the background a term of it is at least.
+ANCHOR, SMOOTH, LIFT = 0.1, 50, 1.2
+#: Words that each part of a mixture has beforehand, so that a subject is not lost where a document has few words of it.
+PRIOR = 0.3
+#: Different terms of a sentence that the mixture gives to a subject, at least, where the sentence deals with it: one is too few.
+EVIDENCE = 1.75
 #: Share of a document's sentences on subjects from which it deals with a subject.
 SHARE = 0.25
-#: A term in more than this share of a language's documents belongs to no subject.
-COMMON = 0.9
-#: Language labels below this share of the documents are not looked at.
-LANGUAGE_SHARE = 0.002
 
 _END = re.compile(r"[.!?…][\"”»')\]]*\s+(?=[^a-z\s])|\n\s*\n|\r?\n(?==)")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Thai, kana, Han and Hangul letters.
+_UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -48,332 +58,359 @@ def sentences(text: str | None) -> list[list[str]]:
     return [w for s in _END.split(visible(text)) if s and (w := _WORD.findall(s))]
 
 
-@dataclass
-class Model:
-    subjects: list[str]
-    terms: dict[str, int]
-    languages: np.ndarray  # log p(term | language)
-    posterior: np.ndarray | None = None  # p(subject | term) by language
+def terms_of(word: str) -> list[str]:
+    """The terms of a word: its stem; of letters written without blanks between words, all pairs of neighbours."""
+    word = fold(word)
+    if len(word) > 2 and _UNSPACED.search(word):
+        return [word[i : i + 2] for i in range(len(word) - 1)]
+    return [word[:STEM]]
+
+
+class Slots:
+    """Terms of words as slots of the model; each spelling is folded and hashed once."""
+
+    def __init__(self, keep: int = 500_000) -> None:
+        self.known: dict[str, list[int]] = {}
+        self.keep = keep
+
+    def __call__(self, words: list[str]) -> list[int]:
+        known, out = self.known, []
+        for w in words:
+            n = known.get(w)
+            if n is None:
+                n = [xxh32_intdigest(t) % SLOTS for t in terms_of(w)]
+                if len(known) < self.keep:
+                    known[w] = n
+            out += n
+        return out
+
+
+def _lists(of: np.ndarray, values: np.ndarray, size: int) -> pa.ListArray:
+    """Lists of ``values``, whose owners ``of`` ascend."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(size + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
 
+_ENCODED = "doc_id bigint, label string, terms array<int>, counts array<int>, inside array<int>, ends array<int>"
 
-def tokenized(documents: DataFrame) -> DataFrame:
-    """(doc_id, label, words, lower, ends): folded words, whether they are written small, where sentences end. Written once.
 
-    The only step that reads texts word by word; the others work on arrays. ``label`` is the language as labelled.
+def encoded(documents: DataFrame) -> DataFrame:
+    """(doc_id, label, terms, counts, inside, ends): documents as numbers, written once; the only step that reads texts.
+
+    ``terms`` are the slots of a document and ``counts`` how often each occurs, ``inside`` has the different terms of each
+    sentence one after the other, as places in ``terms``, ``ends`` where each sentence ends in it. ``label`` is the language
+    as labelled.
     """
-    key = F.substring_index(F.substring_index(F.lower(F.trim(F.coalesce(F.col("lang"), F.lit("")))), "-", 1), "_", 1)
+    key = F.substring_index(F.substring_index(F.lower(F.trim(F.coalesce(F.col("lang").cast("string"), F.lit("")))), "-", 1), "_", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
+        slots = Slots()
         for batch in batches:
-            flat: list[str] = []
-            lower: list[bool] = []
-            ends: list[int] = []
-            words_to, ends_to = [0], [0]
-            for text in batch.column("text").to_pylist():
-                start = len(flat)
+            flat: list[int] = []
+            stops, docs = [], []
+            for d, text in enumerate(batch.column("text").to_pylist()):
                 for words in sentences(text):
-                    for w in words:
-                        t = known.get(w)
-                        if t is None:
-                            t = fold(w)
-                            if len(known) < 500_000:
-                                known[w] = t
-                        flat.append(t)
-                        lower.append(w.islower())
-                    ends.append(len(flat) - start)
-                words_to.append(len(flat))
-                ends_to.append(len(ends))
-            offsets = pa.array(words_to, pa.int32())
+                    flat.extend(slots(words))
+                    stops.append(len(flat))
+                    docs.append(d)
+            n, slot, of_sentence = batch.num_rows, np.array(flat, np.int64), np.array(docs, np.int64)
+            sentence = np.repeat(np.arange(len(stops)), np.diff(np.array([0, *stops])))
+            pair, at, counts = np.unique(of_sentence[sentence] * SLOTS + slot, return_inverse=True, return_counts=True)
+            doc = pair // SLOTS
+            once = np.unique(sentence * max(1, len(pair)) + at)
+            which, place = once // max(1, len(pair)), once % max(1, len(pair))
+            inside = place - np.searchsorted(doc, np.arange(n))[of_sentence[which]]
+            starts = np.searchsorted(of_sentence[which], np.arange(n))
+            ends = np.searchsorted(which, np.arange(len(stops)), side="right") - starts[of_sentence]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("label"),
-                    pa.ListArray.from_arrays(offsets, pa.array(flat, pa.string())),
-                    pa.ListArray.from_arrays(offsets, pa.array(lower, pa.bool_())),
-                    pa.ListArray.from_arrays(pa.array(ends_to, pa.int32()), pa.array(ends, pa.int32())),
-                ],
-                names=["doc_id", "label", "words", "lower", "ends"],
+                [batch.column("doc_id"), batch.column("label"), _lists(doc, pair % SLOTS, n), _lists(doc, counts, n), _lists(of_sentence[which], inside, n), _lists(of_sentence, ends, n)],
+                names=["doc_id", "label", "terms", "counts", "inside", "ends"],
             )
 
-    source = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text", key.alias("label"))
-    return materialize(source.mapInArrow(run, "doc_id bigint, label string, words array<string>, lower array<boolean>, ends array<int>"), "words")
+    source = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), key.alias("label"))
+    return materialize(source.mapInArrow(run, _ENCODED), "encoded")
 
 
-def term_table(rows: DataFrame) -> DataFrame:
-    """(term, language label, docs, total, lower) over all documents."""
+def flat_terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of all entries of a batch."""
+    lists = batch.column("terms")
+    return np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), batch.column("counts").flatten().to_numpy().astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("words")
-            code, words = codes_of(lists.flatten())
-            if not len(words):
-                continue
-            label, labels = codes_of(batch.column("label"))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            key, at = np.unique(label[doc] * len(words) + code, return_inverse=True)
-            total = np.bincount(at, minlength=len(key))
-            lower = np.bincount(at, batch.column("lower").flatten().to_numpy(zero_copy_only=False).astype(float), len(key)).astype(np.int64)
-            once = np.unique(doc * len(words) + code)
-            docs = np.bincount(np.searchsorted(key, label[once // len(words)] * len(words) + once % len(words)), minlength=len(key))
-            yield pa.RecordBatch.from_arrays(
-                [words.take(pa.array(key % len(words))), labels.take(pa.array(key // len(words))), *(pa.array(x.astype(np.int64)) for x in (docs, total, lower))],
-                names=["term", "label", "docs", "total", "lower"],
-            )
 
-    each = rows.select("label", "words", "lower").mapInArrow(run, "term string, label string, docs bigint, total bigint, lower bigint")
-    return each.groupBy("term", "label").agg(*(F.sum(c).alias(c) for c in ("docs", "total", "lower")))
-
-
-def vocabulary(rows: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Terms, their counts by language, and documents per term and language; spellings of one language are put together."""
-    table = materialize(term_table(rows), "terms")
-    n = rows.count()
-    least = max(TERM_LEAST, TERM_SHARE * n)
-    good = table.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("docs", "total", "lower"))).where(
-        (F.col("docs") >= F.lit(least)) & (F.col("lower") >= 0.2 * F.col("total")) & (F.length("term") > 1)
-    )
-    terms = {r[0]: i for i, r in enumerate(good.select("term").orderBy("term").toLocalIterator())}
-    frequent = rows.where("label <> ''").groupBy("label").count().where(F.col("count") >= F.lit(LANGUAGE_SHARE * n))  # at most 1 / LANGUAGE_SHARE
-    labels = [r[0] for r in frequent.orderBy(F.desc("count"), "label").collect()]
-    if not labels:
-        labels = [""]
-    total, docs = np.zeros((len(labels), len(terms))), np.zeros((len(labels), len(terms)))
-    for t, l, d, c in table.where(F.col("label").isin(labels)).join(good.select("term"), "term", "left_semi").select("term", "label", "docs", "total").toLocalIterator():
-        total[labels.index(l), terms[t]], docs[labels.index(l), terms[t]] = c, d
-    size = np.linalg.norm(total, axis=1, keepdims=True)
-    near = (total / np.maximum(size, 1e-9)) @ (total / np.maximum(size, 1e-9)).T
-    root = list(range(len(labels)))
-    for a in range(len(labels)):
-        for b in range(a):
-            if root[b] == b and near[a, b] > 0.7:
-                root[a] = b
-                break
-    keep = [r for r in range(len(labels)) if root[r] == r]
-    total = np.stack([total[[i for i in range(len(labels)) if root[i] == r]].sum(0) for r in keep])
-    docs = np.stack([docs[[i for i in range(len(labels)) if root[i] == r]].sum(0) for r in keep])
-    big = total.sum(1) >= LANGUAGE_SHARE * max(1, total.sum())
-    big[total.sum(1).argmax()] = True
-    return terms, total[big], docs[big]
-
-
-def encoded(rows: DataFrame, terms: dict[str, int], total: np.ndarray) -> DataFrame:
-    """(doc_id, language, terms, counts, in_sentences, ends): documents as numbers, written once.
-
-    ``in_sentences`` holds the different terms of each sentence one after the other, ``ends`` where each sentence ends. The
-    language is the one whose term frequencies fit the text best, whatever its label says. Documents without a known term
-    are left out.
-    """
-    smooth = total + 0.1
-    sent = rows.sparkSession.sparkContext.broadcast((list(terms), np.log(smooth / smooth.sum(1, keepdims=True))))
+@dataclass
+class Model:
+    """Components on slots: ``subjects`` (subject, slot), ``backgrounds`` (language, slot).
 
-    def lists(of: np.ndarray, values: np.ndarray, size: int) -> pa.ListArray:
-        ends = np.searchsorted(of, np.arange(size + 1))
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
+    ``portions`` (subject, language) tell how much of a subject's component is in the terms of each language, as a document
+    meets only those of its own.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, log_p = sent.value
-        known, size = pa.array(words, pa.string()), max(1, len(words))
-        for batch in batches:
-            column, ends = batch.column("words"), batch.column("ends")
-            ids = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = column.offsets.to_numpy()[:-1] - column.offsets.to_numpy()[0]
-            per_doc = np.diff(ends.offsets.to_numpy())
-            stops = ends.flatten().to_numpy() + np.repeat(starts, per_doc)
-            owner = np.repeat(np.arange(batch.num_rows), per_doc)
-            sentence = np.repeat(np.arange(len(stops)), np.diff(np.concatenate([[0], stops])))
-            good = ids >= 0
-            ids, sentence = ids[good], sentence[good]
-            pair, n = np.unique(owner[sentence] * size + ids, return_counts=True)
-            doc, term = pair // size, pair % size
-            fit_ = np.stack([np.bincount(doc, n * p[term], batch.num_rows) for p in log_p], 1)
-            inside = np.unique(sentence * size + ids)
-            of_sentence, in_sentence = inside // size, inside % size
-            met = np.unique(of_sentence)
-            of_doc = owner[met]
-            first = np.searchsorted(owner[of_sentence], np.arange(batch.num_rows))
-            ends_in = np.searchsorted(of_sentence, met, side="right") - first[of_doc]
-            keep = pa.array(np.bincount(doc, minlength=batch.num_rows) > 0)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(fit_.argmax(1).astype(np.int32)), lists(doc, term, batch.num_rows), lists(doc, n, batch.num_rows),
-                    lists(owner[of_sentence], in_sentence, batch.num_rows), lists(of_doc, ends_in, batch.num_rows),
-                ],
-                names=["doc_id", "language", "terms", "counts", "in_sentences", "ends"],
-            )
-            yield out.filter(keep)
+    subjects: np.ndarray
+    backgrounds: np.ndarray
+    portions: np.ndarray
 
-    schema = "doc_id bigint, language int, terms array<int>, counts array<int>, in_sentences array<int>, ends array<int>"
-    return materialize(rows.select("doc_id", "words", "ends").mapInArrow(run, schema), "encoded")
+    def likelihood(self, term: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """(part of the mixture, entry): of each entry's term; the last part is the background of the language."""
+        return np.concatenate([self.subjects[:, term] / self.portions[:, language], self.backgrounds[language, term][None]])
 
 
-def seeds(rows: DataFrame, labels: DataFrame, subjects: list[str], shape: tuple[int, int], label_rows: int = LABEL_ROWS) -> np.ndarray:
-    """Counts of each term in the labelled documents by language and subject."""
-    name = F.lower(F.regexp_replace("subject", r"(?U)^\s+|\s+\z", ""))
-    sample = labels.where("doc_id is not null and subject is not null").select(F.col("doc_id").cast("bigint"), name.alias("label")).distinct()
-    sample = sample.where(F.col("label").isin([s.strip().lower() for s in subjects])).orderBy(F.xxhash64("doc_id", "label")).limit(label_rows)
-    places = {s.strip().lower(): i for i, s in enumerate(subjects)}
-    counts = np.zeros((shape[0], len(subjects), shape[1]))
-    pairs = rows.join(F.broadcast(sample), "doc_id").select("language", "label", F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-    for l, s, t, n in pairs.groupBy("language", "label", F.col("x.terms").alias("t")).agg(F.sum("x.counts").alias("n")).toLocalIterator():
-        counts[l, places[s], t] = n
-    return counts
-
-
-def first_components(counts: np.ndarray, total: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Anchored start, by language: subject components on terms that labelled documents favour, and the background."""
-    langs, n_subjects, n_terms = counts.shape
-    h = np.zeros((langs, n_subjects + 1, n_terms))
-    for l in range(langs):
-        p = (total[l] + 1e-9) / (total[l].sum() + 1e-9 * n_terms)
-        common = docs[l] > COMMON * docs[l].max(initial=1.0)
-        for s in range(n_subjects):
-            if not counts[l, s].sum():
-                continue
-            q = (counts[l, s] + 50 * p) / (counts[l, s].sum() + 50)
-            lifted = q * np.maximum(0, np.log(q / p) - 0.2)
-            if lifted.sum():
-                h[l, s] = 0.95 * lifted / lifted.sum() + 0.05 * p
-                h[l, s, common] = 0
-        h[l, n_subjects] = p
-    return h
-
-
-def cognates(counts: np.ndarray, posterior: np.ndarray, terms: list[str], l: int, total: np.ndarray) -> np.ndarray:
-    """Seeds for the subjects without labels in language ``l``: terms that begin like clear terms of other languages."""
-    out = counts[l].copy()
-    bare = [s for s in range(counts.shape[1]) if not counts[l, s].sum()]
-    if not bare:
-        return out
-    begins: dict[str, np.ndarray] = {}
-    for o in range(len(counts)):
-        if o != l:
-            for t in np.flatnonzero((posterior[o].max(0) > 0.9) & (total[o] > 0)):
-                if len(terms[t]) >= 6:
-                    begins.setdefault(terms[t][:5], np.zeros(counts.shape[1]))[posterior[o][:, t].argmax()] += 1
-    for t in np.flatnonzero(total[l] > 0):
-        votes = begins.get(terms[t][:5])
-        if votes is not None and len(terms[t]) >= 6 and votes.max() > 0.7 * votes.sum():
-            s = int(votes.argmax())
-            if s in bare:
-                out[s, t] += min(total[l][t], 20)
-    return out
+def portions_of(words: np.ndarray) -> np.ndarray:
+    """Shares of languages in each subject from words by subject and language, never quite 0."""
+    total = words.sum(1, keepdims=True)
+    return ((words + 1e-3 * total + 1) / (total * (1 + 1e-3 * words.shape[1]) + words.shape[1])).astype(np.float32)
 
 
 #: Documents updated together, so that their terms stay in a core's cache.
 CHUNK = 500
 
 
-def mixtures(h: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multiplicative updates of the documents' mixtures, and the last split of the counts over the components.
+def split_counts(like: np.ndarray, row: np.ndarray, n: np.ndarray, size: int, mix: np.ndarray | None = None, steps: int = INNER, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """Multiplicative updates of the mixtures of ``size`` documents, and the last split of the counts over their parts.
 
-    ``row`` comes document by document and none is empty.
+    ``row`` tells the document of each entry and ascends; a document without entries keeps an even mixture.
     """
-    h = h.astype(np.float32)
-    mix, part = np.empty((len(h), size), np.float32), np.empty((len(h), len(row)), np.float32)
-    for start in range(0, size, CHUNK):
-        end = min(size, start + CHUNK)
-        low, high = np.searchsorted(row, [start, end])
-        mix[:, start:end], part[:, low:high] = _mixtures(h[:, term[low:high]], row[low:high] - start, n[low:high].astype(np.float32), end - start)
+    lengths = np.bincount(row, minlength=size)
+    held = np.flatnonzero(lengths)
+    first = np.cumsum(lengths)[held] - lengths[held]
+    mix = np.full((len(like), size), np.float32(1 / len(like))) if mix is None else mix
+    part = like
+    for step in range(steps):
+        spread = np.repeat(mix, lengths, axis=1) * like
+        spread *= n / (spread.sum(0) + np.float32(1e-30))
+        if step == steps - 1:
+            part = spread
+        new = np.full_like(mix, prior)
+        if len(held):
+            new[:, held] += np.add.reduceat(spread, first, axis=1)
+        mix = new / new.sum(0)
+    return mix, part
+
+
+def mixtures(h: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, part) mixtures over the components ``h`` and (entry, part) split counts, from even mixtures on."""
+    mix, part = split_counts(h[:, term].astype(np.float32), row, n.astype(np.float32), size)
     return mix.T, part.T
 
 
-def _mixtures(like: np.ndarray, row: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    first = np.searchsorted(row, np.arange(size))
-    lengths = np.diff(np.append(first, len(row)))
-    mix, part = np.full((len(like), size), np.float32(1 / len(like))), like
-    for step in range(INNER):
-        spread = np.repeat(mix, lengths, axis=1)
-        weight = n / (np.einsum("ij,ij->j", spread, like) + np.float32(1e-30))
-        if step == INNER - 1:
-            part = spread * like * weight
-        mix = mix * np.add.reduceat(like * weight, first, axis=1) + np.float32(0.01)
-        mix /= mix.sum(0)
-    return mix, part
+def fitted(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mixtures, split counts, document and term of each entry) of a batch of rows, taken on from their last mixtures."""
+    row, term, n = flat_terms(batch)
+    language = batch.column("language").to_numpy()
+    before = batch.column("mix").flatten().to_numpy().reshape(batch.num_rows, -1).T
+    mix, part = np.empty_like(before), np.empty((len(before), len(row)), np.float32)
+    for start in range(0, batch.num_rows, CHUNK):
+        end = min(batch.num_rows, start + CHUNK)
+        low, high = np.searchsorted(row, [start, end])
+        like = model.likelihood(term[low:high], language[row[low:high]])
+        mix[:, start:end], part[:, low:high] = split_counts(like, row[low:high] - start, n[low:high], end - start, before[:, start:end])
+    return mix, part, row, term
 
 
-def _flat(batch: pa.RecordBatch, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = batch.filter(pa.array(keep))
-    lists = rows.column("terms")
-    sizes = np.diff(lists.offsets.to_numpy())
-    return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(), rows.column("counts").flatten().to_numpy().astype(float)
+# Passes over all documents. A pass writes the documents with their new mixtures and, for each task, sums: rows with a
+# stretch of an array (row, slot) that holds what the task has met of it.
+_ROWS = "doc_id bigint, language int, terms array<int>, counts array<int>, inside array<int>, ends array<int>, mix array<float>"
+_SUMS = "part int, at int, slots binary, data binary"
+STRETCH, FAN_IN = 1 << 12, 64
 
 
-def update(rows: DataFrame, h: np.ndarray) -> np.ndarray:
-    """One round: the components summed up from the mixtures of all documents."""
-    sent = rows.sparkSession.sparkContext.broadcast(h)
-    langs, k, n_terms = h.shape
+def _sum_rows(sums: np.ndarray, part: int) -> pa.RecordBatch:
+    at, slots, data = [], [], []
+    for start in range(0, sums.shape[1], STRETCH):
+        met = np.flatnonzero(sums[:, start : start + STRETCH].any(0))
+        if len(met):
+            at.append(start // STRETCH)
+            slots.append(met.astype(np.int16).tobytes())
+            data.append(np.ascontiguousarray(sums[:, start + met], np.float32).tobytes())
+    columns = [pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(slots, pa.binary()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "at", "slots", "data"])
+
+
+def _take_up(sums: np.ndarray, at: int, slots: bytes, data: bytes) -> None:
+    met = np.frombuffer(slots, np.int16).astype(np.int64) + at * STRETCH
+    sums[:, met] += np.frombuffer(data, np.float32).reshape(len(sums), -1)
+
+
+def _filled(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """``batch`` with all columns of ``schema``, null where it has none."""
+    names = set(batch.schema.names)
+    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in names else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
+
+
+def added_up(rows: DataFrame, parts: int, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of all sums: added in a tree, FAN_IN tasks at a time and stretch by stretch."""
+    stretches = -(-shape[1] // STRETCH)
+
+    def add(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            at, part = table.column("at")[0].as_py(), table.column("part")[0].as_py() // FAN_IN
+            sums = np.zeros((shape[0], STRETCH))
+            for slots, data in zip(table.column("slots").to_pylist(), table.column("data").to_pylist()):
+                _take_up(sums, 0, slots, data)
+            out = _sum_rows(sums, part)
+            yield out.set_column(1, "at", pa.array([at] * out.num_rows, pa.int32()))
+
+    while parts > 1:
+        groups = -(-parts // FAN_IN)
+        block = F.floor(F.col("part") / FAN_IN) * stretches + F.col("at")
+        rows, parts = map_blocks(rows.withColumn("block", block.cast("int")), "block", groups * stretches, add, _SUMS, max(1, stretches // 8)), groups
+    total = np.zeros((shape[0], stretches * STRETCH))
+    for r in rows.select("at", "slots", "data").toLocalIterator():  # the model, whose size is fixed
+        _take_up(total, *r)
+    return total[:, : shape[1]]
+
+
+class Pass:
+    """What one pass does with each batch: ``step(batch, sums)`` adds to the sums and gives the rows to write, or None."""
+
+    def __init__(self, rows: DataFrame, shape: tuple[int, int], step, label: str) -> None:
+        fields = [("doc_id", pa.int64()), ("language", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("terms", "counts", "inside", "ends")), ("mix", pa.list_(pa.float32()))]
+        schema = pa.schema([*fields, ("part", pa.int32()), ("at", pa.int32()), ("slots", pa.binary()), ("data", pa.binary())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(shape)
+            for batch in batches:
+                if batch.num_rows:
+                    out = step(batch, sums)
+                    if out is not None:
+                        yield _filled(out, schema)
+            yield _filled(_sum_rows(sums, TaskContext.get().partitionId()), schema)
+
+        self.written = materialize(rows.mapInArrow(run, f"{_ROWS}, {_SUMS}"), label)
+        self.rows = self.written.where("doc_id is not null").select(*(f.split()[0] for f in _ROWS.split(", ")))
+        self.sums = added_up(self.written.where("at is not null").select("part", "at", "slots", "data"), rows.rdd.getNumPartitions(), shape)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = sent.value
-        sums = np.zeros(h.shape)
-        for batch in batches:
-            language = batch.column("language").to_numpy()
-            for l in np.unique(language):
-                row, term, n = _flat(batch, language == l)
-                _, part = mixtures(h[l], row, term, n, int((language == l).sum()))
-                for c in range(k):
-                    sums[l, c] += np.bincount(term, part[:, c], n_terms)
-        flat = [(l, c) for l in range(langs) for c in range(k) if sums[l, c].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pa.array([sums[x].tobytes() for x in flat], pa.binary())],
-            names=["l", "c", "data"],
-        )
 
-    def add(table: pa.Table) -> pa.Table:
-        data = sum(np.frombuffer(x.as_py(), float) for x in table.column("data"))
-        return pa.table({"l": table.column("l")[:1], "c": table.column("c")[:1], "data": pa.array([data.tobytes()], pa.binary())})
+def by_label(rows: DataFrame, labels: list[str]) -> np.ndarray:
+    """Words by language label and slot; labels outside of ``labels``, and none, are the last one."""
+    places = {x: i for i, x in enumerate(labels)}
 
-    schema = "l int, c int, data binary"
-    out = np.zeros(h.shape)
-    for l, c, data in rows.select("language", "terms", "counts").mapInArrow(run, schema).groupBy("l", "c").applyInArrow(add, schema).collect():  # a row per component
-        out[l, c] = np.frombuffer(data, float)
+    def step(batch: pa.RecordBatch, sums: np.ndarray) -> None:
+        row, term, n = flat_terms(batch)
+        label = np.array([places.get(x, BACKGROUNDS - 1) for x in batch.column("label").to_pylist()])[row]
+        for g in np.unique(label):
+            sums[g] += np.bincount(term[label == g], n[label == g], SLOTS)
+
+    return Pass(rows, (BACKGROUNDS, SLOTS), step, "profiles").sums
+
+
+def language_of(log_p: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The language whose term frequencies fit each document best, whatever its label says."""
+    return np.stack([np.bincount(row, n * p[term], size) for p in log_p], 1).argmax(1)
+
+
+def started(rows: DataFrame, profiles: np.ndarray, marks: dict[int, list[int]], k: int) -> tuple[Model, np.ndarray, DataFrame, DataFrame]:
+    """The anchored start: the model, its anchors, and the documents with language and even mixtures (and their table).
+
+    ``marks`` are the subjects of labelled documents. An anchor holds the terms that are more frequent in them than in the
+    backgrounds of their languages.
+    """
+    met = profiles.sum(1) > 0
+    log_p = np.where(met[:, None], np.log((profiles + 0.1) / (profiles.sum(1, keepdims=True) + 0.1 * SLOTS)), -1e9).astype(np.float32)
+    sent = rows.sparkSession.sparkContext.broadcast((log_p, marks))
+
+    def step(batch: pa.RecordBatch, sums: np.ndarray) -> pa.RecordBatch:
+        log_p, marks = sent.value
+        row, term, n = flat_terms(batch)
+        size = batch.num_rows
+        language = language_of(log_p, row, term, n, size)
+        for g in np.unique(language):
+            mine = language[row] == g
+            sums[k + g, :SLOTS] += np.bincount(term[mine], n[mine], SLOTS)
+        starts = np.searchsorted(row, np.arange(size + 1))
+        for d, doc in enumerate(batch.column("doc_id").to_pylist()):
+            for s in marks.get(doc, ()):
+                mine = slice(starts[d], starts[d + 1])
+                np.add.at(sums[s], term[mine], n[mine])
+                sums[s, SLOTS + language[d]] += n[mine].sum()
+        even = pa.array(np.full(size * (k + 1), 1 / (k + 1), np.float32))
+        mix = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * (k + 1)), even)
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc_id", "terms", "counts", "inside", "ends")), pa.array(language.astype(np.int32)), mix],
+            names=["doc_id", "terms", "counts", "inside", "ends", "language", "mix"],
+        )
+
+    first = Pass(rows, (k + BACKGROUNDS, SLOTS + BACKGROUNDS), step, "mixed")
+    sent.unpersist()
+    words, counts, by_language = first.sums[k:, :SLOTS], first.sums[:k, :SLOTS], first.sums[:k, SLOTS:]
+    background = (words + 1e-9) / (words + 1e-9).sum(1, keepdims=True)
+    anchors = np.zeros((k, SLOTS))
+    for s in np.flatnonzero(counts.sum(1)):
+        p = by_language[s] / by_language[s].sum() @ background + 1e-12
+        q = (counts[s] + SMOOTH * p) / (counts[s].sum() + SMOOTH)
+        lifted = q * np.maximum(0, np.log(q / p) - np.log(LIFT))
+        anchors[s] = 0.95 * lifted / max(lifted.sum(), 1e-30) + 0.05 * p
+    model = Model(anchors.astype(np.float32), background.astype(np.float32), portions_of(by_language))
+    return model, anchors, first.rows, first.written
+
+
+def update(rows: DataFrame, model: Model) -> Pass:
+    """One round: mixtures taken on under the model, and the counts that they give to each component."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    k = len(model.subjects)
+
+    def step(batch: pa.RecordBatch, sums: np.ndarray) -> pa.RecordBatch:
+        mix, part, row, term = fitted(sent.value, batch)
+        language = batch.column("language").to_numpy()
+        for s in range(k):
+            sums[s, :SLOTS] += np.bincount(term, part[s], SLOTS)
+            sums[s, SLOTS:] += np.bincount(language[row], part[s], BACKGROUNDS)
+        for g in np.unique(language):
+            mine = language[row] == g
+            sums[k + g, :SLOTS] += np.bincount(term[mine], part[k, mine], SLOTS)
+        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (k + 1))
+        return batch.set_column(batch.schema.names.index("mix"), "mix", pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(mix.T).ravel())))
+
+    out = Pass(rows, (k + BACKGROUNDS, SLOTS + BACKGROUNDS), step, "mixed")
     sent.unpersist()
     return out
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], label_rows: int = LABEL_ROWS) -> tuple[Model, DataFrame]:
-    """The model, and the encoded documents it was fitted on."""
-    words = tokenized(documents)
-    terms, total, docs = vocabulary(words)
-    rows = encoded(words, terms, total)
-    counts = seeds(rows, labels, subjects, total.shape, label_rows)
-    names = list(terms)
-    start = counts
-    posterior = np.zeros(counts.shape)
-    missing = [(l, s) for l in range(len(counts)) for s in range(len(subjects)) if not counts[l, s].sum()]
-    for attempt in range(2 if missing and len(counts) > 1 else 1):
-        if attempt:
-            start = np.stack([cognates(counts, posterior, names, l, total) for l in range(len(counts))])
-        h = first_components(start, total, docs)
-        sums = np.zeros(h.shape)
-        for _ in range(ROUNDS):
-            sums = update(rows, h)
-            h = (sums + 1e-12) / (sums + 1e-12).sum(2, keepdims=True)
-        posterior = (sums / (sums.sum(1, keepdims=True) + 1e-12))[:, : len(subjects)]
-    return Model(subjects, terms, total, posterior), rows
-
-
-def shares(model: Model, rows: DataFrame) -> DataFrame:
-    """(doc_id, subject, sentences, share): of the sentences that deal with a subject, how many deal with each."""
-    clear = np.where(model.posterior >= CLEAR, model.posterior, 0)
-    sent = rows.sparkSession.sparkContext.broadcast((clear, model.subjects))
+    """The model, and the documents with the mixtures that it was fitted with."""
+    rows = encoded(documents)
+    commonest = rows.where("label <> ''").groupBy("label").count().orderBy(F.desc("count"), "label").limit(BACKGROUNDS - 1).collect()
+    name = F.lower(F.regexp_replace("subject", r"(?U)^\s+|\s+\z", ""))
+    places = {s.strip().lower(): i for i, s in enumerate(subjects)}
+    sample = labels.where("doc_id is not null and subject is not null").select(F.col("doc_id").cast("bigint"), name.alias("label")).distinct()
+    marks: dict[int, list[int]] = {}
+    for doc, label in sample.where(F.col("label").isin(list(places))).orderBy(F.xxhash64("doc_id", "label")).limit(label_rows).collect():
+        marks.setdefault(doc, []).append(places[label])
+    model, anchors, mixed, table = started(rows, by_label(rows, [r[0] for r in commonest]), marks, len(subjects))
+    for _ in range(ROUNDS):
+        done = update(mixed, model)
+        release(table)  # the documents are in the new table now
+        mixed, table = done.rows, done.written
+        k = len(subjects)
+        sums, words = done.sums[:, :SLOTS] + 1e-12, done.sums[:k, SLOTS:]
+        shares_ = sums / sums.sum(1, keepdims=True)
+        held = anchors.any(1, keepdims=True)
+        own = np.where(held, (1 - ANCHOR) * shares_[:k] + ANCHOR * anchors, 0)  # a subject without labels has no component
+        model = Model(own.astype(np.float32), shares_[k:].astype(np.float32), portions_of(words))
+    return model, mixed
+
+
+def shares(model: Model, subjects: list[str], rows: DataFrame) -> DataFrame:
+    """(doc_id, subject, sentences, share, weight): of the sentences that deal with a subject, how many deal with each.
+
+    The fitted mixture splits each term of a document over its parts; a sentence deals with the subject that gets most of
+    its different terms. ``weight`` is the subject's part of the mixture.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((model, subjects))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clear, subjects = sent.value
+        model, subjects = sent.value
         k = len(subjects)
         for batch in batches:
-            language = batch.column("language").to_numpy()
-            ends = batch.column("ends")
+            if not batch.num_rows:
+                continue
+            mix, part, row, _ = fitted(model, batch)
+            of_term = part[:k] / np.maximum(batch.column("counts").flatten().to_numpy(), 1)
+            ends, inner = batch.column("ends"), batch.column("inside")
             per_doc = np.diff(ends.offsets.to_numpy())
-            inner = batch.column("in_sentences")
-            first = np.repeat(inner.offsets.to_numpy()[:-1] - inner.offsets.to_numpy()[0], per_doc)
-            stops = ends.flatten().to_numpy() + first
             doc = np.repeat(np.arange(batch.num_rows), per_doc)
-            flat = inner.flatten().to_numpy()
-            sizes = np.diff(np.concatenate([[0], stops]))
-            which = np.repeat(np.arange(len(stops)), sizes)
-            gain = np.stack([np.bincount(which, clear[language[doc[which]], s, flat], len(stops)) for s in range(k)], 1)
+            stops = ends.flatten().to_numpy() + np.repeat(inner.offsets.to_numpy()[:-1] - inner.offsets.to_numpy()[0], per_doc)
+            which = np.repeat(np.arange(len(stops)), np.diff(np.concatenate([[0], stops])))
+            entry = inner.flatten().to_numpy() + np.searchsorted(row, np.arange(batch.num_rows))[doc[which]]
+            gain = np.stack([np.bincount(which, of_term[s, entry], len(stops)) for s in range(k)], 1)
             best = gain.argmax(1)
             good = gain[np.arange(len(best)), best] >= EVIDENCE
             table = np.bincount(doc[good] * k + best[good], minlength=batch.num_rows * k).reshape(-1, k)
@@ -384,22 +421,23 @@ def shares(model: Model, rows: DataFrame) -> DataFrame:
                     pa.array([subjects[i] for i in s], pa.string()),
                     pa.array(table[d, s].astype(np.int32)),
                     pa.array(table[d, s] / np.maximum(1, table.sum(1))[d]),
+                    pa.array(mix[s, d].astype(np.float64)),
                 ],
-                names=["doc_id", "subject", "sentences", "share"],
+                names=["doc_id", "subject", "sentences", "share", "weight"],
             )
 
-    return rows.select("doc_id", "language", "in_sentences", "ends").mapInArrow(run, "doc_id bigint, subject string, sentences int, share double")
+    return rows.mapInArrow(run, "doc_id bigint, subject string, sentences int, share double, weight double")
 
 
 def subject_shares(documents: DataFrame, areas: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
-    """(doc_id, subject, sentences, share) for every document with a sentence on a subject of ``areas``.
+    """(doc_id, subject, sentences, share, weight) for every document with a sentence on a subject of ``areas``.
 
     Labels are compared without letter case and white space around; labels of other subjects (``none`` too) and nulls anchor
-    nothing. A subject without any label is never found. Null and empty texts, and texts without a known term, have no rows;
+    nothing. A subject without any label is never found. Null and empty texts, and texts without a word, have no rows;
     repeated rows give repeated rows. Without documents, areas or labels the result is empty.
     """
     names = sorted({r[0] for r in areas.where("subject is not null").select("subject").distinct().collect()})  # a fixed table
     if not names or not documents.take(1):
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, sentences int, share double")
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, sentences int, share double, weight double")
     model, rows = fit(documents, labels, names, label_rows)
-    return shares(model, rows)
+    return shares(model, names, rows)

@@ -84,3 +84,42 @@ def test_held_out_labels(spark, data):
         want[r.doc_id].add(r.subject.strip().lower())
     right = sum(got[i] == want[i] - {"none"} for i in want)
     assert right >= 0.8 * len(want), (right, len(want))
+
+
+def test_terms():
+    assert S.terms_of("Internationally") == S.terms_of("international") == ["intern"] and S.terms_of("Été") == ["ete"]
+    assert S.terms_of("日本語") == ["日本", "本語"]
+
+
+def test_rare_terms_and_languages_count(spark):
+    """A language of a few documents, in letters without case, is told by its labels like any other."""
+    docs, labels, truth = made()
+    rare = {"law": "דין שופט משפט פסק תביעה", "sport": "שער משחק ליגה מאמן קבוצה"}
+    for k in range(12):
+        s = "law" if k % 2 else "sport"
+        docs.append((1000 + k, ". ".join(" ".join(random.Random(k * 7 + j).sample(rare[s].split(), 4)) for j in range(5)), "he"))
+        truth[1000 + k] = {s}
+        if k < 6:
+            labels.append((1000 + k, s, None))
+    got = found(spark, docs, labels)
+    assert all(got[i] == truth[i] for i in range(1000, 1012))
+
+
+def test_sums_add_up_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(S, "FAN_IN", 2)
+    rng = np.random.default_rng(1)
+    whole, rows = np.zeros((3, 2 * S.STRETCH + 5)), []
+    for part in range(7):
+        sums = np.where(rng.random(whole.shape) < 0.01, rng.integers(1, 9, whole.shape), 0).astype(float)
+        whole += sums
+        rows += [tuple(r.values()) for r in S._sum_rows(sums, part).to_pylist()]
+    assert np.array_equal(S.added_up(spark.createDataFrame(rows, S._SUMS), 7, whole.shape), whole)
+
+
+def test_mixtures_are_taken_on():
+    """Updates go on from where they were: twice three steps are six steps."""
+    rng = np.random.default_rng(5)
+    like, row, n = rng.random((3, 12)).astype(np.float32), np.repeat([0, 2], 6), np.ones(12, np.float32)
+    half, _ = S.split_counts(like, row, n, 3, steps=3)
+    assert np.allclose(S.split_counts(like, row, n, 3, half, 3)[0], S.split_counts(like, row, n, 3, steps=6)[0], atol=1e-5)
+    assert np.allclose(half[:, 1], 1 / 3)
