@@ -55,25 +55,23 @@ def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Inclusion probabilities after the flight phase: at most two are left between 0 and 1.
 
-    Keeps the sum of ``p`` and of ``p * tokens`` and, for each unit, the expectation.
+    Keeps the sum of ``p`` and of ``p * tokens`` and, for each unit, the expectation. In each turn all open units fly in
+    threes, along the one direction that leaves both sums of the three as they are, until one of them settles.
     """
-    p = p.astype(float).copy()
-    wait = [i for i in range(len(p)) if SETTLED < p[i] < 1 - SETTLED][::-1]
-    active: list[int] = []
-    while True:
-        while len(active) < 3 and wait:
-            active.append(wait.pop())
-        if len(active) < 3:
-            break
-        a, b, c = active
-        ta, tb, tc = float(tokens[a]), float(tokens[b]), float(tokens[c])
-        u = (tc - tb, ta - tc, tb - ta) if not ta == tb == tc else (1.0, -1.0, 0.0)
-        up = min(((1 - p[i]) / x if x > 0 else -p[i] / x) for i, x in zip(active, u) if x)
-        down = min((p[i] / x if x > 0 else (p[i] - 1) / x) for i, x in zip(active, u) if x)
-        step = up if rng.random() * (up + down) < down else -down
-        for i, x in zip(active, u):
-            p[i] = min(1.0, max(0.0, p[i] + step * x))
-        active = [i for i in active if SETTLED < p[i] < 1 - SETTLED]
+    p, tokens = p.astype(float).copy(), tokens.astype(float)
+    active = np.flatnonzero((p > SETTLED) & (p < 1 - SETTLED))
+    while len(active) >= 3:
+        flying, rest = active[: len(active) // 3 * 3].reshape(-1, 3), active[len(active) // 3 * 3 :]
+        t, q = tokens[flying], p[flying]
+        u = np.roll(t, -2, axis=1) - np.roll(t, -1, axis=1)  # c - b, a - c, b - a
+        u[~u.any(1)] = (1.0, -1.0, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min(1)
+            down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min(1)
+        step = np.where(rng.random(len(flying)) * (up + down) < down, up, -down)
+        p[flying] = np.clip(q + step[:, None] * u, 0, 1)
+        active = np.concatenate([flying.ravel(), rest])
+        active = active[(p[active] > SETTLED) & (p[active] < 1 - SETTLED)]
     return p
 
 
@@ -116,7 +114,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     Report: source, target_share, max_repeats, documents, source_tokens, target_tokens, reachable, drawn_tokens,
     actual_share. A source's target is ``target_share`` of ``size`` tokens, which by default are the tokens of all rows of
     ``documents``; shares reached are of the tokens drawn. A source that cannot reach its target gives every document
-    ``max_repeats`` times. Labels are compared without letter case and white space around; of targets with the same label
+    ``max_repeats`` times; ``reachable`` is false where the draw took all of a source and yet falls short. Labels are compared without letter case and white space around; of targets with the same label
     the smallest spelling counts. A null share counts as 0, null repeats as 1. Documents without id, or of a source without
     a target, are not drawn but count in the total. Empty texts have no tokens and may be drawn. Repeated rows are rows.
     """
@@ -136,11 +134,10 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
         .withColumn("documents", F.coalesce("documents", F.lit(0)))
         .withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
         .withColumn("target_tokens", F.col("share") * F.lit(total))
-        .withColumn("reachable", F.col("source_tokens") * F.col("repeats") >= F.col("target_tokens"))
         .withColumn(
             "rate",
-            F.when(~F.col("reachable"), F.col("repeats").cast("double"))
-            .when(F.col("source_tokens") > 0, F.col("target_tokens") / F.col("source_tokens"))
+            F.when(F.col("source_tokens") > 0, F.least(F.col("repeats").cast("double"), F.col("target_tokens") / F.nullif("source_tokens", F.lit(0))))
+            .when(F.col("target_tokens") > 0, F.col("repeats").cast("double"))
             .otherwise(0.0),
         )
         .coalesce(1),
@@ -162,13 +159,15 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
         units, level = flown, level + 1
         count = max([r[0] for r in flown.where(open_).groupBy("label").count().select("count").collect()] or [0])
     copies = (F.col("whole") + F.round("p").cast("int")).alias("copies")
-    names = F.broadcast(plan.select("label", "source"))
-    draw = drawn.join(names, "label").select("doc_id", "source", "tokens", copies).where("copies > 0")
-    sums = draw.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"))
+    names = F.broadcast(plan.select("label", "source", "repeats"))
+    every = drawn.join(names, "label").select("doc_id", "source", "tokens", copies, (F.col("repeats") == copies).cast("int").alias("full"))
+    draw = every.where("copies > 0").drop("full")
+    sums = every.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.sum("full").alias("full"))
     whole = F.sum("drawn_tokens").over(_all())
     report = (
         plan.join(sums, "source", "left")
         .withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
+        .withColumn("reachable", (F.coalesce("full", F.lit(0)) < F.col("documents")) | (F.col("drawn_tokens") >= F.col("target_tokens")))
         .withColumn("actual_share", F.when(whole > 0, F.col("drawn_tokens") / whole))
         .select(
             "source", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), "documents", "source_tokens",

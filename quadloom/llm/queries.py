@@ -52,6 +52,23 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of every draw, source by source: the tokens meet their target up to the size of a few documents, no
+    document comes too often or twice, and all are documents of the source."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    draw, report = mix(documents, targets)
+    key = lambda c: F.lower(F.trim(c))
+    own = documents.select("doc_id", key(F.col("source")).alias("label"))
+    rows = draw.join(own, "doc_id", "left").groupBy("source").agg(
+        F.bool_and(F.col("label") == key(F.col("source"))).alias("own"), (F.count_distinct("doc_id") == F.count(F.lit(1))).alias("once"), F.max("copies").alias("copies"), F.max("tokens").alias("longest")
+    )
+    met = (F.abs(F.col("drawn_tokens") - F.col("target_tokens")) <= 3 * F.col("longest")) | ~F.col("reachable")
+    return report.join(rows, "source", "left").select(
+        "source", "target_share", "max_repeats", "documents", "reachable",
+        met.alias("target_met"), (F.col("copies") <= F.col("max_repeats")).alias("repeats_met"), "own", "once",
+    )
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subject_shares(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
 
@@ -68,14 +85,19 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_counts, p6_found, p6_report, p7_found, p7_report, p7_mix, p8_found, p8_composition)
+    f.__name__: f for f in (p5_found, p5_counts, p6_found, p6_report, p7_found, p7_report, p7_mix, p7_checks, p8_found, p8_composition)
 }
+_TOKENS = (
+    "with t as (select lower(trim(source)) as label, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}]+|[\\p{N}]+|[^\\s\\p{L}\\p{N}]')) as n from documents), "
+    "s as (select label, sum(n) as n, count(*) as docs from t group by 1) "
+)
 #: p7_found with words and marks as tokens, as any tokenizer gives the same sources. The others can't be expressed in SQL;
 #: tests hold them against brute force, invariants and held-out labels.
 ORACLES: dict[str, str] = {
     "p5_found": STATEMENTS_ONCE + "select item_field, item from (select 'object' as item_field, o as item from st union all select 'subject', s from st) where item is not null group by 1, 2 having count(*) >= 0.005 * (select count(*) from st)",
     "p5_counts": STATEMENTS_ONCE + "select item_field, item, count(*) as n from (select 'object' as item_field, o as item from st union all select 'subject', s from st) where item is not null group by 1, 2 having count(*) >= 0.005 * (select count(*) from st)",
-    "p7_found": "with t as (select lower(trim(source)) as label, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}]+|[\\p{N}]+|[^\\s\\p{L}\\p{N}]')) as n from documents), "
-    "s as (select label, sum(n) as n from t group by 1) select source from mix_targets left join s on label = lower(trim(source)) "
-    "where coalesce(n, 0) * max_repeats < target_share * (select sum(n) from t)"
+    "p7_found": _TOKENS + "select source from mix_targets left join s on label = lower(trim(source)) "
+    "where coalesce(n, 0) * max_repeats < target_share * (select sum(n) from t)",
+    "p7_checks": _TOKENS + "select source, target_share, max_repeats, cast(coalesce(docs, 0) as bigint) as documents, coalesce(n, 0) * max_repeats >= target_share * (select sum(n) from t) as reachable, "
+    "true as target_met, true as repeats_met, true as own, true as once from mix_targets left join s on label = lower(trim(source))",
 }
