@@ -57,7 +57,7 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     document comes too often or twice, and all are documents of the source."""
     documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     draw, report = mix(documents, targets)
-    key = lambda c: F.lower(F.trim(c))
+    key = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+\z", ""))
     own = documents.select("doc_id", key(F.col("source")).alias("label"))
     rows = draw.join(own, "doc_id", "left").groupBy("source").agg(
         F.bool_and(F.col("label") == key(F.col("source"))).alias("own"), (F.count_distinct("doc_id") == F.count(F.lit(1))).alias("once"), F.max("copies").alias("copies"), F.max("tokens").alias("longest")
@@ -65,7 +65,8 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     met = (F.abs(F.col("drawn_tokens") - F.col("target_tokens")) <= 3 * F.col("longest")) | ~F.col("reachable")
     return report.join(rows, "source", "left").select(
         "source", "target_share", "max_repeats", "documents", "reachable",
-        met.alias("target_met"), (F.col("copies") <= F.col("max_repeats")).alias("repeats_met"), "own", "once",
+        F.coalesce(met, F.lit(True)).alias("target_met"), F.coalesce(F.col("copies") <= F.col("max_repeats"), F.lit(True)).alias("repeats_met"),
+        F.coalesce("own", F.lit(True)).alias("own"), F.coalesce("once", F.lit(True)).alias("once"),
     )
 
 
@@ -98,6 +99,6 @@ ORACLES: dict[str, str] = {
     "p5_counts": STATEMENTS_ONCE + "select item_field, item, count(*) as n from (select 'object' as item_field, o as item from st union all select 'subject', s from st) where item is not null group by 1, 2 having count(*) >= 0.005 * (select count(*) from st)",
     "p7_found": _TOKENS + "select source from mix_targets left join s on label = lower(trim(source)) "
     "where coalesce(n, 0) * max_repeats < target_share * (select sum(n) from t)",
-    "p7_checks": _TOKENS + "select source, target_share, max_repeats, cast(coalesce(docs, 0) as bigint) as documents, coalesce(n, 0) * max_repeats >= target_share * (select sum(n) from t) as reachable, "
+    "p7_checks": _TOKENS.replace("trim(source)", "regexp_replace(source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')") + "select source, target_share, max_repeats, cast(coalesce(docs, 0) as bigint) as documents, coalesce(n, 0) * max_repeats >= target_share * (select sum(n) from t) as reachable, "
     "true as target_met, true as repeats_met, true as own, true as once from mix_targets left join s on label = lower(trim(source))",
 }

@@ -85,16 +85,31 @@ class Slots:
         return out
 
 
-def _lists(of: np.ndarray, values: np.ndarray, size: int) -> pa.ListArray:
-    """Lists of ``values``, whose owners ``of`` ascend."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(size + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _packed(ends: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
+    """Numbers of each row as bytes: those before ``ends`` of it. Bytes pass between the JVM and Python as they are."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-_ENCODED = "doc_id bigint, label string, terms array<int>, counts array<int>, inside array<int>, ends array<int>"
+def _by(of: np.ndarray, values: np.ndarray, size: int) -> pa.BinaryArray:
+    """``values`` by their owners ``of``, which ascend."""
+    return _packed(np.searchsorted(of, np.arange(size), side="right"), values.astype(np.int32))
+
+
+def unpacked(batch: pa.RecordBatch, name: str, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed numbers, and how many each row has."""
+    column = batch.column(name)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    values = np.frombuffer(data, kind, offsets[-1]) if data is not None and offsets[-1] else np.empty(0, kind)
+    return values[offsets[0] :], np.diff(offsets)
+
+
+_ENCODED = "doc_id bigint, label string, terms binary, counts binary, inside binary, ends binary"
 
 
 def encoded(documents: DataFrame) -> DataFrame:
-    """(doc_id, label, terms, counts, inside, ends): documents as numbers, written once; the only step that reads texts.
+    """(doc_id, label, terms, counts, inside, ends): documents as packed numbers, written once; the only step that reads texts.
 
     ``terms`` are the slots of a document and ``counts`` how often each occurs, ``inside`` has the different terms of each
     sentence one after the other, as places in ``terms``, ``ends`` where each sentence ends in it. ``label`` is the language
@@ -122,7 +137,7 @@ def encoded(documents: DataFrame) -> DataFrame:
             starts = np.searchsorted(of_sentence[which], np.arange(n))
             ends = np.searchsorted(which, np.arange(len(stops)), side="right") - starts[of_sentence]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), _lists(doc, pair % SLOTS, n), _lists(doc, counts, n), _lists(of_sentence[which], inside, n), _lists(of_sentence, ends, n)],
+                [batch.column("doc_id"), batch.column("label"), _by(doc, pair % SLOTS, n), _by(doc, counts, n), _by(of_sentence[which], inside, n), _by(of_sentence, ends, n)],
                 names=["doc_id", "label", "terms", "counts", "inside", "ends"],
             )
 
@@ -132,8 +147,8 @@ def encoded(documents: DataFrame) -> DataFrame:
 
 def flat_terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count) of all entries of a batch."""
-    lists = batch.column("terms")
-    return np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), batch.column("counts").flatten().to_numpy().astype(np.float32)
+    terms, sizes = unpacked(batch, "terms")
+    return np.repeat(np.arange(batch.num_rows), sizes), terms, unpacked(batch, "counts")[0].astype(np.float32)
 
 
 @dataclass
@@ -150,7 +165,11 @@ class Model:
 
     def likelihood(self, term: np.ndarray, language: np.ndarray) -> np.ndarray:
         """(part of the mixture, entry): of each entry's term; the last part is the background of the language."""
-        return np.concatenate([self.subjects[:, term] / self.portions[:, language], self.backgrounds[language, term][None]])
+        return np.concatenate([self.subjects[:, term], self.backgrounds[language, term][None]])
+
+    def scales(self, language: np.ndarray) -> np.ndarray:
+        """(part of the mixture, document): what the likelihoods of a document are to be divided by."""
+        return np.concatenate([self.portions[:, language], np.ones((1, len(language)), np.float32)])
 
 
 def portions_of(words: np.ndarray) -> np.ndarray:
@@ -163,51 +182,57 @@ def portions_of(words: np.ndarray) -> np.ndarray:
 CHUNK = 500
 
 
-def split_counts(like: np.ndarray, row: np.ndarray, n: np.ndarray, size: int, mix: np.ndarray | None = None, steps: int = INNER, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """Multiplicative updates of the mixtures of ``size`` documents, and the last split of the counts over their parts.
+def split_counts(
+    like: np.ndarray, row: np.ndarray, n: np.ndarray, size: int, mix: np.ndarray | None = None, steps: int = INNER, prior: float = PRIOR, scale: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multiplicative updates of the mixtures of ``size`` documents, the last split of the counts over their parts, and its
+    sums by document.
 
-    ``row`` tells the document of each entry and ascends; a document without entries keeps an even mixture.
+    ``row`` tells the document of each entry and ascends; a document without entries keeps an even mixture. ``scale`` divides
+    the likelihoods of a document.
     """
     lengths = np.bincount(row, minlength=size)
     held = np.flatnonzero(lengths)
     first = np.cumsum(lengths)[held] - lengths[held]
     mix = np.full((len(like), size), np.float32(1 / len(like))) if mix is None else mix
-    part = like
-    for step in range(steps):
-        spread = np.repeat(mix, lengths, axis=1) * like
+    spread, sums = like, np.zeros_like(mix)
+    for _ in range(steps):
+        spread = np.repeat(mix if scale is None else mix / scale, lengths, axis=1)
+        spread *= like
         spread *= n / (spread.sum(0) + np.float32(1e-30))
-        if step == steps - 1:
-            part = spread
-        new = np.full_like(mix, prior)
         if len(held):
-            new[:, held] += np.add.reduceat(spread, first, axis=1)
-        mix = new / new.sum(0)
-    return mix, part
+            sums[:, held] = np.add.reduceat(spread, first, axis=1)
+        mix = sums + np.float32(prior)
+        mix /= mix.sum(0)
+    return mix, spread, sums
 
 
 def mixtures(h: np.ndarray, row: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, part) mixtures over the components ``h`` and (entry, part) split counts, from even mixtures on."""
-    mix, part = split_counts(h[:, term].astype(np.float32), row, n.astype(np.float32), size)
+    mix, part, _ = split_counts(h[:, term].astype(np.float32), row, n.astype(np.float32), size)
     return mix.T, part.T
 
 
-def fitted(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(mixtures, split counts, document and term of each entry) of a batch of rows, taken on from their last mixtures."""
+def fitted(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mixtures, split counts, their sums by document, document and term of each entry) of a batch, from its last mixtures on."""
     row, term, n = flat_terms(batch)
     language = batch.column("language").to_numpy()
-    before = batch.column("mix").flatten().to_numpy().reshape(batch.num_rows, -1).T
-    mix, part = np.empty_like(before), np.empty((len(before), len(row)), np.float32)
+    scale = model.scales(language)
+    before = unpacked(batch, "mix", np.float32)[0].reshape(batch.num_rows, -1).T
+    mix, sums, part = np.empty_like(before), np.empty_like(before), np.empty((len(before), len(row)), np.float32)
     for start in range(0, batch.num_rows, CHUNK):
         end = min(batch.num_rows, start + CHUNK)
         low, high = np.searchsorted(row, [start, end])
         like = model.likelihood(term[low:high], language[row[low:high]])
-        mix[:, start:end], part[:, low:high] = split_counts(like, row[low:high] - start, n[low:high], end - start, before[:, start:end])
-    return mix, part, row, term
+        mix[:, start:end], part[:, low:high], sums[:, start:end] = split_counts(
+            like, row[low:high] - start, n[low:high], end - start, before[:, start:end], scale=scale[:, start:end]
+        )
+    return mix, part, sums, row, term
 
 
 # Passes over all documents. A pass writes the documents with their new mixtures and, for each task, sums: rows with a
 # stretch of an array (row, slot) that holds what the task has met of it.
-_ROWS = "doc_id bigint, language int, terms array<int>, counts array<int>, inside array<int>, ends array<int>, mix array<float>"
+_ROWS = "doc_id bigint, language int, terms binary, counts binary, inside binary, ends binary, mix binary"
 _SUMS = "part int, at int, slots binary, data binary"
 STRETCH, FAN_IN = 1 << 12, 64
 
@@ -252,7 +277,7 @@ def added_up(rows: DataFrame, parts: int, shape: tuple[int, int]) -> np.ndarray:
         groups = -(-parts // FAN_IN)
         block = F.floor(F.col("part") / FAN_IN) * stretches + F.col("at")
         rows, parts = map_blocks(rows.withColumn("block", block.cast("int")), "block", groups * stretches, add, _SUMS, max(1, stretches // 8)), groups
-    total = np.zeros((shape[0], stretches * STRETCH))
+    total = np.zeros((shape[0], stretches * STRETCH), np.float32)
     for r in rows.select("at", "slots", "data").toLocalIterator():  # the model, whose size is fixed
         _take_up(total, *r)
     return total[:, : shape[1]]
@@ -262,7 +287,7 @@ class Pass:
     """What one pass does with each batch: ``step(batch, sums)`` adds to the sums and gives the rows to write, or None."""
 
     def __init__(self, rows: DataFrame, shape: tuple[int, int], step, label: str) -> None:
-        fields = [("doc_id", pa.int64()), ("language", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("terms", "counts", "inside", "ends")), ("mix", pa.list_(pa.float32()))]
+        fields = [("doc_id", pa.int64()), ("language", pa.int32()), *((c, pa.binary()) for c in ("terms", "counts", "inside", "ends", "mix"))]
         schema = pa.schema([*fields, ("part", pa.int32()), ("at", pa.int32()), ("slots", pa.binary()), ("data", pa.binary())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +346,7 @@ def started(rows: DataFrame, profiles: np.ndarray, marks: dict[int, list[int]],
                 mine = slice(starts[d], starts[d + 1])
                 np.add.at(sums[s], term[mine], n[mine])
                 sums[s, SLOTS + language[d]] += n[mine].sum()
-        even = pa.array(np.full(size * (k + 1), 1 / (k + 1), np.float32))
-        mix = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * (k + 1)), even)
+        mix = _packed(np.arange(1, size + 1) * (k + 1), np.full(size * (k + 1), 1 / (k + 1), np.float32))
         return pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("doc_id", "terms", "counts", "inside", "ends")), pa.array(language.astype(np.int32)), mix],
             names=["doc_id", "terms", "counts", "inside", "ends", "language", "mix"],
@@ -330,15 +354,15 @@ def started(rows: DataFrame, profiles: np.ndarray, marks: dict[int, list[int]],
 
     first = Pass(rows, (k + BACKGROUNDS, SLOTS + BACKGROUNDS), step, "mixed")
     sent.unpersist()
-    words, counts, by_language = first.sums[k:, :SLOTS], first.sums[:k, :SLOTS], first.sums[:k, SLOTS:]
-    background = (words + 1e-9) / (words + 1e-9).sum(1, keepdims=True)
-    anchors = np.zeros((k, SLOTS))
+    words, counts, by_language = first.sums[k:, :SLOTS], first.sums[:k, :SLOTS].astype(np.float64), first.sums[:k, SLOTS:].astype(np.float64)
+    background = (words + np.float32(1e-9)) / (words + np.float32(1e-9)).sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
+    anchors = np.zeros((k, SLOTS), np.float32)
     for s in np.flatnonzero(counts.sum(1)):
         p = by_language[s] / by_language[s].sum() @ background + 1e-12
         q = (counts[s] + SMOOTH * p) / (counts[s].sum() + SMOOTH)
         lifted = q * np.maximum(0, np.log(q / p) - np.log(LIFT))
         anchors[s] = 0.95 * lifted / max(lifted.sum(), 1e-30) + 0.05 * p
-    model = Model(anchors.astype(np.float32), background.astype(np.float32), portions_of(by_language))
+    model = Model(anchors, background, portions_of(by_language))
     return model, anchors, first.rows, first.written
 
 
@@ -348,16 +372,15 @@ def update(rows: DataFrame, model: Model) -> Pass:
     k = len(model.subjects)
 
     def step(batch: pa.RecordBatch, sums: np.ndarray) -> pa.RecordBatch:
-        mix, part, row, term = fitted(sent.value, batch)
+        mix, part, by_doc, row, term = fitted(sent.value, batch)
         language = batch.column("language").to_numpy()
         for s in range(k):
             sums[s, :SLOTS] += np.bincount(term, part[s], SLOTS)
-            sums[s, SLOTS:] += np.bincount(language[row], part[s], BACKGROUNDS)
+            sums[s, SLOTS:] += np.bincount(language, by_doc[s], BACKGROUNDS)
         for g in np.unique(language):
             mine = language[row] == g
             sums[k + g, :SLOTS] += np.bincount(term[mine], part[k, mine], SLOTS)
-        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (k + 1))
-        return batch.set_column(batch.schema.names.index("mix"), "mix", pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(mix.T).ravel())))
+        return batch.set_column(batch.schema.names.index("mix"), "mix", _packed(np.arange(1, batch.num_rows + 1) * (k + 1), mix.T.ravel()))
 
     out = Pass(rows, (k + BACKGROUNDS, SLOTS + BACKGROUNDS), step, "mixed")
     sent.unpersist()
@@ -380,11 +403,11 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], label_rows
         release(table)  # the documents are in the new table now
         mixed, table = done.rows, done.written
         k = len(subjects)
-        sums, words = done.sums[:, :SLOTS] + 1e-12, done.sums[:k, SLOTS:]
-        shares_ = sums / sums.sum(1, keepdims=True)
+        sums, words = done.sums[:, :SLOTS] + np.float32(1e-12), done.sums[:k, SLOTS:]
+        sums /= sums.sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
         held = anchors.any(1, keepdims=True)
-        own = np.where(held, (1 - ANCHOR) * shares_[:k] + ANCHOR * anchors, 0)  # a subject without labels has no component
-        model = Model(own.astype(np.float32), shares_[k:].astype(np.float32), portions_of(words))
+        own = np.where(held, (1 - ANCHOR) * sums[:k] + ANCHOR * anchors, 0)  # a subject without labels has no component
+        model = Model(own.astype(np.float32), sums[k:], portions_of(words))
     return model, mixed
 
 
@@ -402,14 +425,13 @@ def shares(model: Model, subjects: list[str], rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mix, part, row, _ = fitted(model, batch)
-            of_term = part[:k] / np.maximum(batch.column("counts").flatten().to_numpy(), 1)
-            ends, inner = batch.column("ends"), batch.column("inside")
-            per_doc = np.diff(ends.offsets.to_numpy())
+            mix, part, _, row, _ = fitted(model, batch)
+            of_term = part[:k] / np.maximum(unpacked(batch, "counts")[0], 1)
+            (ends, per_doc), (inside, sizes) = unpacked(batch, "ends"), unpacked(batch, "inside")
             doc = np.repeat(np.arange(batch.num_rows), per_doc)
-            stops = ends.flatten().to_numpy() + np.repeat(inner.offsets.to_numpy()[:-1] - inner.offsets.to_numpy()[0], per_doc)
+            stops = ends + np.repeat(np.cumsum(sizes) - sizes, per_doc)
             which = np.repeat(np.arange(len(stops)), np.diff(np.concatenate([[0], stops])))
-            entry = inner.flatten().to_numpy() + np.searchsorted(row, np.arange(batch.num_rows))[doc[which]]
+            entry = inside + np.searchsorted(row, np.arange(batch.num_rows))[doc[which]]
             gain = np.stack([np.bincount(which, of_term[s, entry], len(stops)) for s in range(k)], 1)
             best = gain.argmax(1)
             good = gain[np.arange(len(best)), best] >= EVIDENCE

@@ -120,6 +120,6 @@ def test_mixtures_are_taken_on():
     """Updates go on from where they were: twice three steps are six steps."""
     rng = np.random.default_rng(5)
     like, row, n = rng.random((3, 12)).astype(np.float32), np.repeat([0, 2], 6), np.ones(12, np.float32)
-    half, _ = S.split_counts(like, row, n, 3, steps=3)
+    half, _, _ = S.split_counts(like, row, n, 3, steps=3)
     assert np.allclose(S.split_counts(like, row, n, 3, half, 3)[0], S.split_counts(like, row, n, 3, steps=6)[0], atol=1e-5)
     assert np.allclose(half[:, 1], 1 / 3)
