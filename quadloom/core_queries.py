@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.uris import namespace_map
 from .operators.balanced import key_results
 from .operators.orphans import orphan_counts, orphans
-from .operators.shred import adjacency, member_table, nested_records, property_table, record_table
+from .operators.shred import VALUE_MEMBERS, adjacency, member_table, nested_records, property_table, record_links, record_paths, record_table
 from .operators.wide import filled_cells, stitch
 from .runtime import table
 
@@ -47,11 +47,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    return record_table(adjacency(table(spark, d, "raw_records")))
+    """Records by path; ``record_table`` also has their nodes."""
+    records = record_table(adjacency(table(spark, d, "raw_records")))
+    return records.select("record_no", "node_path", "parent_path", "parent_property", "parent_value", "id")
 
 
 def p3_properties(spark: SparkSession, d: str) -> DataFrame:
-    return property_table(adjacency(table(spark, d, "raw_records")))
+    """Property values, with the path of their record in place of its node."""
+    nodes = adjacency(table(spark, d, "raw_records"))
+    paths = record_paths(record_links(nodes)).select("record_no", F.col("node").alias("record"), "node_path")
+    rows = property_table(nodes).join(paths, ["record_no", "record"], "left").withColumn("record_path", F.coalesce("node_path", F.lit("")))
+    child = F.concat_ws("/", F.nullif("record_path", F.lit("")), F.concat_ws(".", "property", "value"))
+    return rows.select(
+        "record_no", "record_path", "property", "value", "property_uri", "kind", "scalar", F.when(F.col("child_record").isNotNull(), child).alias("child_path"),
+        *(f"value_{m}" for m in VALUE_MEMBERS),
+    )
 
 
 def p3_members(spark: SparkSession, d: str) -> DataFrame:
@@ -135,25 +145,54 @@ _WIDE = (
     "select record_id, " + ", ".join(f"(select {sql} from picked p where p.record_id = ids.record_id and p.attribute = '{a}') as {a}" for a, sql in _ATTRIBUTES.items()) + " from ids"
 )
 
-_NESTED = """
-    with recursive best as (select record_no, arg_max(record_fields, (loaded_at, record_fields)) as f from raw_records
-    where record_fields is not null and json_valid(record_fields) and json_type(try_cast(record_fields as json)) = 'OBJECT' group by 1),
-    r as (select record_no, '' as node_path, cast(null as varchar) as parent_path, cast(f as json) as rec from best
-    union all select record_no, case when node_path = '' then step else node_path || '/' || step end, node_path, child from (
-    select record_no, node_path, (p - 1) || '.' || (v - 1) as step,
-    case when json_type(val) = 'VARCHAR' and starts_with(ltrim(val ->> '$'), '{') and json_valid(val ->> '$') then cast(val ->> '$' as json) else val end as child from (
+_PROPERTIES = "case when json_type(rec -> 'properties') = 'ARRAY' then cast(rec -> 'properties' as json[]) else [rec -> 'properties'] end"
+_VALUES = """
+    select record_no, node_path, p, v, val, case when json_type(val) = 'VARCHAR' and starts_with(ltrim(val ->> '$'), '{') and json_valid(val ->> '$')
+    and json_exists(val ->> '$', '$.properties') then cast(val ->> '$' as json) else val end as child from (
     select record_no, node_path, p, unnest(vals) as val, generate_subscripts(vals, 1) as v from (
     select record_no, node_path, p, case when json_type(one) = 'ARRAY' then cast(one as json[]) else [one] end as vals from (
     select record_no, node_path, p, coalesce(prop -> 'propertyValue', prop -> 'property_value') as one from (
     select record_no, node_path, unnest(props) as prop, generate_subscripts(props, 1) as p from (
-    select record_no, node_path, case when json_type(rec -> 'properties') = 'ARRAY' then cast(rec -> 'properties' as json[]) else [rec -> 'properties'] end as props from r where json_exists(rec, '$.properties'))))
-    where one is not null))) where json_type(child) = 'OBJECT' and json_exists(child, '$.properties'))
-    select record_no, parent_path, node_path from r where parent_path is not null
+    select record_no, node_path, @PROPERTIES as props from r where json_exists(rec, '$.properties')))) where one is not null))
+""".replace("@PROPERTIES", _PROPERTIES)
+#: SQL over ``r``, all records with their paths, from the readable deliveries loaded last.
+_NESTED = """
+    with recursive best as (select record_no, arg_max(record_fields, (loaded_at, record_fields)) as f from raw_records
+    where record_fields is not null and json_valid(record_fields) and json_type(try_cast(record_fields as json)) = 'OBJECT' group by 1),
+    r as (select record_no, '' as node_path, cast(null as varchar) as parent_path, cast(null as int) as p, cast(null as int) as v, cast(f as json) as rec from best
+    union all select record_no, case when node_path = '' then '' else node_path || '/' end || (p - 1) || '.' || (v - 1), node_path, cast(p - 1 as int), cast(v - 1 as int), child from (@VALUES)
+    where json_type(child) = 'OBJECT' and json_exists(child, '$.properties'))
+""".replace("@VALUES", _VALUES)
+
+
+def _scalar(x: str) -> str:
+    """SQL of a scalar JSON value as text."""
+    return f"case when json_type({x}) not in ('OBJECT', 'ARRAY', 'NULL') then {x} ->> '$' end"
+
+
+def _named(x: str, names: tuple[str, ...]) -> str:
+    """A scalar, or of an object the first of its members ``names`` that is one."""
+    inner = ", ".join(_scalar(f"({x} -> '{n}')") for n in names)
+    return f"case when json_type({x}) = 'OBJECT' then coalesce({inner}, null) else {_scalar(x)} end"
+
+
+_RECORDS = f"select record_no, node_path, parent_path, p as parent_property, v as parent_value, {_named("(rec -> 'id')", ('identifier',))} as id from r"
+_MEMBERS = ", ".join(f"{_named(f"(child -> '{m}')", ('identifier', 'id', 'label'))} as value_{m}" for m in VALUE_MEMBERS)
+_PROPERTY_ROWS = f"""
+    , held as (select record_no, node_path, unnest(props) as prop, generate_subscripts(props, 1) as p from (select record_no, node_path, {_PROPERTIES} as props from r where json_exists(rec, '$.properties'))),
+    vals as ({_VALUES})
+    select record_no, node_path as record_path, cast(p - 1 as int) as property, cast(v - 1 as int) as value, coalesce(prop ->> 'propertyURI', prop ->> 'property_uri', prop ->> 'propertyUri') as property_uri,
+    case json_type(child) when 'OBJECT' then case when json_exists(child, '$.properties') then 'record' else 'object' end when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean'
+    when 'NULL' then 'null' else case when child is not null then 'number' when v is not null then 'null' end end as kind, {_scalar("child")} as scalar,
+    case when json_type(child) = 'OBJECT' and json_exists(child, '$.properties') then case when node_path = '' then '' else node_path || '/' end || (p - 1) || '.' || (v - 1) end as child_path,
+    {_MEMBERS} from held left join vals using (record_no, node_path, p) where json_type(prop) = 'OBJECT'
 """
 
 ORACLES: dict[str, str] = {
     "p1_wide": _WIDE,
-    "p3_found": " ".join(_NESTED.split()),
+    "p3_found": " ".join((_NESTED + "select record_no, parent_path, node_path from r where parent_path is not null").split()),
+    "p3_records": " ".join((_NESTED + _RECORDS).split()),
+    "p3_properties": " ".join((_NESTED + _PROPERTY_ROWS).split()),
     "p1_found": f"with {_CELLS} select distinct record_id, attribute from cells where ok",
     "p2_found": _ORPHANS + "select statement_id, ref_field, orphan_kind from found",
     "p2_report": _ORPHANS + "select ref_field, rec_type, cast(coalesce(year(first_seen) * 100 + month(first_seen), 0) as int) as period, orphan_kind, count(*) as n from found group by 1, 2, 3, 4",

@@ -392,7 +392,7 @@ class Compiler:
             return empty()
         else:
             props = F.try_element_at(self.nested, T.lexical_form(item))
-        found = F.flatten(F.map_values(props)) if prop is None else F.try_element_at(props, F.lit(prop))
+        found = F.flatten(F.filter(F.map_values(props), lambda v: v.isNotNull())) if prop is None else props[prop]
         return F.coalesce(found, empty())
 
     def value(self, node: Node, item: Column | None, place: Column | None = None, size: Column | None = None) -> Result:

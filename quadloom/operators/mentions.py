@@ -215,27 +215,138 @@ def document_resources(headers: DataFrame) -> DataFrame:
     return headers.where("uri is not null").select(F.inline(F.concat(single, layers))).where("value is not null").distinct()
 
 
+#: Classes of events by the type that a reference names; what has another name is speech_cognitive.
+_EVENT_CLASSES = {"cognition": "speech_cognitive", "cognitive": "speech_cognitive", "communication": "speech_cognitive", "grammatical": "grammatical", "contextual": "other"}
+#: Relations of temporal links.
+_RELATIONS = ("BEFORE", "AFTER", "INCLUDES", "MEASURE", "IS_INCLUDED", "SIMULTANEOUS", "IAFTER", "IBEFORE", "BEGINS", "ENDS", "BEGUN_BY", "ENDED_BY")
+_CANDIDATE = ["doc", "begin", "end", "step", "owner", "types", "props"]
+
+
+def _props(**values: Column) -> Column:
+    """A map of the values that are not null."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in values.items()])
+    return F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull()))
+
+
+def event_candidates(tables: dict[str, DataFrame], placed: DataFrame, times: DataFrame) -> DataFrame:
+    """Event mentions of predicates: lemma, part of speech, class, references by resource, and their times.
+
+    ``placed`` has the spans of predicates, ``times`` the mention of each time expression (doc, owner, mention).
+    """
+    told = tables["predicates"].join(tables["terms"].select("doc", "term", "lemma", "pos"), ["doc", "term"]).groupBy("doc", "predicate").agg(
+        F.array_join(F.sort_array(F.collect_set("lemma")), ",").alias("lemma"), F.min(event_class(F.col("pos"))).alias("pos")
+    )
+    refs = tables["predicate_references"]
+    kind = F.coalesce(*[F.when(F.col("reference") == k, v) for k, v in _EVENT_CLASSES.items()], F.lit("speech_cognitive"))
+    is_type = F.lower("resource") == "eventtype"
+    classes = refs.groupBy("doc", "predicate").agg(F.coalesce(F.min(F.when(is_type, kind)), F.lit("other")).alias("class"))
+    outside = (
+        refs.where(~is_type & F.col("reference").isNotNull())
+        .groupBy("doc", "predicate", F.concat(F.lower("resource"), F.lit("Ref")).alias("k"))
+        .agg(F.array_join(F.sort_array(F.collect_set("reference")), ",").alias("v"))
+        .groupBy("doc", "predicate")
+        .agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("refs"))  # a row per resource of one predicate
+    )
+    anchors = tables["anchors"].select("doc", "predicate", F.explode(F.create_map(*[x for c in ("anchorTime", "beginPoint", "endPoint") for x in (F.lit(c), F.col(c))])).alias("k", "owner"))
+    dated = anchors.join(times, ["doc", "owner"]).groupBy("doc", "predicate").pivot("k", ["anchorTime", "beginPoint", "endPoint"]).agg(F.min("mention"))
+    out = placed.join(told, ["doc", "predicate"], "left")
+    for more in (classes, outside, dated):
+        out = out.join(more, ["doc", "predicate"], "left")
+    own = _props(pred=F.col("lemma"), pos=F.col("pos"), eventClass=F.col("class"), anchorTime=F.col("anchorTime"), beginPoint=F.col("beginPoint"), endPoint=F.col("endPoint"))
+    props = F.map_concat(own, F.coalesce("refs", F.create_map().cast("map<string,string>")))
+    return out.select("doc", "begin", "end", F.lit(5).alias("step"), F.col("predicate").alias("owner"), F.array(F.lit("event")).alias("types"), props.alias("props"))
+
+
+def role_candidates(roles: DataFrame, events: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Mentions of roles (doc, owner, predicate, role, begin, end): a temporal role is a time, where none is known there, and
+    a link of the event to it; another role that is an accepted mention takes part in the event."""
+    met = roles.join(events.select("doc", "predicate", F.col("begin").alias("b"), F.col("end").alias("e")), ["doc", "predicate"])
+    known = met.join(accepted.select("doc", "begin", "end").distinct().withColumn("known", F.lit(True)), ["doc", "begin", "end"], "left")
+    temporal = F.coalesce(F.upper("role") == "AM-TMP", F.lit(False))
+    none = F.create_map().cast("map<string,string>")
+    times = known.where(temporal & F.col("known").isNull()).select("doc", "begin", "end", F.lit(6).alias("step"), "owner", F.array(F.lit("time")).alias("types"), none.alias("props"))
+    ids = {"source": mention_id(F.col("doc"), F.col("b"), F.col("e")), "target": mention_id(F.col("doc"), F.col("begin"), F.col("end"))}
+    first, last = F.least("begin", "b").alias("begin"), F.greatest("end", "e").alias("end")
+    linked = known.where(temporal).select("doc", first, last, F.lit(7).alias("step"), "owner", F.array(F.lit("tlink"), F.lit("relation")).alias("types"), _props(**ids).alias("props"))
+    parts = known.where(~temporal & F.col("known").isNotNull())
+    taking = parts.select("doc", first, last, F.lit(7).alias("step"), "owner", F.array(F.lit("participation"), F.lit("relation")).alias("types"), _props(**ids, role=F.col("role")).alias("props"))
+    return times.unionByName(linked).unionByName(taking)
+
+
+def link_candidates(links: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mentions of causal and temporal links over both spans, and properties of mentions that are linked to the document's time.
+
+    ``ends`` has the spans of predicates and time expressions (doc, id, begin, end); the second result is (doc, begin, end, k, v).
+    """
+    a = ends.select("doc", F.col("id").alias("source"), F.col("begin").alias("a_begin"), F.col("end").alias("a_end"))
+    b = ends.select("doc", F.col("id").alias("target"), F.col("begin").alias("b_begin"), F.col("end").alias("b_end"))
+    all_ = links.withColumn("relation", F.when(F.col("relation").isin(*_RELATIONS), F.col("relation"))).join(a, ["doc", "source"], "left").join(b, ["doc", "target"], "left")
+    start, end = F.coalesce(F.lower("source") == "tmx0", F.lit(False)), F.coalesce(F.lower("target") == "tmx0", F.lit(False))
+    between = all_.where(~start & ~end).where("a_begin is not null or b_begin is not null")
+    spot = lambda x: F.when(F.col(f"{x}_begin").isNotNull(), mention_id(F.col("doc"), F.col(f"{x}_begin"), F.col(f"{x}_end")))
+    mentions = between.select(
+        "doc", F.least("a_begin", "b_begin").alias("begin"), F.greatest("a_end", "b_end").alias("end"), F.lit(8).alias("step"), "owner", F.array(F.col("kind"), F.lit("relation")).alias("types"),
+        _props(source=spot("a"), target=spot("b"), relType=F.col("relation")).alias("props"),
+    )
+    dated = all_.where((start | end) & F.col("relation").isNotNull()).select(
+        "doc", F.when(start, F.col("b_begin")).otherwise(F.col("a_begin")).alias("begin"), F.when(start, F.col("b_end")).otherwise(F.col("a_end")).alias("end"),
+        F.when(start, "tlinkFromTmx0").otherwise("tlinkToTmx0").alias("k"), F.col("relation").alias("v"),
+    )
+    return mentions, dated.where("begin is not null")
+
+
 def extract(tables: dict[str, DataFrame], winner: str | None = None) -> DataFrame:
-    """Mentions (see ``merge_mentions``) of the tables that ``files.read_annotations`` gives: entities first, then times.
+    """Mentions (see ``merge_mentions``) of the tables that ``files.read_annotations`` gives, layer by layer.
 
-    An entity mention has the type ``object`` and its class, its best reference as property ``refersTo``; a time mention its
-    kind and value. Entities without a span and times without one give none.
+    1 entities: type ``object`` and their class, the best reference as ``refersTo``. 2 coreference: new spans of a set with
+    the types of its accepted mention, or events. 3 times: kind and value. 4 factuality: events with their ``factBank``.
+    5 predicates: events (``event_candidates``). 6 and 7 roles: times, temporal links, participations. 8 causal and temporal
+    links; a link to the time of the document enriches the mention at its other end. What has no span gives none; tables of
+    layers that are missing count as empty.
     """
-    words = tables["words"]
+    words, terms = tables["words"], tables["terms"]
+    spark = words.sparkSession
+    empty = {
+        "coreferences": "doc string, set_id string, kind string, owner string, term string", "factualities": "doc string, owner string, term string, resource string, value string",
+        "predicates": "doc string, predicate string, term string", "predicate_references": "doc string, predicate string, resource string, reference string",
+        "anchors": "doc string, predicate string, anchorTime string, beginPoint string, endPoint string", "roles": "doc string, predicate string, owner string, role string, term string",
+        "links": "doc string, kind string, owner string, source string, target string, from_type string, to_type string, relation string",
+    }
+    tables = {k: spark.createDataFrame([], schema) for k, schema in empty.items()} | tables
     entities = tables["entities"]
     reference = best_reference(tables["references"], winner).withColumnRenamed("owner", "entity")
     named = entities.select("doc", "owner", "entity", "kind").distinct().join(reference, ["doc", "entity"], "left")
-    found = spans(entities, tables["terms"], words).join(named, ["doc", "owner"])
+    found = spans(entities, terms, words).join(named, ["doc", "owner"])
     kind = entity_class(F.col("kind"))
     objects = found.select(
-        "doc", "begin", "end", F.lit(1).alias("step"), "owner",
-        F.array_compact(F.array(F.lit("object"), kind)).alias("types"),
-        F.when(F.col("reference").isNotNull(), F.create_map(F.lit("refersTo"), F.col("reference"))).alias("props"),
-    )
+        "doc", "begin", "end", F.lit(1).alias("step"), "owner", F.array_compact(F.array(F.lit("object"), kind)).alias("types"), _props(refersTo=F.col("reference")).alias("props")
+    )
+    own_spans = lambda t, key: spans(tables[t].select("doc", F.col(key).alias("owner"), "term"), terms, words).drop("sent").withColumnRenamed("owner", key)
+    sets = own_spans("coreferences", "owner").join(tables["coreferences"].select("doc", "owner", "set_id", "kind").distinct(), ["doc", "owner"])
+    same = coreference(sets, objects.select("doc", "owner", "begin", "end", "types")).select(
+        "doc", "begin", "end", F.lit(2).alias("step"), "owner", "types", _props(coreference=F.col("set_id")).alias("props")
+    )
     placed = tables["times"].where("word is not null").join(words.select("doc", "word", "offset", "length"), ["doc", "word"])
     dated = timex(placed.groupBy("doc", "owner", "kind", "value").agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end")))
-    times = dated.select(
-        "doc", "begin", "end", F.lit(2).alias("step"), "owner", "types",
-        F.when(F.col("value").isNotNull(), F.create_map(F.lit("value"), F.col("value"))).alias("props"),
-    )
-    return merge_mentions(objects.unionByName(times))
+    times = dated.select("doc", "begin", "end", F.lit(3).alias("step"), "owner", "types", _props(value=F.col("value")).alias("props"))
+    bank = tables["factualities"].groupBy("doc", "owner").agg(F.min(F.when(F.lower("resource") == "factbank", F.col("value"))).alias("bank"))
+    facts = own_spans("factualities", "owner").join(bank, ["doc", "owner"]).select(
+        "doc", "begin", "end", F.lit(4).alias("step"), "owner", F.array(F.lit("event")).alias("types"), _props(factBank=F.col("bank")).alias("props")
+    )
+    acting = own_spans("predicates", "predicate")
+    moments = times.select("doc", "owner", mention_id(F.col("doc"), F.col("begin"), F.col("end")).alias("mention"))
+    events = event_candidates(tables, acting, moments)
+    before = [objects, same, times, facts, events]
+    accepted = before[0].select("doc", "begin", "end")
+    for part in before[1:]:
+        accepted = accepted.unionByName(part.select("doc", "begin", "end"))
+    roles = own_spans("roles", "owner").join(tables["roles"].select("doc", "owner", "predicate", "role").distinct(), ["doc", "owner"])
+    ends = acting.select("doc", F.col("predicate").alias("id"), "begin", "end").unionByName(times.select("doc", F.col("owner").alias("id"), "begin", "end"))
+    links, to_document = link_candidates(tables["links"], ends)
+    candidates = before[0].select(*_CANDIDATE)
+    for part in (*before[1:], role_candidates(roles, acting, accepted), links):
+        candidates = candidates.unionByName(part.select(*_CANDIDATE))
+    merged = merge_mentions(candidates)
+    extra = to_document.groupBy("doc", "begin", "end", "k").agg(F.min("v").alias("v")).groupBy("doc", "begin", "end").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("extra"))
+    none = F.create_map().cast("map<string,string>")
+    return merged.join(extra, ["doc", "begin", "end"], "left").withColumn("props", F.map_concat("props", F.coalesce("extra", none))).drop("extra")

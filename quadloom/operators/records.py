@@ -21,16 +21,38 @@ CREATED, MODIFIED, UNMODIFIED, DELETED = "OK_CREATED", "OK_MODIFIED", "OK_UNMODI
 EXISTS, MISSING = "ERROR_OBJECT_ALREADY_EXISTS", "ERROR_OBJECT_NOT_FOUND"
 
 
+def columns_view(df: DataFrame, ident: Column, columns: dict[str, Column]) -> DataFrame:
+    """Records whose properties are arrays of terms in columns; a property without a value maps to null.
+
+    Catalyst sees through the map: a condition on a property reads its column and no others. ``retrieve`` and ``project``
+    leave out properties that are null, as do all readers of single properties.
+    """
+    pairs = [x for p, c in columns.items() for x in (F.lit(p), F.when(F.size(c) > 0, c))]
+    return df.select(ident.cast("string").alias("id"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")).alias("props"))
+
+
+def present(records: DataFrame) -> DataFrame:
+    """Records without properties that are null."""
+    return records.withColumn("props", F.map_filter("props", lambda k, v: v.isNotNull()))
+
+
+def _terms(df: DataFrame, source: str | Column) -> Column:
+    """The array of terms that a column stands for."""
+    kind = dict(df.dtypes)[source] if isinstance(source, str) else ""
+    if kind.startswith("array"):
+        return F.array_distinct(F.filter(source, lambda x: x.isNotNull()))
+    col = term_of(df, source) if isinstance(source, str) else source
+    return F.when(col.isNotNull(), F.array(col))
+
+
+def columns_of(df: DataFrame, ident: Column, columns: dict[str, str | Column]) -> DataFrame:
+    """Records of a table: a property per entry, its column a value, a term, or an array of terms (see ``columns_view``)."""
+    return columns_view(df, ident, {p: _terms(df, source) for p, source in columns.items()})
+
+
 def from_columns(df: DataFrame, ident: Column, columns: dict[str, str | Column]) -> DataFrame:
-    """Records of a table: a property per entry, its column a value, a term, or an array of terms; nulls are left out."""
-    entries = []
-    for prop, source in columns.items():
-        col = term_of(df, source) if isinstance(source, str) and not dict(df.dtypes)[source].startswith("array") else F.col(source) if isinstance(source, str) else source
-        is_array = isinstance(source, str) and dict(df.dtypes)[source].startswith("array")
-        values = F.array_distinct(F.filter(col, lambda x: x.isNotNull())) if is_array else F.when(col.isNull(), empty()).otherwise(F.array(col))
-        entries.append(F.struct(F.lit(prop).alias("key"), values.alias("value")))
-    props = F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
-    return df.select(ident.cast("string").alias("id"), props.alias("props"))
+    """Records of a table as in ``columns_of``, nulls left out."""
+    return present(columns_of(df, ident, columns))
 
 
 def from_long(rows: DataFrame) -> DataFrame:
@@ -47,7 +69,7 @@ def to_long(records: DataFrame) -> DataFrame:
 
 def get(prop: str) -> Column:
     """Values of a property, an empty array where it has none."""
-    return F.coalesce(F.try_element_at("props", F.lit(prop)), empty())
+    return F.coalesce(F.col("props")[prop], empty())
 
 
 def unique(prop: str, default: Column | None = None) -> Column:
@@ -66,13 +88,13 @@ def is_true(prop: str) -> Column:
 def project(records: DataFrame, props: list[str] | None) -> DataFrame:
     """Keep the listed properties (the id always stays); None keeps all."""
     if props is None:
-        return records
-    return records.withColumn("props", F.map_filter("props", lambda k, v: k.isin(props) if props else F.lit(False)))
+        return present(records)
+    return records.withColumn("props", F.map_filter("props", lambda k, v: v.isNotNull() & k.isin(props) if props else F.lit(False)))
 
 
 def clear(records: DataFrame, props: list[str] | None = None) -> DataFrame:
     """Drop the listed properties; none listed drops all."""
-    return records.withColumn("props", F.map_filter("props", lambda k, v: ~k.isin(props) if props else F.lit(False)))
+    return records.withColumn("props", F.map_filter("props", lambda k, v: v.isNotNull() & ~k.isin(props) if props else F.lit(False)))
 
 
 def with_any(prop: str, terms: list[str]) -> Column:

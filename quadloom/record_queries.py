@@ -18,7 +18,7 @@ def _orders(spark, d):
     o = table(spark, d, "orders").join(flags, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     o = o.withColumn("flags", F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda x: T.literal(x)))
     cols = {V + "by": node("customer", "o_custkey"), V + "total": "o_totalprice", V + "status": "o_orderstatus", V + "flag": "flags"}
-    return records.from_columns(o, F.col("o_orderkey"), cols)
+    return records.columns_of(o, F.col("o_orderkey"), cols)
 
 
 def _plain(array, sep=","):

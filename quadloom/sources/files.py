@@ -128,9 +128,11 @@ _SPAN = "span STRUCT<target ARRAY<STRUCT<_id STRING>>>"
 
 
 def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of annotated XML documents: documents, words, terms, entities and times.
+    """Tables of annotated XML documents, one for each layer.
 
-    Each file is one document, named by its path; damaged files give no rows. Elements are read with a fixed schema.
+    headers, processors, words, terms, entities and references, coreferences, times, factualities, predicates with
+    predicate_references, anchors and roles, and links. Each file is one document, named by its path; damaged files give no
+    rows. Elements are read with a fixed schema. Spans are rows with a ``term`` (times: a ``word``) each.
     """
 
     def tag(name: str, schema: str) -> DataFrame:
@@ -147,4 +149,38 @@ def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "doc", "owner", "position", F.col("r._resource").alias("resource"), F.col("r._reference").alias("reference"), F.col("r._confidence").alias("confidence")
     )
     times = tag("timex3", f"_id STRING, _type STRING, _value STRING, {_SPAN}").select("doc", F.col("_id").alias("owner"), F.col("_type").alias("kind"), F.col("_value").alias("value"), F.explode_outer("span.target._id").alias("word"))
-    return {"words": words, "terms": terms, "entities": entities, "references": references, "times": times}
+    one_span = "span ARRAY<STRUCT<target ARRAY<STRUCT<_id STRING>>>>"
+    refs = "externalReferences ARRAY<STRUCT<externalRef ARRAY<STRUCT<_resource STRING, _reference STRING>>>>"
+    coref = tag("coref", f"_id STRING, _type STRING, {one_span}").select("doc", F.col("_id").alias("set_id"), F.lower("_type").alias("kind"), F.posexplode("span").alias("n", "s"))
+    coreferences = coref.select("doc", "set_id", "kind", F.concat_ws(".", "set_id", "n").alias("owner"), F.explode("s.target._id").alias("term"))
+    fact = tag("factuality", f"_id STRING, {_SPAN}, factVal ARRAY<STRUCT<_resource STRING, _value STRING>>")
+    factualities = fact.select("doc", F.col("_id").alias("owner"), F.explode(F.col("span.target._id")).alias("term"), "factVal").select(
+        "doc", "owner", "term", F.explode_outer("factVal").alias("v")
+    ).select("doc", "owner", "term", F.col("v._resource").alias("resource"), F.col("v._value").alias("value"))
+    role = f"role ARRAY<STRUCT<_id STRING, _semRole STRING, {_SPAN.replace('span STRUCT', 'span: STRUCT', 1)}>>"
+    srl = tag("predicate", f"_id STRING, {_SPAN}, {refs}, {role}").select("doc", F.col("_id").alias("predicate"), F.col("span.target._id").alias("ids"), "externalReferences", "role")
+    predicates = srl.select("doc", "predicate", F.explode("ids").alias("term"))
+    flat = srl.select("doc", "predicate", F.explode("externalReferences").alias("x")).select("doc", "predicate", F.explode_outer("x.externalRef").alias("r"))
+    predicate_references = flat.select("doc", "predicate", F.col("r._resource").alias("resource"), F.col("r._reference").alias("reference"))
+    roles = srl.select("doc", "predicate", F.explode("role").alias("r")).select(
+        "doc", "predicate", F.col("r._id").alias("owner"), F.col("r._semRole").alias("role"), F.explode(F.col("r.span.target._id")).alias("term")
+    )
+    anchor = tag("predicateAnchor", f"_anchorTime STRING, _beginPoint STRING, _endPoint STRING, {_SPAN}")
+    anchors = anchor.select("doc", targets.alias("predicate"), F.col("_anchorTime").alias("anchorTime"), F.col("_beginPoint").alias("beginPoint"), F.col("_endPoint").alias("endPoint"))
+    ends = "_id STRING, _from STRING, _to STRING, _fromType STRING, _toType STRING, _relType STRING"
+    link = lambda name: tag(name, ends).select("doc", F.lit(name).alias("kind"), F.col("_id").alias("owner"), F.col("_from").alias("source"), F.col("_to").alias("target"), F.lower("_fromType").alias("from_type"), F.lower("_toType").alias("to_type"), F.upper("_relType").alias("relation"))
+    described = "_title STRING, _author STRING, _creationtime STRING, _section STRING, _magazine STRING, _location STRING, _publisher STRING, _filename STRING, _filetype STRING, _pages STRING"
+    lps = "linguisticProcessors ARRAY<STRUCT<_layer STRING, lp ARRAY<STRUCT<_name STRING, _version STRING, _timestamp STRING>>>>"
+    header = tag("nafHeader", f"fileDesc STRUCT<{described.replace(' STRING', ': STRING')}>, public STRUCT<_publicId: STRING, _uri: STRING>, {lps}")
+    headers = header.select(
+        "doc", F.col("public._uri").alias("uri"), F.col("public._publicId").alias("public_id"), F.col("fileDesc._creationtime").alias("created"),
+        F.lit(None).cast("string").alias("language"), F.array_distinct(F.array_compact(F.col("linguisticProcessors._layer"))).alias("layers"),
+        *(F.col(f"fileDesc._{c}").alias(c) for c in ("title", "author", "section", "magazine", "location", "publisher", "filename", "filetype", "pages")),
+    )
+    processors = header.select("doc", F.explode("linguisticProcessors").alias("l")).select("doc", F.col("l._layer").alias("layer"), F.explode("l.lp").alias("p")).select(
+        "doc", "layer", F.col("p._name").alias("name"), F.col("p._version").alias("version"), F.col("p._timestamp").alias("timestamp")
+    )
+    return {
+        "headers": headers, "processors": processors, "words": words, "terms": terms, "entities": entities, "references": references, "coreferences": coreferences, "times": times,
+        "factualities": factualities, "predicates": predicates, "predicate_references": predicate_references, "anchors": anchors, "roles": roles, "links": link("clink").unionByName(link("tlink")),
+    }

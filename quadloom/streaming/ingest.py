@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.uris import normalize_uri
 from ..operators.criteria import Criteria
-from ..operators.records import merge
+from ..operators.records import merge, present
 from ..sources.store import Store
 
 
@@ -28,6 +28,6 @@ def merge_records(records: DataFrame, store: Store, criteria: Criteria, checkpoi
     """Merge a stream of records (id, props) into a store, batch by batch; a batch that is repeated changes nothing."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        store.change(lambda old: merge(old, batch, criteria)[0])
+        store.change(lambda old: merge(present(old), batch, criteria)[0], keys=batch)
 
     return records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()

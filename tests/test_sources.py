@@ -92,6 +92,77 @@ def test_annotated_xml(spark, tmp_path):
     }
 
 
+def test_changes_rewrite_the_parts_they_touch(spark, tmp_path):
+    from quadloom.functions import paths
+    from quadloom.operators import records as R
+    from quadloom.sources.store import RecordStore
+
+    store = RecordStore(spark, f"file://{tmp_path}/r", parts=8)
+    df = spark.range(200).selectExpr("cast(id as string) as id", "id % 3 as a", "cast(id as string) as b", "array() as c")
+    store.write(R.from_columns(df, F.col("id"), {"http://p/a": "a", "http://p/b": "b"}))
+    before = store._manifest(store.version())["folders"]
+    assert len(before) == 8 and store.read().count() == 200
+
+    plan = R.retrieve(store.read(), [paths.condition("p:a = 1", {"p": "http://p/"})])._jdf.queryExecution().executedPlan().toString()
+    counted = R.retrieve(store.read(), [paths.condition("p:a = 1", {"p": "http://p/"})]).agg(F.count(F.lit(1)))
+    assert counted.collect()[0][0] == 67
+    read = counted._jdf.queryExecution().executedPlan().toString().split("ReadSchema:")[1].split("\n")[0]
+    assert "c0" in read and "c1" not in read and "id" not in read, plan
+
+    one = spark.createDataFrame([("7", {"http://p/new": ["Ux"]})], "id string, props map<string,array<string>>")
+    store.change(lambda old: R.present(old).where("id <> '7'").unionByName(one), keys=one)
+    after = store._manifest(store.version())["folders"]
+    assert sum(before[n] != after[n] for n in before) == 1 and store.read().count() == 200
+    assert R.present(store.read(one)).where("id = '7'").collect()[0].props == {"http://p/new": ["Ux"]}
+    assert store.read(one).count() < 60
+    store.change(lambda old: R.present(old).where("id <> '9'"), where=F.col("id") == "9")
+    assert store.read().count() == 199 and store.purge() == 2 and store.read().count() == 199
+    store.change(lambda old: old.limit(0), where=F.lit(False))
+    assert store.read().count() == 199
+
+
+LAYERS = """<NAF xml:lang="en"><nafHeader><fileDesc title="T" creationtime="2015-01-02" filename="f.txt"/><public publicId="p1" uri="http://d/1"/>
+<linguisticProcessors layer="terms"><lp name="tagger" version="1"/></linguisticProcessors><linguisticProcessors layer="srl"><lp name="roles" version="2"/></linguisticProcessors></nafHeader>
+<text><wf id="w1" offset="0" length="4" sent="1">Anna</wf><wf id="w2" offset="5" length="6" sent="1">bought</wf><wf id="w3" offset="12" length="3" sent="1">Acme</wf><wf id="w4" offset="16" length="9" sent="1">yesterday</wf>
+<wf id="w5" offset="26" length="3" sent="2">She</wf><wf id="w6" offset="30" length="6" sent="2">smiled</wf></text>
+<terms>""" + "".join(f'<term id="t{i}" lemma="{l}" pos="{p}"><span><target id="w{i}"/></span></term>' for i, (l, p) in enumerate([("Anna", "R"), ("buy", "V"), ("Acme", "R"), ("yesterday", "A"), ("she", "Q"), ("smile", "V")], 1)) + """</terms>
+<entities><entity id="e1" type="PERSON"><references><span><target id="t1"/></span></references></entity><entity id="e2" type="ORG"><references><span><target id="t3"/></span></references></entity></entities>
+<coreferences><coref id="co1"><span><target id="t1"/></span><span><target id="t5"/></span></coref><coref id="co2" type="event"><span><target id="t6"/></span></coref></coreferences>
+<timeExpressions><timex3 id="tmx0" type="DATE" value="2015-01-02"/><timex3 id="tmx1" type="DATE" value="2015-01-01"><span><target id="w4"/></span></timex3></timeExpressions>
+<factualities><factuality id="f1"><span><target id="t2"/></span><factVal resource="factbank" value="CT+"/></factuality></factualities>
+<srl><predicate id="pr1"><externalReferences><externalRef resource="EventType" reference="contextual"/><externalRef resource="VerbNet" reference="get-13.5.1"/></externalReferences><span><target id="t2"/></span>
+<role id="r1" semRole="A0"><span><target id="t1"/></span></role><role id="r2" semRole="A1"><span><target id="t3"/></span></role><role id="r3" semRole="AM-TMP"><span><target id="t4"/></span></role>
+<role id="r4" semRole="A2"><span><target id="t5"/><target id="t6"/></span></role></predicate>
+<predicate id="pr2"><externalReferences/><span><target id="t6"/></span></predicate></srl>
+<temporalRelations><tlink id="l1" from="pr1" to="tmx0" fromType="event" toType="timex" relType="BEFORE"/><tlink id="l2" from="pr1" to="pr2" fromType="event" toType="event" relType="BEFORE"/>
+<predicateAnchor id="a1" anchorTime="tmx1"><span><target id="pr1"/></span></predicateAnchor></temporalRelations>
+<causalRelations><clink id="c1" from="pr1" to="pr2"/></causalRelations></NAF>"""
+
+
+def test_extraction_of_all_layers(spark, tmp_path):
+    from quadloom.operators import mentions as M
+
+    (tmp_path / "d.naf").write_text(LAYERS)
+    t = FS.read_annotations(spark, f"file://{tmp_path}/*.naf")
+    assert {n: df.count() for n, df in t.items()} == {
+        "headers": 1, "processors": 2, "words": 6, "terms": 6, "entities": 2, "references": 0, "coreferences": 3, "times": 2, "factualities": 1, "predicates": 2, "predicate_references": 3,
+        "anchors": 1, "roles": 5, "links": 3,
+    }
+    got = {r.mention.removeprefix("d.naf#char="): (sorted(r.types), r.props) for r in M.extract(t).collect()}
+    at = lambda x: "d.naf#char=" + x
+    assert got["0,4"] == (["object", "person"], {}) and got["12,15"] == (["object", "organization"], {})
+    assert got["26,29"] == (["object", "person"], {"coreference": "co1"})
+    assert got["16,25"] == (["time", "timex3_date"], {"value": "2015-01-01"})
+    assert got["5,11"] == (["event"], {"factBank": "CT+", "pred": "buy", "pos": "verb", "eventClass": "other", "verbnetRef": "get-13.5.1", "anchorTime": at("16,25"), "tlinkToTmx0": "BEFORE"})
+    assert got["30,36"] == (["event"], {"coreference": "co2", "pred": "smile", "pos": "verb", "eventClass": "other"})
+    assert got["0,11"] == (["participation", "relation"], {"source": at("5,11"), "target": at("0,4"), "role": "A0"})
+    assert got["5,15"][1]["role"] == "A1" and got["5,25"] == (["relation", "tlink"], {"source": at("5,11"), "target": at("16,25")})
+    assert got["5,36"][0] == ["clink", "relation"] and got["5,36"][1]["source"] == at("5,11") and got["5,36"][1]["target"] == at("30,36")
+    assert len(got) == 10 and {r.type: r.n for r in M.statistics(M.extract(t)).collect()}["event"] == 2
+    rows = {(r.property, r.value) for r in M.document_resources(t["headers"]).collect()}
+    assert {("created", "2015-01-02"), ("layer", "srl"), ("layer", "terms"), ("identifier", "d.naf")} <= rows
+
+
 def test_utilities(spark):
     row = spark.range(1).select(
         X.is_valid_iri(F.lit("http://a/b%20c")), X.is_valid_iri(F.lit("a b")), X.clean_iri(F.lit("http://a/b c%é")), X.clean_iri(F.lit("rel")), X.prefix_of(F.lit("http://a/b"), {"a": "http://a/", "h": "http://"}),
