@@ -55,8 +55,7 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
 def p3_properties(spark: SparkSession, d: str) -> DataFrame:
     """Property values, with the path of their record in place of its node."""
     nodes = adjacency(table(spark, d, "raw_records"))
-    paths = record_paths(record_links(nodes)).select("record_no", F.col("node").alias("record"), "node_path")
-    rows = property_table(nodes).join(paths, ["record_no", "record"], "left").withColumn("record_path", F.coalesce("node_path", F.lit("")))
+    rows = property_table(nodes, record_paths(record_links(nodes)))
     child = F.concat_ws("/", F.nullif("record_path", F.lit("")), F.concat_ws(".", "property", "value"))
     return rows.select(
         "record_no", "record_path", "property", "value", "property_uri", "kind", "scalar", F.when(F.col("child_record").isNotNull(), child).alias("child_path"),

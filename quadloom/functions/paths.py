@@ -140,6 +140,8 @@ class _Parser:
                 return base
 
     def step(self, base: Node) -> Node:
+        if self.take(".."):
+            return _parent(base)
         kind, text = self.tokens[self.at]
         if self.take("*"):
             return Node("any", [base])
@@ -159,9 +161,42 @@ class _Parser:
         return Node("call", args, name)
 
 
+_WITH, _MAPPING = re.compile(r"\s*with\s+"), re.compile(r"\s*([\w-]+)\s*:\s*<([^>]*)>\s*([,:])")
+
+
+def _own_names(text: str) -> tuple[dict[str, str], str]:
+    """The names of a leading ``with p: <uri>, q: <uri> :`` and the text after it."""
+    names: dict[str, str] = {}
+    m = _WITH.match(text)
+    if not m or not _MAPPING.match(text, m.end()):
+        return names, text
+    at = m.end()
+    while True:
+        m = _MAPPING.match(text, at)
+        if not m:
+            raise PathError("a name of the with clause is not understood")
+        names[m[1]], at = m[2], m.end()
+        if m[3] == ":":
+            return names, text[at:]
+
+
 def parse(text: str, namespaces: dict[str, str] | None = None, arguments: list | None = None) -> Node:
-    """Syntax tree of a path expression. ``$$`` places take ``arguments`` (terms, or lists of terms) in turn."""
-    return _Parser(text, namespaces or {}, arguments or []).whole()
+    """Syntax tree of a path expression. ``$$`` places take ``arguments`` (terms, or lists of terms) in turn.
+
+    Names of a ``with`` clause before the expression come on top of ``namespaces``.
+    """
+    names, rest = _own_names(text)
+    return _Parser(rest, (namespaces or {}) | names, arguments or []).whole()
+
+
+def _parent(node: Node) -> Node:
+    """The step ``..``: what has the children that ``node`` stands for."""
+    own = lambda n: Node(n.op, [Node("self")], n.value)
+    if node.op in ("child", "any"):
+        return Node("filter", [node.args[0], own(node)])
+    if node.op == "filter" and node.args[0].op in ("child", "any"):
+        return Node("filter", [node.args[0].args[0], Node("filter", [own(node.args[0]), node.args[1]])])
+    raise PathError("a parent step follows a child step")
 
 
 def properties_of(node: Node) -> set[str]:
@@ -376,8 +411,8 @@ def _compare_with(f: Callable[[Column, Column], Column], t: Column, code: str) -
 class Compiler:
     """Compiles path expressions against the columns ``props`` and ``nested`` (null or absent: no nested records)."""
 
-    def __init__(self, props: Column, nested: Column | None = None, ident: Column | None = None) -> None:
-        self.props, self.nested, self.ident = props, nested, ident
+    def __init__(self, props: Column, nested: Column | None = None, ident: Column | None = None, strict: bool = False) -> None:
+        self.props, self.nested, self.ident, self.strict = props, nested, ident, strict
 
     def boolean(self, node: Node) -> Column:
         return F.coalesce(as_bool(self.value(node, None)), F.lit(False))
@@ -385,6 +420,13 @@ class Compiler:
     def sequence(self, node: Node) -> Column:
         return F.coalesce(as_seq(self.value(node, None)), empty())
 
+    def number(self, r: Result) -> Column:
+        num = as_num(r)
+        if not self.strict or r.kind in ("num", "bool"):
+            return num
+        there = F.size(r.col) > 0 if r.kind == "seq" else r.col.isNotNull()
+        return F.when(num.isNull() & there, F.raise_error(F.lit("a value is not a number")).cast("double")).otherwise(num)
+
     def children(self, item: Column | None, prop: str | None) -> Column:
         if item is None:
             props = self.props
@@ -411,6 +453,8 @@ class Compiler:
         if op == "filter":
             seq = as_seq(self.value(node.args[0], item))
             test = node.args[1]
+            if node.args[0].op == "self" and item is None:
+                return Result("seq", F.when(F.coalesce(as_bool(self.value(test, None)), F.lit(False)), seq).otherwise(empty()))
             if test.op == "const" and T.XSD in test.value:
                 return Result("seq", F.filter(seq, lambda t, i: i + 1 == F.lit(float(test.value.split(T.SEP)[1]))))
             return Result("seq", F.filter(seq, lambda t, i: F.coalesce(as_bool(self.value(test, t, i + 1, F.size(seq))), F.lit(False))))
@@ -433,8 +477,8 @@ class Compiler:
             left, right = as_seq(args[0]), as_seq(args[1])
             return Result("bool", F.exists(left, lambda x: F.exists(right, lambda y: f(compare_key(x), compare_key(y)))))
         if op == "neg":
-            return Result("num", -as_num(args[0]))
-        x, y = as_num(args[0]), as_num(args[1])
+            return Result("num", -self.number(args[0]))
+        x, y = self.number(args[0]), self.number(args[1])
         safe = F.nullif(y, F.lit(0.0))
         return Result("num", {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "div": lambda: x / safe, "mod": lambda: x % safe}[op]())
 
@@ -449,3 +493,33 @@ def values(text: str, namespaces: dict[str, str] | None = None, arguments: list
     """The array of terms that an expression yields."""
     c = Compiler(F.col(props), F.col(nested) if nested else None, F.col(ident) if ident else None)
     return c.sequence(parse(text, namespaces, arguments))
+
+
+#: How ``evaluate`` turns a result into each type.
+_TARGETS = {
+    "boolean": lambda r: F.coalesce(as_bool(r), F.lit(False)),
+    "double": as_num,
+    "bigint": lambda r: F.when(as_num(r) == F.floor(as_num(r)), as_num(r).try_cast("bigint")),
+    "string": lambda r: r.col if r.kind == "str" else T.lexical_form(first_of(r)),
+    "timestamp": _time,
+}
+
+
+def evaluate(
+    text: str, kind: str, namespaces: dict[str, str] | None = None, arguments: list | None = None, strict: bool = False, props: str = "props", nested: str | None = None, ident: str | None = "id"
+) -> Column:
+    """The value of an expression as ``kind`` (boolean, double, bigint, string, timestamp).
+
+    Nothing gives null (a boolean: false). What can't be converted, several values for one, and operands of arithmetic that
+    are no numbers give null too, or an error where ``strict``.
+    """
+    c = Compiler(F.col(props), F.col(nested) if nested else None, F.col(ident) if ident else None, strict)
+    r = c.value(parse(text, namespaces, arguments), None)
+    value = _TARGETS[kind](r)
+    if kind == "boolean":
+        return value
+    seq = as_seq(r)
+    if not strict:
+        return F.when(F.size(seq) == 1, value)
+    failed = (F.size(seq) > 1) | ((F.size(seq) == 1) & value.isNull())
+    return F.when(failed, F.raise_error(F.lit(f"{text} is no single {kind}")).cast(kind)).otherwise(F.when(F.size(seq) == 1, value))

@@ -34,6 +34,12 @@ def entity_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("entity").agg(F.count_distinct("mention").alias("mentions"), F.count_distinct(document_of(F.col("mention"))).alias("resources"))
 
 
+def entity_mentions(links: DataFrame, entity: object, limit: int | None = None) -> DataFrame:
+    """(mention, resource) of one entity, in the order of mentions; the first ``limit`` of them."""
+    found = links.where(F.col("entity") == F.lit(entity)).select("mention", document_of(F.col("mention")).alias("resource")).distinct()
+    return found if limit is None else found.orderBy("mention").limit(limit)
+
+
 def entity_resources(links: DataFrame, entity: object, limit: int) -> DataFrame:
     """(resource, mentions) of one entity, the resources with most mentions first."""
     found = links.where(F.col("entity") == F.lit(entity)).select("mention").distinct()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, release
 
 _ADJACENCY = (
     "record_no bigint, node int, parent int, label string, ordinal int, kind string, scalar string, "
@@ -176,7 +176,8 @@ def record_paths(links: DataFrame) -> DataFrame:
         above = rows.select("record_no", F.col("node").alias("up"), F.col("up").alias("next_up"), F.col("node_path").alias("path_above"))
         moved = rows.where("up is not null").join(above, ["record_no", "up"])
         longer = moved.select(*links.columns, F.col("next_up").alias("up"), F.concat_ws("/", "path_above", "node_path").alias("node_path"))
-        rows = materialize(rows.where("up is null").unionByName(longer), "paths")
+        before, rows = rows, materialize(rows.where("up is null").unionByName(longer), "paths")
+        release(before)
     return rows.drop("up").withColumn("parent_path", F.regexp_replace("node_path", r"/?[^/]*$", ""))
 
 
@@ -203,45 +204,48 @@ def record_table(nodes: DataFrame) -> DataFrame:
     )
 
 
-def property_table(nodes: DataFrame) -> DataFrame:
+def value_members(nodes: DataFrame) -> DataFrame:
+    """(record_no, value_node, value_identifier, ...): the scalar children of objects, pivoted.
+
+    Where a member is an object itself (the subject of a statement, say), its own identifier, id or label stands for it.
+    """
+    named = nodes.where(F.col("scalar").isNotNull() & F.col("label").isin(*VALUE_MEMBERS)).select("record_no", F.col("parent").alias("value_node"), "label", "scalar")
+    boxes = nodes.where(F.col("label").isin(*VALUE_MEMBERS) & (F.col("kind") == "object")).select(
+        "record_no", F.col("parent").alias("value_node"), "label", F.col("node").alias("box")
+    )
+    rank = F.when(F.col("label") == "identifier", 1).when(F.col("label") == "id", 2).otherwise(3)
+    naming = named.where("label in ('identifier', 'id', 'label')").select("record_no", F.col("value_node").alias("box"), F.struct(rank, "scalar").alias("best"))
+    of_box = boxes.join(naming, ["record_no", "box"]).groupBy("record_no", "value_node", "label").agg(F.min("best")["scalar"].alias("scalar"))
+    members = named.unionByName(of_box).groupBy("record_no", "value_node").pivot("label", list(VALUE_MEMBERS)).agg(F.min("scalar"))
+    return members.select("record_no", "value_node", *[F.col(m).alias(f"value_{m}") for m in VALUE_MEMBERS])
+
+
+def property_table(nodes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(record_no, record, property, value, property_uri, kind, scalar, value_node, child_record, members of value objects).
 
     One row per property value; a property without a value, or with an empty array, has one row of null ``value``.
-    ``record`` points to ``record_table.node``; ``child_record`` to the nested record that is the value, if it is one.
-    The columns of members hold scalars right below the value, or where the member is an object (the subject of a statement,
-    say) its own identifier or label; ``member_table`` has all that is below ``value_node``.
+    ``record`` points to ``record_table.node``; ``child_record`` to the nested record that is the value, if it is one. With
+    ``paths`` (``record_paths``) there is the ``record_path``, too. The columns of members hold what ``value_members`` has of
+    the value; ``member_table`` has all that is below ``value_node``. Only values that are objects meet their members.
     """
     props = nodes.where("kind = 'property'").select(
         "record_no", F.col("node").alias("holder"), F.col("parent").alias("record"), F.col("ordinal").alias("property")
     )
+    more = []
+    if paths is not None:
+        props, more = props.join(paths.select("record_no", F.col("node").alias("record"), F.col("node_path").alias("record_path")), ["record_no", "record"], "left"), ["record_path"]
+        props = props.withColumn("record_path", F.coalesce("record_path", F.lit("")))
     uris = nodes.where("label = 'propertyURI'").groupBy("record_no", F.col("parent").alias("holder")).agg(F.min("scalar").alias("property_uri"))
     values = nodes.where("label = 'propertyValue'").select(
         "record_no", F.col("parent").alias("holder"), F.col("node").alias("value_node"), F.col("ordinal").alias("value"), "kind", "scalar"
     )
-    named = nodes.where(F.col("scalar").isNotNull() & F.col("label").isin(*VALUE_MEMBERS)).select("record_no", F.col("parent").alias("value_node"), "label", "scalar")
-    boxes = nodes.where(F.col("label").isin(*VALUE_MEMBERS) & (F.col("kind") == "object")).select(
-        "record_no", F.col("parent").alias("value_node"), "label", F.col("node").alias("box")
-    )
-    naming = F.when(F.col("label") == "identifier", F.struct(F.lit(1), "scalar")).when(F.col("label") == "id", F.struct(F.lit(2), "scalar")).otherwise(F.struct(F.lit(3), "scalar"))
-    of_box = (
-        named.where("label in ('identifier', 'id', 'label')")
-        .groupBy("record_no", F.col("value_node").alias("box"))
-        .agg(F.min(naming)["scalar"].alias("scalar"))
-    )
-    members = (
-        named.unionByName(boxes.join(of_box, ["record_no", "box"]).select("record_no", "value_node", "label", "scalar"))
-        .groupBy("record_no", "value_node")
-        .pivot("label", list(VALUE_MEMBERS))
-        .agg(F.min("scalar"))
-    )
-    for m in VALUE_MEMBERS:
-        members = members.withColumnRenamed(m, f"value_{m}")
+    objects = values.where("kind in ('object', 'record')").join(value_members(nodes), ["record_no", "value_node"], "left")
+    values = values.where("kind not in ('object', 'record')").unionByName(objects, allowMissingColumns=True)
     return (
         props.join(uris, ["record_no", "holder"], "left")
         .join(values, ["record_no", "holder"], "left")
-        .join(members, ["record_no", "value_node"], "left")
         .select(
-            "record_no", "record", "property", "value", "property_uri", "kind", "scalar", "value_node",
+            "record_no", "record", *more, "property", "value", "property_uri", "kind", "scalar", "value_node",
             F.when(F.col("kind") == "record", F.col("value_node")).alias("child_record"),
             *(f"value_{m}" for m in VALUE_MEMBERS),
         )

@@ -103,9 +103,18 @@ class Stream:
     def sort(self, *by: Column | str) -> Stream:
         return Stream(self.df.orderBy(*by))
 
-    def sort_by_path(self, array: str) -> Stream:
-        """By the first element of an array column, rows without one last."""
-        return Stream(self.df.orderBy(F.get(F.col(array), F.lit(0)).asc_nulls_last()))
+    def sort_by_path(self, array: str, *keys: str, kind: str = "string", ties: str | None = None) -> Stream:
+        """By the first value that the path of ``keys`` below a column leads to, as ``kind``; rows without one last.
+
+        Without ``keys``, by the first element of an array column. ``ties`` is a column that orders equal ones.
+        """
+        col = F.col(array)
+        for k in keys:
+            col = col.getField(k)
+        value = dict(self.df.select(col.alias("v")).dtypes)["v"]
+        first = F.get(col, F.lit(0)) if value.startswith("array") else col
+        order = [(first if kind == "string" and not keys else first.try_cast(kind)).asc_nulls_last(), *([F.col(ties)] if ties else [])]
+        return Stream(self.df.orderBy(*order))
 
     def to_map(self, key: str, value: str, last_by: str) -> Stream:
         """(key, value): of several values the last by ``last_by``; null keys and values are dropped."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..runtime import materialize
+from ..runtime import materialize, release
 from .algebra import Bgp, Call, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Query, Term, Triple, Union, Values, Var
 from .expressions import Evaluator, as_number, as_str, quotient
 from .parser import SparqlError, is_aggregate, parse
@@ -594,7 +594,13 @@ class Compiler:
             steps = edges if isinstance(s, Term) else seen
             step = steps.withColumnRenamed("s", "mid").withColumnRenamed("o", "end")
             longer = frontier.withColumnRenamed("o", "mid").join(step, ["mid"] + keep[2:]).select("s", F.col("end").alias("o"), *keep[2:]).distinct()
-            frontier = materialize(longer.join(seen, keep, "left_anti"), "closure")
-            if not frontier.take(1):
+            fresh = materialize(longer.join(seen, keep, "left_anti"), "closure")
+            if not fresh.take(1):
                 return seen
-            seen = materialize(seen.unionByName(frontier), "closure") if not isinstance(s, Term) else seen.unionByName(frontier)
+            if isinstance(s, Term):
+                seen, frontier = seen.unionByName(fresh), fresh
+                continue
+            grown = materialize(seen.unionByName(fresh), "closure")
+            for old in (seen, frontier):
+                release(old)
+            seen, frontier = grown, fresh

@@ -244,6 +244,25 @@ def st_path(spark, d):
     return Stream(e).path("p", "k", kind="bigint").df
 
 
+@query("st_sort_path", "SELECT event_id FROM (SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) ORDER BY k NULLS LAST, event_id LIMIT 20")
+def st_sort_path(spark, d):
+    e = table(spark, d, "events").select("event_id", F.from_json("props", "k string").alias("p"))
+    return Stream(e).sort_by_path("p", "k", kind="bigint", ties="event_id").df.limit(20).select("event_id")
+
+
+@query("path_strict", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice * 2 AS twice, CAST(NULL AS DOUBLE) AS flag FROM orders")
+def path_strict(spark, d):
+    """A typed value that is one, and a text that is no number where the reader is lenient."""
+    strict = paths.evaluate("with x: <http://example.org/vocab#> : x:total * 2", "double", strict=True)
+    return _orders(spark, d).select("id", strict.alias("twice"), paths.evaluate("v:status", "double", NS).alias("flag"))
+
+
+@query("path_parent", f"SELECT CAST(o_orderkey AS VARCHAR) AS id FROM ({_FLAGS}) WHERE flags LIKE '%R%'")
+def path_parent(spark, d):
+    """A step back up: the order of a flag."""
+    return _orders(spark, d).where(paths.condition("v:flag[. = 'R']/..", NS)).select("id")
+
+
 @query("st_to_map", "SELECT CAST(user_id AS BIGINT) AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY 1")
 def st_to_map(spark, d):
     return Stream(table(spark, d, "events")).to_map("user_id", "event_type", "event_id").df
@@ -271,9 +290,10 @@ def ent_describe_count(spark, d):
     return analytics.count_described(quads(spark, d, "nation", "region"), T.uri_code(NS["d"] + "region/2"))
 
 
-@query("graph_triples", "SELECT count(*) * 6 AS n FROM orders WHERE o_orderstatus = 'P'")
+@query("graph_triples", """SELECT 'http://example.org/order/' || o_orderkey AS s, p FROM orders CROSS JOIN (VALUES ('http://example.org/vocab#by'), ('http://example.org/vocab#status'), ('http://example.org/vocab#total'), ('http://example.org/vocab#date'),
+    ('http://example.org/vocab#priority'), ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type')) t(p) WHERE o_orderstatus = 'P'""")
 def graph_triples(spark, d):
-    return analytics.graph_triples(quads(spark, d, "orders"), T.uri_code(NS["d"] + "status/P")).agg(F.count(F.lit(1)).alias("n"))
+    return decode(analytics.graph_triples(quads(spark, d, "orders"), T.uri_code(NS["d"] + "status/P")).select("s", "p"))
 
 
 @query("ent_counts", "SELECT user_id AS entity, count(*) AS mentions, count(DISTINCT event_type) AS resources FROM events GROUP BY 1")
@@ -281,6 +301,11 @@ def ent_counts(spark, d):
     return analytics.entity_counts(_links(spark, d))
 
 
+@query("ent_mentions", "SELECT event_type || '#' || event_id AS mention, event_type AS resource FROM events WHERE user_id = 7")
+def ent_mentions(spark, d):
+    return analytics.entity_mentions(_links(spark, d), 7)
+
+
 @query("ent_resources", "SELECT event_type AS resource, count(*) AS mentions FROM events WHERE user_id = 7 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
 def ent_resources(spark, d):
     return analytics.entity_resources(_links(spark, d), 7, 3)
@@ -344,12 +369,12 @@ def latency_stats(spark, d):
 def _spans(spark, d, kind):
     e = table(spark, d, "events").where(F.col("event_type") == kind)
     begin = (F.col("event_id") % 997).cast("int")
-    return e.select((F.col("user_id") % 20).cast("string").alias("doc"), F.col("event_id").cast("string").alias("owner"), begin.alias("begin"), (begin + 3 + (F.col("user_id") % 11)).cast("int").alias("end"))
+    return e.select(F.col("user_id").cast("string").alias("doc"), F.col("event_id").cast("string").alias("owner"), begin.alias("begin"), (begin + 3 + (F.col("user_id") % 11)).cast("int").alias("end"))
 
 
 @query(
     "span_contains",
-    """WITH s AS (SELECT CAST(user_id % 20 AS VARCHAR) AS doc, CAST(event_id AS VARCHAR) AS owner, event_id % 997 AS b, event_id % 997 + 3 + user_id % 11 AS e, event_type FROM events)
+    """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS doc, CAST(event_id AS VARCHAR) AS owner, event_id % 997 AS b, event_id % 997 + 3 + user_id % 11 AS e, event_type FROM events)
     SELECT doc, owner, target FROM (SELECT x.doc, x.owner, y.owner AS target, row_number() OVER (PARTITION BY x.doc, x.owner ORDER BY (x.b = y.b AND x.e = y.e) DESC, y.b - y.e, y.b, y.owner) AS rn
     FROM s x JOIN s y ON x.doc = y.doc AND x.event_type = 'view' AND y.event_type = 'error' AND y.b >= x.b AND y.e <= x.e) WHERE rn = 1""",
 )
@@ -371,20 +396,29 @@ def best_confidence(spark, d):
     return best.withColumn("reference", F.regexp_replace("reference", "^http://.*/", ""))
 
 
-@query("mention_merge", "SELECT CAST(user_id % 20 AS VARCHAR) AS doc, CAST(event_id % 997 AS INT) AS begin, CAST(count(*) AS INT) AS n FROM events GROUP BY 1, 2")
+@query(
+    "mention_merge",
+    """SELECT doc, begin, CAST(count(*) AS INT) AS n, min(kind) AS kind, CAST(count(*) FILTER (event_type <> kind) AS INT) AS refused FROM (SELECT CAST(user_id AS VARCHAR) AS doc, CAST(event_id % 997 AS INT) AS begin,
+    event_type, first_value(event_type) OVER (PARTITION BY user_id, event_id % 997 ORDER BY CAST(event_id AS VARCHAR)) AS kind FROM events) GROUP BY 1, 2""",
+)
 def mention_merge(spark, d):
-    """Candidates of one span and type become one mention, whatever their number."""
+    """Candidates of one span and type become one mention, those of another type are refused, whatever their number."""
     e = table(spark, d, "events")
-    c = e.select((F.col("user_id") % 20).cast("string").alias("doc"), (F.col("event_id") % 997).cast("int").alias("begin"), (F.col("event_id") % 997 + 4).cast("int").alias("end"), F.lit(1).alias("step"), F.col("event_id").cast("string").alias("owner"), F.array(F.lit("object"), F.col("event_type")).alias("types"), F.create_map(F.col("event_type"), F.lit("1")).alias("props"))
+    c = e.select(F.col("user_id").cast("string").alias("doc"), (F.col("event_id") % 997).cast("int").alias("begin"), (F.col("event_id") % 997 + 4).cast("int").alias("end"), F.lit(1).alias("step"), F.col("event_id").cast("string").alias("owner"), F.array(F.lit("object"), F.col("event_type")).alias("types"), F.create_map(F.col("event_type"), F.lit("1")).alias("props"))
     merged = mentions.merge_mentions(c)
     counts = c.groupBy("doc", "begin", "end").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return merged.join(counts, ["doc", "begin", "end"]).where("size(types) >= 2 and refused < n").select("doc", "begin", "n")
+    return merged.join(counts, ["doc", "begin", "end"]).select("doc", "begin", "n", F.get("types", F.lit(1)).alias("kind"), F.col("refused").cast("int").alias("refused"))
 
 
-@query("to_process", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS doc FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id < 500)")
+@query(
+    "to_process",
+    "SELECT DISTINCT CAST(user_id AS VARCHAR) AS doc FROM events WHERE user_id NOT IN (SELECT user_id FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY 1) WHERE last = 'error')",
+)
 def to_process(spark, d):
+    """All users but those whose last event is an error."""
     e = table(spark, d, "events").withColumn("doc", F.col("user_id").cast("string"))
-    return mentions.to_process(e, e.where("event_type = 'error' and event_id < 500"))
+    last = e.groupBy("doc").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    return mentions.to_process(e, last.where("last = 'error'"))
 
 
 # quads, files, results, utilities
@@ -438,16 +472,17 @@ def turtle_values(spark, d):
     return out.withColumn("p", F.substring_index(T.lexical_form(F.col("p")), "/", -1).cast("bigint"))
 
 
-@query("convert_values", "SELECT property_id, try_cast(trim(propertyvalue) AS BIGINT) AS n FROM record_properties WHERE propertyuri = 'http://ns.veldmark.example/fileinfo#pageCount' AND regexp_matches(trim(propertyvalue), '^[0-9]+$')")
+@query("convert_values", "SELECT property_id, coalesce(CASE WHEN regexp_matches(trim(propertyvalue), '^[+-]?[0-9]+$') THEN try_cast(trim(propertyvalue) AS BIGINT) END, -1) AS n FROM record_properties WHERE propertyvalue IS NOT NULL")
 def convert_values(spark, d):
-    rows = table(spark, d, "record_properties").where((F.col("propertyuri") == "http://ns.veldmark.example/fileinfo#pageCount") & F.trim("propertyvalue").rlike(r"^[0-9]+\z"))
-    return rows.select("property_id", texts.convert(T.literal(F.trim("propertyvalue")), "bigint", F.lit(None).cast("bigint")).alias("n"))
+    """Every property value as a whole number, -1 where it is none."""
+    rows = table(spark, d, "record_properties").where("propertyvalue is not null")
+    return rows.select("property_id", texts.convert(T.literal(F.trim("propertyvalue")), "bigint", F.lit(-1)).alias("n"))
 
 
-@query("content_hashes", "SELECT count(*) AS n FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+@query("content_hashes", """SELECT CAST(c_custkey AS VARCHAR) AS id, md5('[{"key":"http://example.org/vocab#segment","value":["L\\u0001' || c_mktsegment || '"]}]') AS hash FROM customer""")
 def content_hashes(spark, d):
     r = records.project(_customers(spark, d), [V + "segment"])
-    return r.select(records.content_hash(F.col("props")).alias("h")).distinct().agg(F.count(F.lit(1)).alias("n"))
+    return r.select("id", records.content_hash(F.col("props")).alias("hash"))
 
 
 @query("joined_sample", "SELECT CAST(least(50, count(*)) AS BIGINT) AS n, CAST(least(50, count(*)) AS BIGINT) AS real FROM nation JOIN customer ON c_nationkey = n_nationkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,14 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-#: MIME types by extension.
-MIME_TYPES = {
+#: MIME types by extension that count here, on top of those that Python knows.
+_OWN_TYPES = {
     "txt": "text/plain", "html": "text/html", "htm": "text/html", "xml": "text/xml", "naf": "text/xml", "css": "text/css", "csv": "text/csv",
     "tsv": "text/tab-separated-values", "json": "application/json", "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip",
     "bz2": "application/x-bzip2", "xz": "application/x-xz", "png": "image/png", "jpg": "image/jpeg", "gif": "image/gif", "nt": "application/n-triples",
     "nq": "application/n-quads", "ttl": "text/turtle", "trig": "application/trig", "rdf": "application/rdf+xml", "jsonld": "application/ld+json",
     "srj": "application/sparql-results+json", "srx": "application/sparql-results+xml",
 }
+MIME_TYPES = {k.lstrip("."): v for k, v in mimetypes.MimeTypes(filenames=()).types_map[True].items()} | _OWN_TYPES
 #: Types that compressing makes no smaller.
 _COMPRESSED = ("application/zip", "application/gzip", "application/x-bzip2", "application/x-xz", "image/png", "image/jpeg", "image/gif", "application/pdf")
 
@@ -42,15 +44,19 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def upload(store: DataFrame, files: DataFrame) -> DataFrame:
-    """Put (name, content) into a store of files; a file of the same name is replaced. Size, hash and type are computed."""
-    new = files.select("name", "content", F.octet_length("content").cast("bigint").alias("size"), F.md5("content").alias("md5"), mime_of(F.col("name")).alias("mime"))
+    """Put (name, content) into a store of files; a file of the same name is replaced. Size, hash and type are computed.
+
+    Of several new files of one name the one with the greatest hash stays; files without a name are left out.
+    """
+    hashed = files.where("name is not null").groupBy("name").agg(F.max(F.struct(F.md5("content").alias("h"), "content"))["content"].alias("content"))
+    new = hashed.select("name", "content", F.octet_length("content").cast("bigint").alias("size"), F.md5("content").alias("md5"), mime_of(F.col("name")).alias("mime"))
     return store.select(*new.columns).join(new.select("name"), "name", "left_anti").unionByName(new)
 
 
 def add_files(store: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Like ``upload``, but a name that exists is refused: (store, (name, status))."""
     had = store.select("name", F.lit(True).alias("had"))
-    status = files.select("name").join(had, "name", "left").select("name", F.when(F.col("had"), "ERROR_OBJECT_ALREADY_EXISTS").otherwise("OK_CREATED").alias("status"))
+    status = files.select("name").where("name is not null").distinct().join(had, "name", "left").select("name", F.when(F.col("had"), "ERROR_OBJECT_ALREADY_EXISTS").otherwise("OK_CREATED").alias("status"))
     return upload(store, files.join(store.select("name"), "name", "left_anti")), status
 
 

@@ -166,3 +166,52 @@ def test_engine(spark, tmp_path):
     e.close()
     with pytest.raises(RuntimeError):
         e.count("resource")
+
+
+def test_strict_values_and_names(spark):
+    from quadloom.functions import paths
+
+    rows = spark.createDataFrame([("1", {"http://v#n": ["L" + T.XSD + "integer" + T.SEP + "4"], "http://v#t": ["L" + T.SEP + "word"], "http://v#m": ["L" + T.SEP + "1", "L" + T.SEP + "2"]})], "id string, props map<string,array<string>>")
+    ns = {"v": "http://v#"}
+    value = lambda text, kind, **o: rows.select(paths.evaluate(text, kind, ns, **o)).collect()[0][0]
+    assert value("v:n + 1", "double", strict=True) == 5 and value("v:n", "bigint") == 4 and value("v:none", "double", strict=True) is None
+    assert value("v:t", "double") is None and value("v:m", "string") is None and value("v:t + 1", "double") is None
+    for text, kind in (("v:t", "double"), ("v:m", "string"), ("v:t + 1", "double")):
+        with pytest.raises(Exception, match="no single|not a number"):
+            value(text, kind, strict=True)
+    assert value("with x: <http://v#>, y: <http://w#>: x:n > 3 and not(y:n)", "boolean") is True
+    with pytest.raises(paths.PathError):
+        value("with x: <http://v#>, y : x:n", "boolean")
+    assert value("v:t[. = 'word']/..", "boolean") is True and value("v:t[. = 'other']/..", "boolean") is False
+    with pytest.raises(paths.PathError):
+        value("../v:t", "boolean")
+
+
+def test_requests_and_clients(spark, tmp_path):
+    from quadloom.engine import Engine
+    from quadloom.operators import workload as W
+
+    e = Engine(spark, f"file://{tmp_path}", {"v": "http://v#"})
+    e.create("resource", spark.createDataFrame([(str(i), {"http://v#n": ["L" + T.XSD + "integer" + T.SEP + str(i)]}) for i in range(9)], "id string, props map<string,array<string>>"))
+    e.add(spark.createDataFrame([("Ua", "Uhttp://v#p", "Ub", None)], "s string, p string, o string, g string"))
+    ask = W.requests(e)
+    assert ask["lookup"]({"kind": "resource", "id": "3"}).count() == 1 and ask["lookupall"]({"kind": "resource", "ids": ["3", "5", "z"]}).count() == 2
+    assert ask["count"]({"kind": "resource", "condition": "v:n > 5"}).collect()[0][0] == 3 and ask["retrieve"]({"kind": "resource", "limit": 2}).count() == 2
+    assert ask["sparql"]({"query": "SELECT ?o { <${s}> v:p ?o }", "s": "a"}).count() == 1
+    trace = W.run_mixes(spark, {"q": lambda p: spark.range(2), "r": lambda p: spark.range(3)}, [], mixes=6, clients=3)
+    assert trace.count() == 12 and trace.select("mix").distinct().count() == 6
+
+
+def test_records_in_a_database(spark):
+    from quadloom.operators import records as R
+    from quadloom.sources.jdbc import read_records, write_records
+
+    rows = spark.createDataFrame([("a", {"p": ["Ux", "Uy"], "q": ["Uz"]}), ("b", {"p": ["Ux"]})], "id string, props map<string,array<string>>")
+    url = "jdbc:derby:memory:quadloom;create=true"
+    write_records(rows, url, "records")
+    assert {r.id: r.props for r in read_records(spark, url, "records").collect()} == {r.id: r.props for r in rows.collect()}
+    one = read_records(spark, url, "records", ids=["a"], props=["q"])
+    assert [(r.id, r.props) for r in one.collect()] == [("a", {"q": ["Uz"]})]
+    assert "PushedFilters" in one._jdf.queryExecution().executedPlan().toString()
+    write_records(R.columns_view(rows.select("id"), F.col("id"), {"n": F.array(F.lit("U1"))}), url, "records", mode="append")
+    assert read_records(spark, url, "records").where("id = 'b'").collect()[0].props == {"n": ["U1"], "p": ["Ux"]}
