@@ -23,7 +23,7 @@ BUCKETS, PLACES, VOTES = 4096, 4, 8
 #: Rows and width of the count-min array.
 ROWS, WIDTH = 3, 1 << 16
 #: Buckets, and stretches of the array, that are merged together; sketches that meet in one merge; blocks of a sketch.
-GROUPS, STRETCHES, FAN_IN, PER_SKETCH = 16, 16, 64, 4
+GROUPS, STRETCHES, FAN_IN, PER_SKETCH = 16, 16, 64, 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
