@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import terms as T
+from .uris import let
 
 _TOKEN = re.compile(
     r"""(?x)\s*(?:(?P<text>"[^"]*"|'[^']*')|(?P<number>\d+(?:\.\d*)?|\.\d+)|(?P<slot>\$\$)|(?P<uri>\\?<[^>]*>)
@@ -248,7 +249,8 @@ def as_bool(r: Result) -> Column:
         return (r.col != 0) & ~F.isnan(r.col)
     if r.kind == "str":
         return r.col != ""
-    return (F.size(r.col) > 0) & ~((F.size(r.col) == 1) & F.coalesce(~T.boolean_of(F.get(r.col, F.lit(0))), F.lit(False)))
+    single = lambda s: (F.size(s) == 1) & F.coalesce(~T.boolean_of(F.get(s, F.lit(0))), F.lit(False))
+    return let(r.col, lambda s: (F.size(s) > 0) & ~single(s))
 
 
 def as_num(r: Result) -> Column:

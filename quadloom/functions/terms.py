@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .uris import let
+
 XSD = "http://www.w3.org/2001/XMLSchema#"
 SEP = "\x01"
 _INTEGERS = ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong")
@@ -126,8 +128,7 @@ def order_key(t: Column) -> Column:
 
 def plain_decimal(exact: Column) -> Column:
     """An exact number in plain notation, without zeros at the end."""
-    text = exact.cast("string")
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    return let(exact.cast("string"), lambda text: F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text))
 
 
 def number_text(exact: Column, number: Column, level: Column) -> Column:

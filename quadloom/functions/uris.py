@@ -13,7 +13,7 @@ _UNRESERVED = r"^[A-Za-z0-9._~-]\z"
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
 
@@ -61,7 +61,7 @@ def _expanded(bare: Column, namespaces: dict[str, str]) -> Column:
         return bare
     known = F.create_map(*[F.lit(x) for pair in sorted(namespaces.items()) for x in pair])
     at = F.locate(":", bare)
-    return _let(
+    return let(
         F.when((at > 0) & (bare.substr(at + 1, F.lit(2)) != "//"), F.try_element_at(known, F.substring_index(bare, ":", 1))),
         lambda space: F.when(space.isNotNull(), F.concat(space, bare.substr(at + 1, F.length(bare)))).otherwise(bare),
     )
@@ -91,8 +91,8 @@ def normalize_uri(raw: Column, namespaces: dict[str, str]) -> Column:
         & end.between("!", "~")
         & (end != ">")
     )
-    slow = _let(
+    slow = let(
         F.btrim(raw, F.lit(_WHITE + "<>")),
-        lambda bare: _let(_expanded(bare, namespaces), lambda full: _let(_decode_unreserved(full), _lower_head)),
+        lambda bare: let(_expanded(bare, namespaces), lambda full: let(_decode_unreserved(full), _lower_head)),
     )
     return F.when(normal, raw).when(raw.isNotNull(), F.nullif(slow, F.lit("")))

@@ -81,7 +81,8 @@ def stitch(rows: DataFrame, catalog: DataFrame, namespaces: dict[str, str]) -> t
 
     ``rows`` needs record_id, propertyuri, propertyvalue and recorded_at; other columns are not read. Rows without an id
     belong to no entity and are left out. An entity of which no value can be read has a row of nulls. Repeated rows change
-    nothing. Empty input gives an empty table. An attribute named like our own columns gets a ``_`` at its end.
+    nothing. Empty input gives an empty table. A catalog may name several properties for an attribute; where its rows for one
+    attribute differ in type, those with the type of the property that sorts first count. An attribute named like our own columns gets a ``_`` at its end.
     """
     attributes = read_catalog(catalog, namespaces)
     kinds: dict[str, str] = {}

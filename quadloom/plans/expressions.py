@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..functions.uris import let
 from .algebra import Call, Term, Var
 from .parser import SparqlError
 
@@ -120,19 +121,32 @@ def _short(exact: Column) -> Column:
     return F.when(small == exact, small)
 
 
+def _with(x: Column, y: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of two columns that are computed once."""
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda s: body(s["x"], s["y"]))
+
+
 def quotient(x: Column, y: Column) -> Column:
     """x / y of exact numbers; null where y is 0. Numbers with more than 19 digits are divided as doubles."""
-    y = F.nullif(y, F.lit(0).cast(T.DECIMAL))
-    return F.coalesce(F.try_divide(_short(x), _short(y)).try_cast(T.DECIMAL), F.try_divide(x.cast("double"), y.cast("double")).try_cast(T.DECIMAL))
+
+    def divided(a: Column, b: Column) -> Column:
+        exact = F.try_divide(_short(a), _short(b)).try_cast(T.DECIMAL)
+        return F.when(b != 0, F.coalesce(exact, F.try_divide(a.cast("double"), b.cast("double")).try_cast(T.DECIMAL)))
+
+    return _with(x, y, divided)
 
 
 def _product(x: Column, y: Column) -> Column:
     whole = lambda c: F.when(c == F.floor(c), c.try_cast("decimal(19,0)"))
-    return F.coalesce(
-        F.try_multiply(whole(x), whole(y)).try_cast(T.DECIMAL),
-        F.try_multiply(_short(x), _short(y)).try_cast(T.DECIMAL),
-        (x.cast("double") * y.cast("double")).try_cast(T.DECIMAL),
-    )
+
+    def multiplied(a: Column, b: Column) -> Column:
+        return F.coalesce(
+            F.try_multiply(whole(a), whole(b)).try_cast(T.DECIMAL),
+            F.try_multiply(_short(a), _short(b)).try_cast(T.DECIMAL),
+            (a.cast("double") * b.cast("double")).try_cast(T.DECIMAL),
+        )
+
+    return _with(x, y, multiplied)
 
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
@@ -311,6 +325,9 @@ class Evaluator:
             return Value("str", as_str(v[0]))
         if op == "LANG":
             return Value("str", T.lang_of(as_term(v[0])))
+        if op == "DATATYPE" and v[0].kind == "num" and v[0].code is None:
+            kinds = [F.when(v[0].level == i, T.uri_code(name)) for i, name in enumerate(T.LEVELS)]
+            return Value("term", F.when(F.coalesce(v[0].exact.isNotNull(), F.lit(False)) | v[0].col.isNotNull(), F.coalesce(*kinds)))
         if op == "DATATYPE":
             return Value("term", T.uri(T.datatype_of(as_term(v[0]))))
         if op == "LANGMATCHES":

@@ -472,7 +472,7 @@ def turtle_values(spark, d):
     return out.withColumn("p", F.substring_index(T.lexical_form(F.col("p")), "/", -1).cast("bigint"))
 
 
-@query("convert_values", "SELECT property_id, coalesce(CASE WHEN regexp_matches(trim(propertyvalue), '^[+-]?[0-9]+$') THEN try_cast(trim(propertyvalue) AS BIGINT) END, -1) AS n FROM record_properties WHERE propertyvalue IS NOT NULL")
+@query("convert_values", "SELECT property_id, coalesce(CASE WHEN regexp_matches(propertyvalue, '^\\s*[+-]?[0-9]+\\s*$') THEN try_cast(regexp_replace(propertyvalue, '\\s', '', 'g') AS BIGINT) END, -1) AS n FROM record_properties WHERE propertyvalue IS NOT NULL")
 def convert_values(spark, d):
     """Every property value as a whole number, -1 where it is none."""
     rows = table(spark, d, "record_properties").where("propertyvalue is not null")
