@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
-_NOTE = re.compile(r"(?is)<(script|style|sup|sub)\b[^<>]*>.{0,200}?</\1\s*>")
+_NOTE = re.compile(r"(?is)<(script|style)\b[^<>]*>.*?</\1\s*>|<(sup|sub)\b[^<>]*>.{0,200}?</\2\s*>")  # code, and marks of notes
 _INLINE = re.compile(r"(?i)</?(?:a|abbr|b|big|cite|code|em|font|i|mark|q|s|small|span|strong|u|wbr)(?:\s[^<>]*)?/?>")
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _BROKEN = re.compile(r"[-‐‑](?<=[^\W\d_].)[ \t]*\r?\n[ \t>]*(?=[^\W\d_])")

@@ -24,6 +24,12 @@ def test_forms(text):
     assert words_of(text) == WANT
 
 
+def test_code_of_any_length_is_no_text():
+    code = "var word = 1;\n" * 500
+    assert words_of(f"The crème<script type='x'>{code}</script> brûlée <STYLE>{code}</STYLE>of 2024 wins") == WANT
+    assert len(words_of("<sup>" + "word " * 200 + "</sup>")) == 200
+
+
 def test_nothing():
     assert words_of(None) == words_of("") == words_of(" ​<br/>") == []
 
