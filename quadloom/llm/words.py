@@ -31,7 +31,9 @@ def visible(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     if "<" in text:
-        text = _TAG.sub(" ", _INLINE.sub("", _NOTE.sub(" ", text)))
+        if "<s" in text or "<S" in text:
+            text = _NOTE.sub(" ", text)
+        text = _TAG.sub(" ", _INLINE.sub("", text))
     if "\n" in text:
         text = _BROKEN.sub("", text)
     return text
