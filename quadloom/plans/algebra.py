@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields, is_dataclass
 
 
 @dataclass(frozen=True)
@@ -120,3 +121,21 @@ class Query:
 
 
 UNIT = Values([], [[]])
+
+
+def with_terms(node: object, swap: Callable[[str], str]) -> object:
+    """A copy of a query or of a part of it in which every constant is ``swap`` of its code."""
+    if isinstance(node, Term):
+        return Term(swap(node.code))
+    if isinstance(node, Path):
+        codes = lambda x: swap(x) if isinstance(x, str) else (swap(x[0]), x[1]) if isinstance(x, tuple) else with_terms(x, swap)
+        return Path(node.op, tuple(map(codes, node.parts)))
+    if isinstance(node, Values):
+        return Values(node.names, [[None if c is None else swap(c) for c in row] for row in node.rows])
+    if isinstance(node, (list, tuple)):
+        return type(node)(with_terms(x, swap) for x in node)
+    if is_dataclass(node) and not isinstance(node, Var):
+        own = {f.name: getattr(node, f.name) for f in fields(node)}
+        changed = {k: list(map(swap, v)) if k in ("graphs", "named") else with_terms(v, swap) for k, v in own.items()}
+        return type(node)(**changed)
+    return node

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..runtime import materialize, release
-from .algebra import Bgp, Call, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Query, Term, Triple, Union, Values, Var
+from .algebra import Bgp, Call, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Query, Term, Triple, Union, Values, Var, with_terms
 from .expressions import Evaluator, as_number, as_str, quotient
 from .parser import SparqlError, is_aggregate, parse
 
@@ -31,11 +31,12 @@ class Solutions:
 class Dataset:
     """Quads (s, p, o, g), all terms but ``g``, which may be null. The default graph is the merge of all graphs.
 
-    ``unique`` tells that no triple is in two graphs, which spares a deduplication.
+    ``unique`` tells that no triple is in two graphs, which spares a deduplication. With ``rewrite`` (outside, inside), IRIs
+    that begin with ``outside`` in queries and results begin with ``inside`` in the quads.
     """
 
-    def __init__(self, quads: DataFrame, unique: bool = False, functions: dict[str, Callable] | None = None) -> None:
-        self.quads, self.unique, self.functions = quads, unique, functions or {}
+    def __init__(self, quads: DataFrame, unique: bool = False, functions: dict[str, Callable] | None = None, rewrite: tuple[str, str] | None = None) -> None:
+        self.quads, self.unique, self.functions, self.rewrite = quads, unique, functions or {}, rewrite
         self.spark: SparkSession = quads.sparkSession
 
     def query(self, text: str, namespaces: dict[str, str] | None = None, bindings: dict[str, str] | None = None, arguments: list[str] | None = None) -> DataFrame:
@@ -44,7 +45,13 @@ class Dataset:
         ``bindings`` pre-binds variables; ``arguments`` are terms for the ``$$`` places of the text, one for each.
         """
         q = parse(text, namespaces, arguments)
-        return Compiler(self, bindings or {}).run(q)
+        if self.rewrite is None:
+            return Compiler(self, bindings or {}).run(q)
+        outside, inside = ("U" + x for x in self.rewrite)
+        swap = lambda code: inside + code[len(outside) :] if code.startswith(outside) else code
+        out = Compiler(self, {k: swap(v) for k, v in (bindings or {}).items()}).run(with_terms(q, swap))
+        back = lambda c: F.when(F.col(f"`{c}`").startswith(inside), F.concat(F.lit(outside), F.col(f"`{c}`").substr(F.lit(len(inside) + 1), F.length(f"`{c}`")))).otherwise(F.col(f"`{c}`")).alias(c)
+        return out.select(*[back(c) if kind == "string" else F.col(f"`{c}`") for c, kind in out.dtypes])
 
 
 def _conjuncts(e: object) -> list:

@@ -307,3 +307,17 @@ def test_split_variables_have_keys(spark):
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     plan = d.query("SELECT ?s { ?s :p ?o OPTIONAL { ?s :q ?v } MINUS { ?v :r ?w } }", NS)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_rewritten_names(spark):
+    """Queries and results speak of one name space, the quads of another."""
+    d = dataset(spark, ("a", "p", "b", "g"), ("b", "p", "c", "g"), ("c", "q", "'lit", "g"))
+    mirror = Dataset(d.quads, rewrite=("http://m/", E))
+    names = {"": "http://m/"}
+    rows = lambda text, **o: sorted(tuple(x and x[1:] if x and x[0] == "U" else show(x) for x in r) for r in mirror.query(text, names, **o).collect())
+    assert rows("SELECT ?s ?o { ?s :p ?o }") == [("http://m/a", "http://m/b"), ("http://m/b", "http://m/c")]
+    assert rows("SELECT ?o { :a :p+ ?o }") == [("http://m/b",), ("http://m/c",)]
+    assert rows("SELECT ?o FROM :g { VALUES ?s { :c } ?s !(:p|^:p) ?o FILTER(?s != :a) }") == [("lit",)]
+    assert rows("SELECT ?o { ?s :p ?o }", bindings={"s": "Uhttp://m/a"}) == [("http://m/b",)]
+    assert [r[0] for r in mirror.query("ASK { GRAPH :g { :a :p ?x } }", names).collect()] == [True]
+    assert ask(d, "SELECT ?s { ?s :q ?o }") == [("c",)]
