@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .plans.compiler import Dataset
 from .reference_queries import query
-from .star import NS, decode, quads
+from .star import NS, decode, form, quads
 
 
 def _run(tables: str, text: str, unique: bool = True, **kinds: str):
@@ -360,12 +360,12 @@ _CLOSURE_USERS = """WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT user_
 
 @query("path_plus_users", _CLOSURE_USERS + " SELECT a, b FROM c")
 def path_plus_users(spark, d):
-    return decode(Dataset(_user_quads(spark, d), unique=True).query("SELECT ?a ?b { ?a v:next+ ?b }", NS), a="key", b="key")
+    return Dataset(_user_quads(spark, d), unique=True).query("SELECT ?a ?b { ?a v:next+ ?b }", NS, forms={"a": form("key"), "b": form("key")})
 
 
 @query("path_star_users", _CLOSURE_USERS + " SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e")
 def path_star_users(spark, d):
-    return decode(Dataset(_user_quads(spark, d), unique=True).query("SELECT ?a ?b { ?a v:next* ?b }", NS), a="key", b="key")
+    return Dataset(_user_quads(spark, d), unique=True).query("SELECT ?a ?b { ?a v:next* ?b }", NS, forms={"a": form("key"), "b": form("key")})
 
 
 @query("path_plus_from_users", _CLOSURE_USERS + " SELECT b FROM c WHERE a = 1")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..runtime import materialize, release
+from ..operators.closures import all_pairs
+from ..runtime import materialize
 from .algebra import Bgp, Call, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Query, Term, Triple, Union, Values, Var, with_terms
 from .expressions import Evaluator, as_number, as_str, quotient
 from .parser import SparqlError, is_aggregate, parse
@@ -39,19 +40,23 @@ class Dataset:
         self.quads, self.unique, self.functions, self.rewrite = quads, unique, functions or {}, rewrite
         self.spark: SparkSession = quads.sparkSession
 
-    def query(self, text: str, namespaces: dict[str, str] | None = None, bindings: dict[str, str] | None = None, arguments: list[str] | None = None) -> DataFrame:
+    def query(self, text: str, namespaces: dict[str, str] | None = None, bindings: dict[str, str] | None = None, arguments: list[str] | None = None, forms: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
         """Solutions of a SELECT, triples of a CONSTRUCT or DESCRIBE, one boolean of an ASK.
 
-        ``bindings`` pre-binds variables; ``arguments`` are terms for the ``$$`` places of the text, one for each.
+        ``bindings`` pre-binds variables; ``arguments`` are terms for the ``$$`` places of the text, one for each. ``forms``
+        are functions of the terms of some variables of a SELECT, whose values it gives in place of the terms.
         """
         q = parse(text, namespaces, arguments)
+        formed = lambda df: df.select(*[(forms or {}).get(c, lambda x: x)(F.col(f"`{c}`")).alias(c) for c in df.columns]) if forms else df
         if self.rewrite is None:
-            return Compiler(self, bindings or {}).run(q)
+            compiler = Compiler(self, bindings or {})
+            out = compiler.closed(q, forms) if forms else None
+            return formed(compiler.run(q)) if out is None else out
         outside, inside = ("U" + x for x in self.rewrite)
         swap = lambda code: inside + code[len(outside) :] if code.startswith(outside) else code
         out = Compiler(self, {k: swap(v) for k, v in (bindings or {}).items()}).run(with_terms(q, swap))
         back = lambda c: F.when(F.col(f"`{c}`").startswith(inside), F.concat(F.lit(outside), F.col(f"`{c}`").substr(F.lit(len(inside) + 1), F.length(f"`{c}`")))).otherwise(F.col(f"`{c}`")).alias(c)
-        return out.select(*[back(c) if kind == "string" else F.col(f"`{c}`") for c, kind in out.dtypes])
+        return formed(out.select(*[back(c) if kind == "string" else F.col(f"`{c}`") for c, kind in out.dtypes]))
 
 
 def _conjuncts(e: object) -> list:
@@ -73,6 +78,7 @@ class Compiler:
         self.named: DataFrame = data.quads
         self.outer: Solutions | None = None  # what the conditions inside of an EXISTS can see of the outside
         self.count = 0
+        self.forms: dict[str, Callable[[Column], Column]] = {}  # of the ends of the path that is compiled next
 
     def temp(self) -> str:
         self.count += 1
@@ -89,6 +95,19 @@ class Compiler:
             return self.construct(q.template, self.select(q))
         return self.describe(q)
 
+    def closed(self, q: Query, forms: dict[str, Callable[[Column], Column]]) -> DataFrame | None:
+        """The solutions of a query that is one closure between two variables, each term formed once and not in every pair; None for others."""
+        t = q.body.triples[0] if isinstance(q.body, Bgp) and len(q.body.triples) == 1 else None
+        if t is None or not isinstance(t.p, Path) or t.p.op not in ("plus", "star") or q != Query("select", q.body, q.select, graphs=q.graphs, named=q.named):
+            return None
+        ends = [n.name for n in (t.s, t.o) if isinstance(n, Var) and n.name not in self.bindings]
+        shown = [v for v, e in q.select or [] if e == Var(v)]
+        if len(shown) != len(q.select or []) or len(set(ends)) != 2 or sorted(shown) != sorted(ends):
+            return None
+        self.dataset(q)
+        self.forms = {place: forms[v] for place, v in zip("so", ends) if v in forms}
+        return self.pattern(q.body, None).df.select(*[F.col(f"`{v}`") for v in shown])
+
     def dataset(self, q: Query) -> None:
         """FROM makes the default graph, FROM NAMED the graphs to choose from; with one of them the other is empty."""
         if q.graphs or q.named:
@@ -543,6 +562,7 @@ class Compiler:
     def path(self, p: Path, graph: Term | Var | None, s: object = None, o: object = None) -> DataFrame:
         """(s, o[, g]) pairs. ``*`` and ``+`` give distinct pairs, the rest keeps duplicates."""
         keep = ["s", "o"] + (["g"] if graph is not None else [])
+        forms, self.forms = self.forms, {}
         base = self.named.where("g is not null") if graph is not None else self.triples()
         if p.op == "link":
             return base.where(F.col("p") == F.lit(p.parts[0])).select(*keep)
@@ -571,8 +591,11 @@ class Compiler:
         edges = self.path(p.parts[0], graph).distinct()
         if p.op == "opt":
             return edges.unionByName(self.identity(base, keep, s, o)).distinct()
+        if p.op == "plus":
+            return self.closure(edges, keep, s, o, forms)
         out = self.closure(edges, keep, s, o)
-        return out if p.op == "plus" else out.unionByName(self.identity(base, keep, s, o)).distinct()
+        out = out.unionByName(self.identity(base, keep, s, o)).distinct()
+        return out.select(*[forms.get(c, lambda x: x)(F.col(c)).alias(c) for c in keep])
 
     def swapped(self, df: DataFrame, keep: list[str]) -> DataFrame:
         return df.select(F.col("o").alias("s"), F.col("s").alias("o"), *keep[2:])
@@ -586,28 +609,22 @@ class Compiler:
                     nodes = nodes.unionByName(self.spark.createDataFrame([(n.code,)], "n string"))
         return nodes.distinct().select(F.col("n").alias("s"), F.col("n").alias("o"), *keep[2:])
 
-    def closure(self, edges: DataFrame, keep: list[str], s: object, o: object) -> DataFrame:
+    def closure(self, edges: DataFrame, keep: list[str], s: object, o: object, forms: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
         """Pairs joined by one or more edges; only what a constant end can reach, where there is one.
 
-        Each round extends the newest pairs and drops those seen before, so cycles end. Rounds are written to the shared
-        folder.
+        From a constant, each round extends the newest pairs and drops those seen before, so cycles end. Rounds are written to
+        the shared folder.
         """
         if not isinstance(s, Term) and isinstance(o, Term):
             return self.swapped(self.closure(self.swapped(edges, keep), keep, o, None), keep)
         edges = materialize(edges, "edges")
-        seen = frontier = edges.where(F.col("s") == F.lit(s.code)) if isinstance(s, Term) else edges
+        if not isinstance(s, Term):
+            return all_pairs(edges, keep, forms)
+        seen = frontier = edges.where(F.col("s") == F.lit(s.code))
+        step = edges.withColumnRenamed("s", "mid").withColumnRenamed("o", "end")
         while True:
-            # from a constant by one edge; between all pairs by all paths known, so that lengths double
-            steps = edges if isinstance(s, Term) else seen
-            step = steps.withColumnRenamed("s", "mid").withColumnRenamed("o", "end")
             longer = frontier.withColumnRenamed("o", "mid").join(step, ["mid"] + keep[2:]).select("s", F.col("end").alias("o"), *keep[2:]).distinct()
             fresh = materialize(longer.join(seen, keep, "left_anti"), "closure")
             if not fresh.take(1):
                 return seen
-            if isinstance(s, Term):
-                seen, frontier = seen.unionByName(fresh), fresh
-                continue
-            grown = materialize(seen.unionByName(fresh), "closure")
-            for old in (seen, frontier):
-                release(old)
-            seen, frontier = grown, fresh
+            seen, frontier = seen.unionByName(fresh), fresh

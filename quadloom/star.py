@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import terms as T
@@ -54,14 +56,11 @@ def decode(df: DataFrame, **kinds: str) -> DataFrame:
 
     What doesn't fit is null: Catalyst may try a cast on constants of branches that yield no row.
     """
-    cols = []
-    for name in df.columns:
-        kind, col = kinds.get(name, "string"), F.col(f"`{name}`")
-        text = T.lexical_form(col)
-        if kind == "key":
-            cols.append(F.substring_index(text, "/", -1).try_cast("bigint").alias(name))
-        elif kind == "string":
-            cols.append(text.alias(name))
-        else:
-            cols.append(text.try_cast(kind).alias(name))
-    return df.select(*cols)
+    return df.select(*[form(kinds.get(name, "string"))(F.col(f"`{name}`")).alias(name) for name in df.columns])
+
+
+def form(kind: str) -> Callable[[Column], Column]:
+    """What ``decode`` makes of the terms of a column."""
+    if kind == "key":
+        return lambda term: F.substring_index(T.lexical_form(term), "/", -1).try_cast("bigint")
+    return T.lexical_form if kind == "string" else lambda term: T.lexical_form(term).try_cast(kind)
