@@ -172,22 +172,30 @@ def rounds(edges: DataFrame, keep: list[str]) -> DataFrame:
         seen, frontier = grown, fresh
 
 
-def all_pairs(edges: DataFrame, keep: list[str], forms: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def all_pairs(edges: DataFrame, keep: list[str], loops: DataFrame | None = None, forms: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Distinct pairs joined by one or more of the distinct ``edges`` (s, o[, g], written), within each g.
 
+    With distinct ``loops``, pairs of a node with itself that has all nodes of the edges at least, these are pairs too.
     ``forms`` are functions of s and of o whose values the result has in their place; they are computed once a member.
     """
     form = lambda name, c: forms[name](c) if forms and name in forms else c
     found = contracted(edges, keep)
+    formed = lambda df: df.select(*[form(c, F.col(c)).alias(c) for c in keep])
     if found is None:
-        return rounds(edges, keep).select(*[form(c, F.col(c)).alias(c) for c in keep])
-    links = found.where("list < 0").select(*keep)
-    reached = acyclic_pairs(links.where("s != o"), keep).unionByName(links.where("s = o"))
+        pairs = rounds(edges, keep)
+        return formed(pairs if loops is None else pairs.unionByName(loops).distinct())
     graph = keep[2:]
+    links = found.where("list < 0").select(*keep)
+    # with loops, each component reaches itself, also one of a single node
+    themselves = links.where("s = o") if loops is None else found.where("list >= 0").select(F.col("o").alias("s"), "o", *graph).distinct()
+    reached = acyclic_pairs(links.where("s != o"), keep).unionByName(themselves)
     lists = found.where("list >= 0").groupBy("o", "list", *graph).agg(F.collect_list("s").alias("members"))
     sources = lists.select(F.col("o").alias("s"), F.transform("members", lambda m: form("s", m)).alias("sources"), *graph)
     targets = lists.select("o", F.transform("members", lambda m: form("o", m)).alias("targets"), *graph)
     units = materialize(reached.join(sources, ["s"] + graph).join(targets, ["o"] + graph).select("sources", "targets", *graph), "units")
     pairs = units.agg(F.sum(F.size("sources").cast("bigint") * F.size("targets"))).first()[0] or 0
     spread = units.repartition(max(1, -(-pairs // TASK_PAIRS)))
-    return spread.select(F.explode("sources").alias("s"), "targets", *graph).select("s", F.explode("targets").alias("o"), *graph)
+    out = spread.select(F.explode("sources").alias("s"), "targets", *graph).select("s", F.explode("targets").alias("o"), *graph)
+    if loops is None:
+        return out
+    return out.unionByName(formed(loops.join(found.where("list >= 0").select("s", *graph), ["s"] + graph, "left_anti").select(*keep)))

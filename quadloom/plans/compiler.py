@@ -591,11 +591,7 @@ class Compiler:
         edges = self.path(p.parts[0], graph).distinct()
         if p.op == "opt":
             return edges.unionByName(self.identity(base, keep, s, o)).distinct()
-        if p.op == "plus":
-            return self.closure(edges, keep, s, o, forms)
-        out = self.closure(edges, keep, s, o)
-        out = out.unionByName(self.identity(base, keep, s, o)).distinct()
-        return out.select(*[forms.get(c, lambda x: x)(F.col(c)).alias(c) for c in keep])
+        return self.closure(edges, keep, s, o, self.identity(base, keep, s, o) if p.op == "star" else None, forms)
 
     def swapped(self, df: DataFrame, keep: list[str]) -> DataFrame:
         return df.select(F.col("o").alias("s"), F.col("s").alias("o"), *keep[2:])
@@ -609,22 +605,22 @@ class Compiler:
                     nodes = nodes.unionByName(self.spark.createDataFrame([(n.code,)], "n string"))
         return nodes.distinct().select(F.col("n").alias("s"), F.col("n").alias("o"), *keep[2:])
 
-    def closure(self, edges: DataFrame, keep: list[str], s: object, o: object, forms: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-        """Pairs joined by one or more edges; only what a constant end can reach, where there is one.
+    def closure(self, edges: DataFrame, keep: list[str], s: object, o: object, loops: DataFrame | None = None, forms: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+        """Pairs joined by one or more edges, and ``loops``; only what a constant end can reach, where there is one.
 
         From a constant, each round extends the newest pairs and drops those seen before, so cycles end. Rounds are written to
         the shared folder.
         """
         if not isinstance(s, Term) and isinstance(o, Term):
-            return self.swapped(self.closure(self.swapped(edges, keep), keep, o, None), keep)
+            return self.swapped(self.closure(self.swapped(edges, keep), keep, o, None, loops), keep)
         edges = materialize(edges, "edges")
         if not isinstance(s, Term):
-            return all_pairs(edges, keep, forms)
+            return all_pairs(edges, keep, loops, forms)
         seen = frontier = edges.where(F.col("s") == F.lit(s.code))
         step = edges.withColumnRenamed("s", "mid").withColumnRenamed("o", "end")
         while True:
             longer = frontier.withColumnRenamed("o", "mid").join(step, ["mid"] + keep[2:]).select("s", F.col("end").alias("o"), *keep[2:]).distinct()
             fresh = materialize(longer.join(seen, keep, "left_anti"), "closure")
             if not fresh.take(1):
-                return seen
+                return seen if loops is None else seen.unionByName(loops).distinct()
             seen, frontier = seen.unionByName(fresh), fresh

@@ -79,3 +79,21 @@ def test_nearly_all_pairs(spark):
         assert found.count() == 1500 * 1501 and found.where("b = 'Ulast'").count() == 1500
     finally:
         late.cancel()
+
+
+@pytest.mark.parametrize("block", [1_000_000, 12, 1])
+def test_loops_of_all_nodes(spark, monkeypatch, block):
+    monkeypatch.setattr(closures, "BLOCK_EDGES", block)
+    edges = graph(5, 20, 25) | {("loop", "loop", "g0"), ("loop", "end", "g0")}
+    nodes = {(n, g) for a, b, g in edges for n in (a, b)} | {("apart", "g0"), ("apart", "g2"), ("end", "g1")}
+    loops = spark.createDataFrame([(n, n, g) for n, g in nodes], "s string, o string, g string")
+    assert pairs(spark, edges, True, loops=loops) == sorted(brute(edges) | {(n, n, g) for n, g in nodes})
+
+
+def test_star_compares_no_pairs(spark):
+    """Pairs of a node with itself are told by components: no aggregate stands above the lists that are exploded."""
+    quads = spark.createDataFrame([("Ua", "Unext", "Ub", None), ("Ub", "Unext", "Ua", None), ("Ub", "Unext", "Uc", None), ("Ux", "Uother", "Uy", None)], "s string, p string, o string, g string")
+    found = Dataset(quads, unique=True).query("SELECT ?a ?b { ?a <next>* ?b }")
+    assert sorted((a[1:] + b[1:]) for a, b in found.collect()) == ["aa", "ab", "ac", "ba", "bb", "bc", "cc", "xx", "yy"]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")
+    assert len(above) > 2 and "Aggregate" not in above[0]
